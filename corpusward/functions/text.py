@@ -77,9 +77,7 @@ def mask_secrets(text: Column, keep: int = 2) -> Column:
     """Hide the inner part of every quoted value of six or more characters.
 
     ``keep`` characters stay at each end, so that the owner can tell which secret it is.
+    A value whose closing quote was cut off is hidden up to the end.
     """
-    return F.regexp_replace(
-        text,
-        rf"""(['"])([^'"]{{{keep}}})[^'"]{{{max(1, 6 - 2 * keep)},}}([^'"]{{{keep}}})\1""",
-        "$1$2***$3$1",
-    )
+    inner = rf"""([^'"]{{{keep}}})[^'"]{{{max(1, 6 - 2 * keep)},}}([^'"]{{{keep}}})"""
+    return F.regexp_replace(text, rf"""(['"]){inner}(\1|\z)""", "$1$2***$3$4")
