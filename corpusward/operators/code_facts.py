@@ -24,12 +24,13 @@ FUNCTION = (
     "name:string,line:int,end_line:int,is_async:boolean,has_docstring:boolean,returns_annotated:boolean,"
     "sole_stmt:string,block_depths:array<int>,decorators:array<string>,"
     "params:array<struct<kind:string,name:string,annotated:boolean,default_kind:string>>,"
-    "call_ids:array<int>,targets:array<string>,"
+    "call_ids:array<int>,targets:array<string>,attrs:array<string>,withs:array<string>,"
+    "divisors:array<string>,tested:array<string>,"
     "literals:array<struct<text:string,value:double,parent_kind:string,parent_call:string,upper_target:boolean>>"
 )
 CALL = (
     "line:int,qualified:string,short:string,func_kind:string,receiver:string,arg0_kind:string,"
-    "arg0_value:string,kwargs:array<string>,loop_depth:int,inside_with:boolean"
+    "arg0_value:string,kwargs:array<string>,kwarg_values:array<string>,loop_depth:int,inside_with:boolean"
 )
 HANDLER = "line:int,type_kind:string,type_names:array<string>,sole_stmt:string,has_raise:boolean,has_log:boolean"
 FACTS = (
@@ -89,6 +90,7 @@ def call_fact(node: ast.Call, loops: int, in_with: bool) -> dict:
         "arg0_kind": literal_kind(first),
         "arg0_value": printable(first.value) if plain else None,
         "kwargs": [k.arg for k in node.keywords if k.arg],
+        "kwarg_values": [dotted(k.value) for k in node.keywords if k.arg],
         "loop_depth": loops,
         "inside_with": in_with,
     }
@@ -172,6 +174,19 @@ def literal_fact(node: ast.Constant, parent: ast.AST) -> dict:
     }
 
 
+def note_usage(node: ast.AST, seen: dict[str, set[str]]) -> None:
+    """Names that a function reads as attributes, enters, divides by and tests."""
+    if isinstance(node, ast.Attribute):
+        seen["attrs"].add(node.attr)
+    elif isinstance(node, WITHS):
+        entered = [i.context_expr.func if isinstance(i.context_expr, ast.Call) else i.context_expr for i in node.items]
+        seen["withs"].update(dotted(e) for e in entered)
+    elif isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Div, ast.FloorDiv, ast.Mod)):
+        seen["divisors"].add(dotted(node.right))
+    elif isinstance(node, (ast.If, ast.IfExp, ast.While, ast.Assert)):
+        seen["tested"].update(dotted(n) for n in ast.walk(node.test) if isinstance(n, (ast.Name, ast.Attribute)))
+
+
 def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, call_ids: dict) -> dict:
     first = node.body[0]
     documented = isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)
@@ -182,7 +197,9 @@ def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, c
         if sole == "return" and isinstance(body[0].value, ast.Constant) and body[0].value.value is None:
             sole = "return_none"
     calls, targets, literals = [], [], []
+    seen: dict[str, set[str]] = {"attrs": set(), "withs": set(), "divisors": set(), "tested": set()}
     for inner in own_nodes(body):
+        note_usage(inner, seen)
         if isinstance(inner, ast.Call):
             calls.append(call_ids[inner])
         elif isinstance(inner, ast.Assign):
@@ -205,6 +222,7 @@ def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, c
         "call_ids": calls,
         "targets": targets,
         "literals": literals,
+        **{name: sorted(found) for name, found in seen.items()},
     }
 
 

@@ -103,6 +103,8 @@ def _is_line_scanned(path: Column) -> Column:
 SCOPES: dict[str, tuple[Callable[[Column], Column], bool]] = {
     "line": (_is_line_scanned, True),
     "marker": (lambda p: _is_line_scanned(p) & (paths.suffix(p) != ".py"), True),
+    "source": (lambda p: _is_line_scanned(p) & (inventory.category(p) == "source"), True),
+    "dated": (lambda p: _is_line_scanned(p) & (inventory.category(p) == "source") & ~F.lower(p).rlike("test"), True),
     "web": (_is_web, True),
     "wallet": (lambda p: paths.lower_suffix(p).isin(*WALLET_SUFFIXES), True),
     "requirement": (lambda p: paths.file_name(p).rlike(r"^requirements.*\.txt\z"), False),
@@ -240,7 +242,7 @@ def _line_rule(rule: LineRule, marker: str) -> str:
         subject, allowed, evidence = STRIPPED, f"NOT startswith({STRIPPED}, '#')", STRIPPED
     elif rule.scope == "manifest":
         allowed = "true"
-    elif rule.scope in ("line", "marker"):
+    elif rule.scope in ("line", "marker", "source", "dated"):
         allowed = f"{unmarked} AND NOT (substring_index(path, '/', 1) = 'references' AND contains({LINE_TEXT}, '`'))"
     guard = contains_any(FOLDED if rule.fold else LINE_TEXT, rule.guard) if rule.guard else "true"
     return _when(
@@ -279,8 +281,7 @@ def scan_lines_with_table(files: DataFrame, rule_table: DataFrame, marker: str =
     """Line scan with rules given as a table (rule, severity, category, pattern, scope).
 
     The table holds settings, so its rows become literal patterns: each is compiled once
-    per task and no row is paired with every rule. ``scope`` is one of ``line``, ``web``,
-    ``wallet``, ``requirement`` or ``manifest``.
+    per task and no row is paired with every rule. ``scope`` is a key of ``SCOPES``.
     """
     rows = small_rows(rule_table, max_rules, "rule table")
     own = [LineRule(r["rule"], r["scope"], r["pattern"], ()) for r in rows]

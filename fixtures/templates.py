@@ -94,3 +94,60 @@ CODE_FINDINGS = (
 )
 # Files that the comment rule cannot tokenise: (tid, rule).
 CODE_BLOCKED = ((29, "scan-error"),)
+
+# --- Second corpus, for the checklist rules: 20 files per repository ------------------
+CHECK_TEMPLATES = (
+    (0, "requirements.txt", (3, (0, 1)), "raw", "Requests==2.0\nnumpy==1.0\nnumpy==1.1\npytest==8.0\nbig_lib==1.0"),
+    (1, ".gitignore", (2, (0,)), "raw", ".env\n*.log\n__pycache__\nvenv/"),
+    (2, "docs/guide_{id}.md", ALL, "text", "updated 2020-01-15"),
+    (3, "src/trade_{id}.py", (4, (0, 1, 2)), "raw", "import requests, aiohttp, asyncio, logging\nfrom utils import helper\nasync def go(urls, volume, n):\n    s = aiohttp.ClientSession()\n    await asyncio.gather(*urls)\n    for u in urls:\n        requests.get(u)\n    place_order(1)\n    return n / volume"),
+    (4, "src/chain_{id}.py", (4, (0, 1, 2)), "raw", "def send(w3, tx):\n    n = w3.eth.get_transaction_count(a)\n    w3.eth.send_transaction(tx)\ndef safe(w3, tx):\n    with nonce_lock:\n        n = w3.eth.get_transaction_count(a)\n        g = w3.eth.estimate_gas(tx)\n        w3.eth.send_transaction(tx)\ngas_price = 20_000\nchain_id = 1\nbalance = 0"),
+    (5, "src/api.py", ALL, "raw", 'def read(r):\n    return r.json()["a"]\ndef checked(r):\n    r.raise_for_status()\n    return r.json()\n@retry(3)\ndef place_item(x):\n    return x\n@tenacity.retry\ndef send_item(x, idempotency_key):\n    return x\nURL = "https://api.example/x?apikey=1"'),
+    (6, "src/load_{id}.py", ALL, "raw", 'import pickle, yaml\na = pickle.load(f)\nb = yaml.load(f)\nc = yaml.load(f, Loader=yaml.SafeLoader)\nd = yaml.load(f, Loader=yaml.Loader)\ncur.execute("INSERT INTO t VALUES (1)")\nwith conn:\n    cur.execute("insert into t values (2)")\nx = 1  # type: ignore\ny = 2  # type: ignore[attr] kept for old callers'),
+    (7, "src/exc_{id}.py", ALL, "raw", 'try:\n    a = 1\nexcept Exception:\n    a = 2\ntry:\n    a = 1\nexcept Exception as e:\n    logger.error(e)\n    raise\n# a = 1\n# b = 2\n# c = 3\n# d = 4\n# TEMP fix\nif price == target_price:\n    pass\nz = round(amount, 2)\nSTART = "2020-01-01"\nDEBUG = True\nraise NotImplementedError'),
+    (8, "tests/test_exc_{id}.py", ALL, "raw", "try:\n    a = 1\nexcept Exception:\n    a = 2\nSTART = '2020-01-01'"),
+    (9, "pkg_{id}/__init__.py", ALL, "raw", "\n"),
+    (10, "full/__init__.py", ALL, "raw", ""),
+    (11, "full/mod.py", (2, (0,)), "raw", "import numpy\nx = 1"),
+    (12, "scripts/run_me.py", ALL, "raw", "import loguru\nfrom full import mod\nfrom api import checked\nprint(1)"),
+    (13, "docs/usage.md", (3, (0,)), "raw", "call run_me to start"),
+    (14, "src/old_{id}.pyc", ALL, "raw", "x"),
+    (15, "notes_{id}.tmp", ALL, "raw", "x"),
+    (16, "src/retry_{id}.py", (4, (0, 1)), "raw", "@retry(3)\ndef place_order(x):\n    return x\n@tenacity.retry\ndef send_order(x, idempotency_key):\n    return x"),
+    (17, "src/dup_{id}.js", ALL, "raw", "function a() {\n  one();\n\n  two();\n  three();\n}\nfunction a() {\none();\ntwo();\nthree();\n}"),
+    (18, "README_{id}.md", ALL, "text", "hello"),
+    (19, "conf/settings_{id}.yaml", ALL, "text", "DEBUG = True\nurl: https://h.example/?token=abc"),
+)
+
+# Findings of the checklist rules on code facts: (tid, rule, line, snippet).
+CHECK_CODE_FINDINGS = (
+    (3, "client-session-no-timeout", 4, "aiohttp.ClientSession"),
+    (3, "gather-no-return-exceptions", 5, "asyncio.gather"),
+    (3, "order-without-slippage-cap", 8, "place_order"),
+    (3, "no-rate-limit", 3, "go"),
+    (3, "unguarded-division", 3, "go"),
+    (4, "send-without-gas-estimate", 1, "send"),
+    (4, "nonce-without-lock", 1, "send"),
+    (5, "json-without-status-check", 1, "read"),
+    (6, "unsafe-deserialization", 2, "pickle.load"),
+    (6, "unsafe-deserialization", 3, "yaml.load"),
+    (6, "unsafe-deserialization", 5, "yaml.load"),
+    (6, "sql-write-outside-with", 6, "cur.execute"),
+    (6, "type-ignore-no-reason", 9, "# type: ignore"),
+    (7, "broad-except-silent", 3, ""),
+    (16, "retry-without-idempotency", 2, "place_order"),
+)
+# Imports per template: (tid, line, module, names).
+CHECK_IMPORTS = (
+    (3, 1, "requests"),
+    (3, 1, "aiohttp"),
+    (3, 1, "asyncio"),
+    (3, 1, "logging"),
+    (3, 2, "utils"),
+    (6, 1, "pickle"),
+    (6, 1, "yaml"),
+    (11, 1, "numpy"),
+    (12, 1, "loguru"),
+    (12, 2, "full"),
+    (12, 3, "api"),
+)

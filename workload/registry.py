@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from workload import reports, scans
+from workload import checklist, reports, scans
 
-QUERIES = {**scans.QUERIES, **reports.QUERIES}
-ORACLES = {**scans.ORACLES, **reports.ORACLES}
+PARTS = (scans, reports, checklist)
+QUERIES = {name: fn for part in PARTS for name, fn in part.QUERIES.items()}
+ORACLES = {name: text for part in PARTS for name, text in part.ORACLES.items()}

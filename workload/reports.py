@@ -223,7 +223,7 @@ def fix_groups(spark, sf_dir):
     return rows.groupBy("repo", "path", "rule", "fix_group").agg(F.count("*").alias("findings"))
 
 
-MASKED = r"regexp_replace(regexp_replace(snippet, '''([^''""]{2})[^''""]{2,}([^''""]{2})(''|$)', '''\1***\2\3', 'g'), '""([^''""]{2})[^''""]{2,}([^''""]{2})(""|$)', '""\1***\2\3', 'g')".replace('""', '"')
+MASKED = r"""regexp_replace(regexp_replace(snippet, '''([^''"]{2})[^''"]{2,}([^''"]{2})(''|$)', '''\1***\2\3', 'g'), '"([^''"]{2})[^''"]{2,}([^''"]{2})("|$)', '"\1***\2\3', 'g')"""
 
 
 @query(
@@ -280,7 +280,7 @@ def context_case() -> str:
 
 @query(
     sql(
-        f"""SELECT repo, rule, CASE WHEN action = 'low' THEN least(confidence, 0.3) ELSE confidence END AS confidence, count(*) AS findings
+        f"""SELECT repo, rule, CASE WHEN action = 'low' THEN least(confidence, CAST(0.3 AS DOUBLE)) ELSE confidence END AS confidence, count(*) AS findings
 FROM (SELECT *, {context_case()} AS action FROM findings) WHERE action <> 'drop' GROUP BY ALL"""
     )
 )

@@ -251,7 +251,7 @@ CTES = {
     "ignore_hits": lambda: repo_hits(IGNORE_SELECTS),
     "structure_hits": lambda: repo_hits(STRUCTURE_SELECTS),
     "code_hits": code_hits,
-    "rules": lambda: "SELECT * FROM ("
+    "rules": lambda: "SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ("
     + values([(r.rule, r.severity, r.category, r.scanner, r.confidence) for r in catalog.RULES + catalog.CHECKLIST_RULES])
     + ") AS v(rule, severity, category, scanner, confidence)",
     "blocked_hits": lambda: "SELECT repo, repo_no, doc_id, tid, path, 'scan-error' AS rule, NULL AS line, NULL AS snippet FROM corpus WHERE tid = 29",
