@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from workload import checklist, reports, scans
+from workload import checklist, reports, reviews, scans
 
-PARTS = (scans, reports, checklist)
+PARTS = (scans, reports, checklist, reviews)
 QUERIES = {name: fn for part in PARTS for name, fn in part.QUERIES.items()}
 ORACLES = {name: text for part in PARTS for name, text in part.ORACLES.items()}
