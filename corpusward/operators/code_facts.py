@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import ast
 import io
+import sys
 import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +22,9 @@ from pyspark.sql.types import StructType
 
 from corpusward.functions import text
 
+# The functions below travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FUNCTION = (
     "name:string,line:int,end_line:int,is_async:boolean,has_docstring:boolean,returns_annotated:boolean,"
     "sole_stmt:string,block_depths:array<int>,decorators:array<string>,"
