@@ -56,15 +56,6 @@ def snippet(text: Column, width: int) -> Column:
     return F.substring(strip(text), 1, width)
 
 
-def folded(text: Column) -> Column:
-    """Case folded copy for cheap substring guards.
-
-    Upper before lower, so that every character which a case insensitive pattern takes
-    for an ASCII letter (long s, Kelvin sign, dotless i) ends up as that letter.
-    """
-    return F.lower(F.upper(text))
-
-
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     tests = [F.contains(text, F.lit(n)) for n in needles]
     found = tests[0]

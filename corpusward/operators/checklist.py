@@ -18,6 +18,7 @@ from corpusward.operators.code_rules import CALLS_OF, each
 from corpusward.operators.file_scan import DEFAULT_MARKER, NO_HITS, SCOPES, LineRule, scan_files
 from corpusward.operators.repo_rules import IGNORE_CHECKLIST, ignore_rules, profile_findings
 from corpusward.schema import as_findings
+from corpusward.sources.corpus import MARKERS, PYTHON, of_groups
 
 B, E = text.NOT_WORD_BEFORE, text.NOT_WORD_AFTER
 
@@ -172,7 +173,7 @@ def duplicate_blocks(files: DataFrame, size: int = 4) -> DataFrame:
 
 def requirement_names(files: DataFrame) -> DataFrame:
     """Named requirements: (repo, path, line, name), names in lower case with dashes."""
-    chosen = files.where(SCOPES["requirement"][0](F.col("path")))
+    chosen = of_groups(files, MARKERS).where(SCOPES["requirement"][0](F.col("path")))
     lines = chosen.select("repo", "path", F.posexplode(text.lines(F.col("content"))).alias("at", "text"))
     name = F.regexp_replace(F.lower(F.regexp_extract(text.strip(F.col("text")), r"^([A-Za-z0-9][A-Za-z0-9_.-]*)", 1)), r"[_.]", "-")
     return lines.select("repo", "path", (F.col("at") + 1).alias("line"), name.alias("name")).where("name <> ''")
@@ -212,7 +213,7 @@ def empty_packages(files: DataFrame) -> DataFrame:
     The folder is reduced to two flags and a path before it is shuffled.
     """
     path = F.col("path")
-    python = files.where(path.endswith(".py"))
+    python = of_groups(files, PYTHON).where(path.endswith(".py"))
     init = paths.file_name(path) == "__init__.py"
     folders = python.groupBy("repo", paths.parent_dir(path).alias("dir")).agg(
         F.max(F.when(init & (text.strip(F.col("content")) == ""), path)).alias("path"), F.bool_or(~init).alias("has_modules")

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusward.functions import text
+from corpusward.sources.corpus import PYTHON, of_groups
 
 # The functions below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -288,7 +289,7 @@ def code_facts(files: DataFrame) -> DataFrame:
     """Facts of all files named ``*.py``; other files never reach Python."""
     source = text.unix_newlines(F.col("content"))
     bad = F.col("bad_bytes") if "bad_bytes" in files.columns else F.lit(False)
-    python = files.where(F.col("path").endswith(".py") & F.col("content").isNotNull()).select("repo", "path", bad.alias("bad_bytes"), source.alias("source"))
+    python = of_groups(files, PYTHON).where(F.col("path").endswith(".py") & F.col("content").isNotNull()).select("repo", "path", bad.alias("bad_bytes"), source.alias("source"))
     shape = to_arrow_schema(StructType.fromDDL(FACTS))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

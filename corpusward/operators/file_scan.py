@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusward.catalog import Rule
 from corpusward.functions import paths, text
-from corpusward.functions.sqltext import contains_any, hit, one_of, quoted
+from corpusward.functions.sqltext import contains_any, contains_any_folded, hit, one_of, quoted
 from corpusward.functions.tables import small_rows
 from corpusward.operators import inventory
 from corpusward.schema import HIT, as_findings
@@ -35,7 +35,7 @@ class LineRule(NamedTuple):
     """A pattern for single lines.
 
     ``guard`` lists substrings of which each match contains at least one; ``fold`` says
-    that they are looked up in the case folded line. Guards only save time.
+    that case does not matter for them. Guards only save time.
     """
 
     rule: str
@@ -114,7 +114,6 @@ SCOPES: dict[str, tuple[Callable[[Column], Column], bool]] = {
 
 NO_HITS = f"CAST(array() AS ARRAY<{HIT}>)"
 LINE_TEXT = "text"  # column with the line, or with the whole file at position 0
-FOLDED = f"lower(upper({LINE_TEXT}))"
 STRIPPED = f"regexp_replace({LINE_TEXT}, {quoted(text.STRIP)}, '')"
 
 
@@ -167,6 +166,15 @@ def with_size(files: DataFrame) -> DataFrame:
     return files.withColumn("size", F.octet_length("content").cast("long"))
 
 
+class _Scan(NamedTuple):
+    """Parts of one scan: rows with scope flags, the array of units, and the hits of a unit."""
+
+    rows: DataFrame
+    flags: list[str]
+    units: Column
+    hits: str
+
+
 def scan_files(
     files: DataFrame,
     rules: Iterable[str] = NARROW_RULES,
@@ -180,8 +188,36 @@ def scan_files(
     ``extra_rules`` are line rules of the user, with their catalog rows in
     ``extra_catalog``. Works on a stream of files as well.
     """
-    wanted = set(rules)
-    line_rules = [r for r in LINE_RULES if r.rule in wanted] + list(extra_rules)
+    scan = _prepare(files, set(rules), list(extra_rules), marker, size_limit)
+    rows = scan.rows.select("repo", "path", *scan.flags, F.posexplode(scan.units).alias("line", LINE_TEXT))
+    return as_findings(rows.select("repo", "path", F.expr(f"inline({scan.hits})")), tuple(extra_catalog))
+
+
+def scan_with_context(
+    files: DataFrame,
+    rules: Iterable[str] = TEXT_RULES,
+    reach: int = 10,
+    marker: str = DEFAULT_MARKER,
+    size_limit: int = DEFAULT_SIZE_LIMIT,
+) -> DataFrame:
+    """Line hits with the lines around them: (repo, path, rule, line, first_line, context).
+
+    The lines of a file are at hand while it is scanned, so the context is a slice of
+    them: no join, and no text is shuffled.
+    """
+    scan = _prepare(files, set(rules), [], marker, size_limit)
+    first = f"greatest(h.line - {reach}, 1)"
+    found = f"flatten(transform(units, ({LINE_TEXT}, line) -> {scan.hits}))"
+    shown = (
+        f"transform(filter({found}, h -> h.line IS NOT NULL), h -> named_struct('rule', h.rule, 'line', h.line, "
+        f"'first_line', {first}, 'context', slice(units, {first} + 1, h.line + {reach} - {first} + 1)))"
+    )
+    rows = scan.rows.withColumn("units", scan.units)
+    return rows.select("repo", "path", F.expr(f"inline({shown})"))
+
+
+def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker: str, size_limit: int) -> _Scan:
+    line_rules = [r for r in LINE_RULES if r.rule in wanted] + extra
     wallet = [r for r in WALLET_RULES if r in wanted]
     scopes = sorted({r.scope for r in line_rules} | ({"wallet"} if wallet else set()))
     path_rules = [r for r in PATH_RULES if r in wanted]
@@ -209,9 +245,7 @@ def scan_files(
         units = F.concat(units, F.coalesce(split, F.array().cast("array<string>")))
     if not path_rules:
         rows = rows.where(_any(F.col(name) for name in flags))
-    rows = rows.select("repo", "path", *flags, F.posexplode(units).alias("line", LINE_TEXT))
-    hits = _hits(line_rules, wallet, path_rules, listener, blocked, marker)
-    return as_findings(rows.select("repo", "path", F.expr(f"inline({hits})")), tuple(extra_catalog))
+    return _Scan(rows, list(flags), units, _hits(line_rules, wallet, path_rules, listener, blocked, marker))
 
 
 def _may_match(line_rules: list[LineRule], wallet: list[str]) -> str:
@@ -224,7 +258,8 @@ def _may_match(line_rules: list[LineRule], wallet: list[str]) -> str:
             continue
         plain = dict.fromkeys(g for r in of_scope if not r.fold for g in r.guard)
         fold = dict.fromkeys(g for r in of_scope if r.fold for g in r.guard)
-        words = [contains_any(of, found) for of, found in (("content", plain), ("lower(upper(content))", fold)) if found]
+        words = [contains_any("content", plain)] if plain else []
+        words += [contains_any_folded("content", fold)] if fold else []
         tests.append(f"(in_{scope} AND ({' OR '.join(words)}))")
     if wallet:
         tests.append(f"(in_wallet AND {contains_any('content', (chr(39), chr(34)))})")
@@ -244,7 +279,8 @@ def _line_rule(rule: LineRule, marker: str) -> str:
         allowed = "true"
     elif rule.scope in ("line", "marker", "source", "dated"):
         allowed = f"{unmarked} AND NOT (substring_index(path, '/', 1) = 'references' AND contains({LINE_TEXT}, '`'))"
-    guard = contains_any(FOLDED if rule.fold else LINE_TEXT, rule.guard) if rule.guard else "true"
+    test = contains_any_folded if rule.fold else contains_any
+    guard = test(LINE_TEXT, rule.guard) if rule.guard else "true"
     return _when(
         f"in_{rule.scope} AND line > 0 AND {guard} AND {subject} RLIKE {quoted(rule.pattern)} AND {allowed}",
         hit(rule.rule, "line", evidence),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusward.functions.tables import broadcast_if_small
+from corpusward.sources.corpus import PYTHON, of_groups
 
 # --- Fixed values: groups by depth of change, and the tolerance of number checks ------
 FIX_GROUPS = ("surgical", "migration", "refactor")
@@ -122,11 +123,11 @@ def old_name_references(removed: DataFrame, files: DataFrame) -> DataFrame:
     """Python files that still use a removed public name: (repo, name, path).
 
     Each file gives its distinct identifiers once, so the join is on (repo, name) and no
-    file is paired with every name.
+    file is paired with every name. The removed names are broadcast while they are few.
     """
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
-    used = files.where(F.col("path").endswith(".py")).select("repo", "path", F.explode(words).alias("name"))
-    return used.join(removed.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
+    used = of_groups(files, PYTHON).where(F.col("path").endswith(".py")).select("repo", "path", F.explode(words).alias("name"))
+    return used.join(broadcast_if_small(removed.select("repo", "name").distinct()), ["repo", "name"], "left_semi")
 
 
 def module_pairs(facts: DataFrame, modified: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from corpusward.functions import paths, text
 from corpusward.functions.sqltext import hit
 from corpusward.operators.file_scan import DEFAULT_MARKER, DEPENDENCY_RULES, SCOPES, scan_files
 from corpusward.schema import as_findings
+from corpusward.sources.corpus import MARKERS, of_groups
 
 # --- Fixed values: paths and entries that are looked for -----------------------------
 IGNORE_FILE, ENV_FILE = ".gitignore", ".env"
@@ -47,10 +48,13 @@ def any_file(condition: Column) -> Column:
 def repo_profile(files: DataFrame) -> DataFrame:
     """One row of presence flags per repository.
 
-    Texts of root marker files are looked at only for those few names; with a table
-    sorted by path, Parquet skips the rest.
+    Two scans feed one aggregate: a listing that reads paths only, and the texts of the
+    two marker files, picked by name so that Parquet can skip row groups (and, in a stored
+    corpus, all but one partition).
     """
     path, content = F.col("path"), F.col("content")
+    listing = files.select("repo", "path", F.lit(None).cast("string").alias("content"))
+    marked = of_groups(files, MARKERS).where(path.isin(IGNORE_FILE, GATE_FILE)).select("repo", "path", "content")
     ignore = path == IGNORE_FILE
     entries = {
         f"ignores_{rule}": any_file(ignore & F.contains(content, F.lit(entry)))
@@ -66,7 +70,7 @@ def repo_profile(files: DataFrame) -> DataFrame:
         **entries,
         **required,
     }
-    return files.groupBy("repo").agg(*[value.alias(name) for name, value in columns.items()])
+    return listing.unionByName(marked).groupBy("repo").agg(*[value.alias(name) for name, value in columns.items()])
 
 
 def gated(profile: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def scan_dependencies(files: DataFrame, profile: DataFrame) -> DataFrame:
     the profile moves those files only.
     """
     path = F.col("path")
-    chosen = files.where(SCOPES["requirement"][0](path) | SCOPES["manifest"][0](path))
+    chosen = of_groups(files, MARKERS).where(SCOPES["requirement"][0](path) | SCOPES["manifest"][0](path))
     with_manifest = chosen.join(profile.where("has_manifest").select("repo"), "repo", "left_semi")
     return scan_files(with_manifest, DEPENDENCY_RULES, marker=DEFAULT_MARKER)
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from corpusward.catalog import CONFIDENCE_LEVELS, REVIEW_THRESHOLD
 from corpusward.functions import text
 from corpusward.functions.sqltext import quoted
-from corpusward.functions.tables import small_rows
+from corpusward.functions.tables import broadcast_if_small, small_rows
 from corpusward.schema import severity_rank
 
 FINDING_ITEM = (
@@ -135,13 +135,15 @@ def mask_evidence(findings: DataFrame) -> DataFrame:
     return findings.withColumn("snippet", shown)
 
 
-def hit_context(files: DataFrame, findings: DataFrame, reach: int = 10) -> DataFrame:
-    """Lines around every hit, as (repo, path, line, first_line, context).
+def hit_context(files: DataFrame, findings: DataFrame, reach: int = 10, max_files: int = 10_000) -> DataFrame:
+    """Lines around the hits of findings made elsewhere: (repo, path, line, first_line, context).
 
-    The hit lines of a file are gathered first (no more than the file has lines), so each
-    text meets one row; its lines are split once and the window around each hit is a slice.
+    For hits of the own scan use ``scan_with_context``, which needs no join. Here the hit
+    lines of a file are gathered first (no more than the file has lines), so each text
+    meets one row, and few files with hits are broadcast so that texts stay in place.
     """
     wanted = findings.where("line IS NOT NULL").groupBy("repo", "path").agg(F.collect_set("line").alias("hits"))
+    wanted = broadcast_if_small(wanted, max_files)
     split = files.select("repo", "path", "content").join(wanted, ["repo", "path"]).withColumn("ls", text.lines(F.col("content")))
     around = F.expr(
         f"transform(filter(hits, h -> h <= size(ls)), h -> named_struct('line', h, 'first_line', greatest(h - {reach}, 1), "

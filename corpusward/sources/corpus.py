@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.functions import paths, text
@@ -28,22 +28,25 @@ def read_tree(
     raw = reader.load(root)
     base = root.rstrip("/")
     inner = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), rf"^.*?\Q{base}\E/", "")
-    listed = raw.select(inner.alias("inner"), F.col("length").alias("size"), F.col("path").alias("source"))
+    listed = raw.select(inner.alias("inner"), F.col("length").alias("size"))
     kept = raw
     if size_limit is not None:
         kept = raw.where(F.col("length") <= size_limit)
-    files = kept.select(inner.alias("inner"), F.col("length").alias("size"), text.decode(F.col("content")).alias("content"))
+    files = kept.select(
+        inner.alias("inner"),
+        F.col("length").alias("size"),
+        text.decode(F.col("content")).alias("content"),
+        (~F.is_valid_utf8(F.col("content").cast("string"))).alias("bad_bytes"),
+    )
     if size_limit is not None:
-        large = listed.where(F.col("size") > size_limit).select("inner", "size", F.lit(None).cast("string").alias("content"))
-        files = files.unionByName(large)
+        large = listed.where(F.col("size") > size_limit)
+        files = files.unionByName(large.select("inner", "size", F.lit(None).cast("string").alias("content"), F.lit(False).alias("bad_bytes")))
     if repo_depth == 0:
-        return files.select(F.lit(base.rsplit("/", 1)[-1]).alias("repo"), F.col("inner").alias("path"), "size", "content")
-    return files.select(
-        F.substring_index("inner", "/", repo_depth).alias("repo"),
-        F.regexp_replace("inner", rf"^(?:[^/]*/){{{repo_depth}}}", "").alias("path"),
-        "size",
-        "content",
-    )
+        repo, path = F.lit(base.rsplit("/", 1)[-1]), F.col("inner")
+    else:
+        repo = F.substring_index("inner", "/", repo_depth)
+        path = F.regexp_replace("inner", rf"^(?:[^/]*/){{{repo_depth}}}", "")
+    return files.select(repo.alias("repo"), path.alias("path"), "size", "content", "bad_bytes")
 
 
 def read_corpus(
@@ -61,33 +64,57 @@ def read_corpus(
     """
     table = spark.read.format(file_format).load(source) if "/" in source else spark.table(source)
     body = F.col(content)
-    shown = text.decode(body) if dict(table.dtypes)[content] == "binary" else body
+    binary = dict(table.dtypes)[content] == "binary"
+    shown = text.decode(body) if binary else body
+    bad = [(~F.is_valid_utf8(body.cast("string"))).alias("bad_bytes")] if binary else []
     size = F.col("size").cast("long") if "size" in table.columns else F.octet_length(body).cast("long")
-    return table.select(F.col(repo).alias("repo"), F.col(path).alias("path"), size.alias("size"), shown.alias("content"))
+    group = [F.col("language_group")] if "language_group" in table.columns else []
+    return table.select(F.col(repo).alias("repo"), F.col(path).alias("path"), size.alias("size"), shown.alias("content"), *bad, *group)
+
+
+# Groups of a stored corpus; each is a partition of the table.
+PYTHON, WEB, MARKERS, OTHER = "python", "web", "markers", "other"
+MARKER_NAMES = (
+    ".gitignore", "SKILL.md", "pyproject.toml", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock",
+)
+
+
+def language_group(path: Column) -> Column:
+    name, ending = paths.file_name(path), paths.lower_suffix(path)
+    return (
+        F.when(name.endswith(".py"), PYTHON)
+        .when(ending.isin(".js", ".jsx", ".ts", ".tsx", ".html"), WEB)
+        .when(path.isin(*MARKER_NAMES) | name.rlike(r"^requirements.*\.txt\z"), MARKERS)
+        .otherwise(OTHER)
+    )
+
+
+def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") -> None:
+    """Store files partitioned by language group and sorted by path.
+
+    The code pass then reads the Python partition alone, and the manifest and marker
+    lookups read one small partition, instead of every text once more.
+    """
+    grouped = files.withColumn("language_group", language_group(F.col("path")))
+    grouped.sortWithinPartitions("language_group", "path").write.mode(mode).partitionBy("language_group").parquet(target)
 
 
-def write_corpus(files: DataFrame, target: str) -> None:
-    """Store files by language group, so that the code pass reads only the Python ones.
+def of_groups(files: DataFrame, *groups: str) -> DataFrame:
+    """Only these language groups, where the table knows them; otherwise all files.
 
-    Within a file of the table rows are sorted by path, which lets Parquet skip row
-    groups when a rule asks for a few root files by name.
+    It prunes partitions and never decides a result: callers still filter by name.
     """
-    ending = paths.lower_suffix(F.col("path"))
-    group = F.when(paths.file_name(F.col("path")).endswith(".py"), "python").when(
-        ending.isin(".js", ".jsx", ".ts", ".tsx", ".html"), "web"
-    ).otherwise("text")
-    files.withColumn("language_group", group).sortWithinPartitions("language_group", "path").write.partitionBy(
-        "language_group"
-    ).parquet(target)
+    if "language_group" in files.columns:
+        return files.where(F.col("language_group").isin(*groups))
+    return files
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """Spread a table that Spark would read in fewer tasks than there are cores.
+    """Spread a table that Spark would read in far fewer tasks than there are cores.
 
-    A large table already has many splits and is returned as it is, without a shuffle.
+    A large table has many splits and is returned as it is, without a shuffle.
     """
-    spark = files.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if files.isStreaming or files.rdd.getNumPartitions() >= cores:
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.isStreaming or files.rdd.getNumPartitions() > cores // 2:
         return files
     return files.repartition(cores)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corpusward import catalog
 from corpusward.functions.tables import dimension
 from corpusward.operators import config, fixes, history, reports, review, verdict
-from corpusward.operators.file_scan import scan_files
+from corpusward.operators.file_scan import scan_files, scan_with_context
 from corpusward.plans.audit import collect_findings
 from corpusward.schema import compact, stamp_run
+from corpusward.session import written
 from fixtures.corpus import corpus
 from workload import sqlbase as b
 from workload.scans import doc_files, shown, shown_sql
@@ -33,8 +34,10 @@ def all_findings(spark, sf_dir) -> DataFrame:
     return stamp_run(collect_findings(corpus(spark, sf_dir)), "2024-01-01-0900")
 
 
-# The message of the Python parser is left out of comparisons; it differs by version.
-NO_MESSAGE = "rule <> 'python-parse-error'"
+def stored_findings(spark, sf_dir) -> DataFrame:
+    """The findings written once, for reports that read them more than once."""
+    return written(all_findings(spark, sf_dir), "findings")
+
 
 OVERRIDES = (("verify-false", "P0"), ("python-print-call", "P3"))
 SUPPRESSIONS = (("Dockerfile", "todo"), ("references/rules.md", "placeholder"), ("package.json", "floating-dependency-version"))
@@ -119,12 +122,12 @@ BLOCKING = f"severity = 'P0' OR kind = 'blocked' OR (repo, rule) IN (SELECT (rep
 
 @query(sql(f"SELECT repo, path, rule, CAST(line_no AS BIGINT) AS line FROM findings WHERE {BLOCKING}"))
 def blocking_findings(spark, sf_dir):
-    return shown(verdict.blocking_findings(all_findings(spark, sf_dir))).drop("snippet")
+    return shown(verdict.blocking_findings(stored_findings(spark, sf_dir))).drop("snippet")
 
 
 @query(sql(f"SELECT repo, rule, CASE WHEN {BLOCKING} THEN 'required' ELSE 'optional' END AS due, count(*) AS findings FROM findings GROUP BY ALL"))
 def release_checklist(spark, sf_dir):
-    rows = verdict.release_checklist(all_findings(spark, sf_dir))
+    rows = verdict.release_checklist(stored_findings(spark, sf_dir))
     return rows.groupBy("repo", "rule", "due").agg(F.count("*").alias("findings"))
 
 
@@ -172,7 +175,7 @@ count(*) FILTER (severity = 'P2') AS p2, count(*) FILTER (severity = 'P3') AS p3
     )
 )
 def header_rows(spark, sf_dir):
-    return reports.header_rows(corpus(spark, sf_dir), all_findings(spark, sf_dir), "2024-01-01")
+    return reports.header_rows(corpus(spark, sf_dir), stored_findings(spark, sf_dir), "2024-01-01")
 
 
 @query(
@@ -256,6 +259,13 @@ def hit_context(spark, sf_dir):
     return rows.select("repo", "path", F.col("line").cast("long").alias("line"), F.col("first_line").cast("long").alias("first_line"), F.array_join("context", "\n").alias("context"))
 
 
+@query(ORACLES["hit_context"])
+def scan_context(spark, sf_dir):
+    """The same context taken while scanning, without a join."""
+    rows = scan_with_context(doc_files(spark, sf_dir), ("hardcoded-secret",))
+    return rows.select("repo", "path", F.col("line").cast("long").alias("line"), F.col("first_line").cast("long").alias("first_line"), F.array_join("context", "\n").alias("context"))
+
+
 # priority, rule, path pattern, line pattern, action
 CONTEXT_RULES = (
     (10, "todo", "^(tests|docs)/", None, "drop"),
@@ -403,6 +413,11 @@ def recorded(spark, sf_dir):
     return runs, found
 
 
+def stored_history(spark, sf_dir):
+    runs, found = recorded(spark, sf_dir)
+    return runs, written(found, "history")
+
+
 def recorded_sql() -> dict[str, str]:
     size = f"""CASE WHEN strlen(content) > 30000 THEN 'big' ELSE 'small' END"""
     hits = " UNION ALL ".join(
@@ -434,7 +449,7 @@ FROM run_rows LEFT JOIN (SELECT repo, run_id, count(*) AS h, count(*) FILTER (ru
     )
 )
 def history_normalised(spark, sf_dir):
-    rows = history.normalise_runs(*recorded(spark, sf_dir))
+    rows = history.normalise_runs(*stored_history(spark, sf_dir))
     return rows.withColumn("checks_run", F.array_join("checks_run", ",")).withColumn("history_source", F.coalesce("history_source", F.lit("")))
 
 
@@ -448,4 +463,4 @@ LEFT JOIN (SELECT repo, max(run_id) AS prior FROM run_rows x WHERE is_valid AND
     )
 )
 def retention_plan(spark, sf_dir):
-    return history.retention_plan(*recorded(spark, sf_dir))
+    return history.retention_plan(*stored_history(spark, sf_dir))
