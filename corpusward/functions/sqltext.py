@@ -25,12 +25,13 @@ def contains_any(expression: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({expression}, {quoted(w)})" for w in words) + ")"
 
 
-def contains_any_folded(expression: str, words: Iterable[str]) -> str:
+def contains_any_folded(expression: str, lowered: str, words: Iterable[str]) -> str:
     """Guard for case insensitive patterns; ``words`` are in lower case and have no ``i``.
 
-    A long s also counts as an s there, but ``lower`` keeps it: texts with one pass.
+    ``lowered`` is the expression in lower case. A long s also counts as an s in such
+    patterns, but lower case keeps it: texts with one pass.
     """
-    return f"({contains_any(f'lower({expression})', words)} OR contains({expression}, {quoted(LONG_S)}))"
+    return f"({contains_any(lowered, words)} OR contains({expression}, {quoted(LONG_S)}))"
 
 
 def hit(rule: str, line: str = "NULL", snippet: str = "NULL", error: str = "NULL") -> str:

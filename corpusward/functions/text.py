@@ -35,8 +35,9 @@ def unix_newlines(text: Column) -> Column:
 def lines(text: Column) -> Column:
     """Array of the lines of a text, without their ends. An empty text has no lines.
 
-    One closing line end is cut off by length first, so that the split needs no
-    look at its last element.
+    One closing line end is cut off by length first, so that the split needs no look at
+    its last element. Nearly all texts end their lines with a plain newline; splitting
+    those by one character is several times faster than by the pattern.
     """
     ending = (
         F.when(text.endswith("\r\n"), F.lit(2))
@@ -44,7 +45,8 @@ def lines(text: Column) -> Column:
         .otherwise(F.lit(0))
     )
     body = F.when(ending == 0, text).otherwise(F.left(text, F.length(text) - ending))
-    return F.when(text != "", F.split(body, LINE_BREAK, -1))
+    rare = contains_any(text, LINE_ENDS[1:])
+    return F.when(text == "", None).when(rare, F.split(body, LINE_BREAK, -1)).otherwise(F.split(body, "\n", -1))
 
 
 def strip(text: Column) -> Column:

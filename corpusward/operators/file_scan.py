@@ -114,6 +114,7 @@ SCOPES: dict[str, tuple[Callable[[Column], Column], bool]] = {
 
 NO_HITS = f"CAST(array() AS ARRAY<{HIT}>)"
 LINE_TEXT = "text"  # column with the line, or with the whole file at position 0
+LOWER_TEXT = "lower_text"  # the same in lower case
 STRIPPED = f"regexp_replace({LINE_TEXT}, {quoted(text.STRIP)}, '')"
 
 
@@ -167,11 +168,13 @@ def with_size(files: DataFrame) -> DataFrame:
 
 
 class _Scan(NamedTuple):
-    """Parts of one scan: rows with scope flags, the array of units, and the hits of a unit."""
+    """Parts of one scan: rows with scope flags, the array of units, what a line must
+    contain to be looked at, and the hits of a unit."""
 
     rows: DataFrame
     flags: list[str]
     units: Column
+    candidate: str
     hits: str
 
 
@@ -190,6 +193,7 @@ def scan_files(
     """
     scan = _prepare(files, set(rules), list(extra_rules), marker, size_limit)
     rows = scan.rows.select("repo", "path", *scan.flags, F.posexplode(scan.units).alias("line", LINE_TEXT))
+    rows = rows.withColumn(LOWER_TEXT, F.when(F.col("line") > 0, F.lower(LINE_TEXT))).where(scan.candidate)
     return as_findings(rows.select("repo", "path", F.expr(f"inline({scan.hits})")), tuple(extra_catalog))
 
 
@@ -207,7 +211,9 @@ def scan_with_context(
     """
     scan = _prepare(files, set(rules), [], marker, size_limit)
     first = f"greatest(h.line - {reach}, 1)"
-    found = f"flatten(transform(units, ({LINE_TEXT}, line) -> {scan.hits}))"
+    # a line that no rule can match is not looked at closer; its lower case form is only made then
+    hits = f"IF({scan.candidate}, {scan.hits}, {NO_HITS})".replace(LOWER_TEXT, f"lower({LINE_TEXT})")
+    found = f"flatten(transform(units, ({LINE_TEXT}, line) -> {hits}))"
     shown = (
         f"transform(filter({found}, h -> h.line IS NOT NULL), h -> named_struct('rule', h.rule, 'line', h.line, "
         f"'first_line', {first}, 'context', slice(units, {first} + 1, h.line + {reach} - {first} + 1)))"
@@ -241,15 +247,20 @@ def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker:
     rows = files.withColumns(flags) if flags else files
     units = F.array(F.when(F.col("in_listener"), content) if listener else F.lit(None).cast("string"))
     if scopes:
-        split = F.when(F.expr(_may_match(line_rules, wallet)), text.lines(content))
+        # in lower case once for all rules, and only for files that have such rules
+        folding = [F.col(f"in_{scope}") for scope in sorted({r.scope for r in line_rules if r.fold})]
+        if folding:
+            rows = rows.withColumn("lower_content", F.when(_any(folding), F.lower(content)))
+        split = F.when(F.expr(_may_match(line_rules, wallet, "content", "lower_content")), text.lines(content))
         units = F.concat(units, F.coalesce(split, F.array().cast("array<string>")))
     if not path_rules:
         rows = rows.where(_any(F.col(name) for name in flags))
-    return _Scan(rows, list(flags), units, _hits(line_rules, wallet, path_rules, listener, blocked, marker))
+    candidate = "line = 0" if not scopes else f"line = 0 OR {_may_match(line_rules, wallet, LINE_TEXT, LOWER_TEXT)}"
+    return _Scan(rows, list(flags), units, candidate, _hits(line_rules, wallet, path_rules, listener, blocked, marker))
 
 
-def _may_match(line_rules: list[LineRule], wallet: list[str]) -> str:
-    """False only for a text in which none of the rules in scope can match any line."""
+def _may_match(line_rules: list[LineRule], wallet: list[str], subject: str, lowered: str) -> str:
+    """False only for a text, or a line, that no rule in scope can match."""
     tests = []
     for scope in sorted({r.scope for r in line_rules}):
         of_scope = [r for r in line_rules if r.scope == scope]
@@ -258,11 +269,11 @@ def _may_match(line_rules: list[LineRule], wallet: list[str]) -> str:
             continue
         plain = dict.fromkeys(g for r in of_scope if not r.fold for g in r.guard)
         fold = dict.fromkeys(g for r in of_scope if r.fold for g in r.guard)
-        words = [contains_any("content", plain)] if plain else []
-        words += [contains_any_folded("content", fold)] if fold else []
+        words = [contains_any(subject, plain)] if plain else []
+        words += [contains_any_folded(subject, lowered, fold)] if fold else []
         tests.append(f"(in_{scope} AND ({' OR '.join(words)}))")
     if wallet:
-        tests.append(f"(in_wallet AND {contains_any('content', (chr(39), chr(34)))})")
+        tests.append(f"(in_wallet AND {contains_any(subject, (chr(39), chr(34)))})")
     return " OR ".join(tests)
 
 
@@ -279,8 +290,9 @@ def _line_rule(rule: LineRule, marker: str) -> str:
         allowed = "true"
     elif rule.scope in ("line", "marker", "source", "dated"):
         allowed = f"{unmarked} AND NOT (substring_index(path, '/', 1) = 'references' AND contains({LINE_TEXT}, '`'))"
-    test = contains_any_folded if rule.fold else contains_any
-    guard = test(LINE_TEXT, rule.guard) if rule.guard else "true"
+    guard = "true"
+    if rule.guard:
+        guard = contains_any_folded(LINE_TEXT, LOWER_TEXT, rule.guard) if rule.fold else contains_any(LINE_TEXT, rule.guard)
     return _when(
         f"in_{rule.scope} AND line > 0 AND {guard} AND {subject} RLIKE {quoted(rule.pattern)} AND {allowed}",
         hit(rule.rule, "line", evidence),
