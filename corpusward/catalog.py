@@ -146,6 +146,7 @@ CHECKLIST_RULES = (
     Rule("json-without-status-check", "P1", BUGS, "checklist_scan", "Response used unchecked", "Check the status first", LOW),
     Rule("order-without-slippage-cap", "P1", BUGS, "checklist_scan", "Order without a price limit", "Pass a limit", LOW),
     Rule("commented-code-block", "P2", DEBT, "checklist_scan", "Block of disabled code", "Delete it", MEDIUM),
+    Rule("duplicate-block", "P2", DEBT, "checklist_scan", "Same lines in several places", "Move them to one place", MEDIUM),
     Rule("extended-marker", "P2", DEBT, "checklist_scan", "Temporary marker", "Finish the task", MEDIUM),
     Rule("not-implemented-stub", "P2", DEBT, "checklist_scan", "Stub raises NotImplementedError", "Implement it", MEDIUM),
     Rule("debug-true", "P1", SECURITY, "checklist_scan", "Debug mode on", "Switch it off for release", MEDIUM),

@@ -171,6 +171,18 @@ def duplicate_blocks(files: DataFrame, size: int = 4) -> DataFrame:
     return found.where("places > 1").select("first.*", "places", "files")
 
 
+def block_findings(comments: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Comment runs and duplicate blocks as findings, at their first line."""
+    number = lambda column: F.col(column).cast("string")
+    commented = comments.withColumns({"rule": F.lit("commented-code-block"), "snippet": F.concat(number("lines"), F.lit(" comment lines"))})
+    repeated = duplicates.withColumns(
+        {"rule": F.lit("duplicate-block"), "snippet": F.concat(number("places"), F.lit(" places in "), number("files"), F.lit(" files"))}
+    )
+    columns = ["repo", "path", "rule", "line", "snippet"]
+    hits = commented.select(*columns).unionByName(repeated.select(*columns))
+    return as_findings(hits.withColumn("error", F.lit(None).cast("string")))
+
+
 def requirement_names(files: DataFrame) -> DataFrame:
     """Named requirements: (repo, path, line, name), names in lower case with dashes."""
     chosen = of_groups(files, MARKERS).where(SCOPES["requirement"][0](F.col("path")))

@@ -47,6 +47,36 @@ def read_history(spark: SparkSession, source: str, repo: str | None = None) -> t
     return runs, found
 
 
+SAVED_REPORT = (
+    f"root string, decision struct<verdict:string,reasons:array<string>>, "
+    f"findings array<struct<{', '.join(part.replace(' ', ':') for part in COMPACT.split(', '))}>>, "
+    "coverage struct<total_files:bigint,reviewed_files:bigint,skipped_files:bigint,finding_count:bigint,blocked_count:bigint>, "
+    "verification struct<checks_run:array<string>,history_source:string>, _corrupt string"
+)
+
+
+def read_saved_reports(spark: SparkSession, folder: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Reports saved as one JSON file per run, as history tables (runs, findings).
+
+    The run id is the date at the start of the file name. A file that does not parse keeps
+    its run with ``is_valid`` false, so that an older readable one is taken instead. The
+    root named in the report is the repository; a broken file is filed under its folder.
+    """
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder)
+    name, place = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    report = F.from_json("value", SAVED_REPORT, {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = raw.select(
+        F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2}-\d{4,6})", 1).alias("run_id"),
+        F.element_at(F.split(place, "/"), -2).alias("folder"),
+        report.alias("r"),
+    )
+    valid = F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    rows = rows.select("run_id", "r", valid.alias("is_valid"), F.coalesce(F.when(valid, F.col("r.root")), "folder").alias("repo"))
+    runs = rows.select("repo", "is_valid", "r.decision.verdict", "r.coverage", "r.verification", "run_id")
+    found = rows.where("is_valid").select("repo", "run_id", F.inline("r.findings"))
+    return runs, found.withColumn("kind", F.coalesce("kind", F.lit("finding")))
+
+
 def run_records(decision: DataFrame, covered: DataFrame, verified: DataFrame) -> DataFrame:
     """Records for ``write_history`` from the verdict, coverage and verification tables."""
     shape = F.struct("total_files", "reviewed_files", "skipped_files", "finding_count", "blocked_count")

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from corpusward.operators import reports, verdict
+from corpusward.operators import history, reports, verdict
 from corpusward.operators.file_scan import scan_files
 from corpusward.plans.audit import audit, collect_findings
 from corpusward.schema import FINDING, stamp_run
@@ -72,6 +72,22 @@ def test_history_round_trip(spark, make_files, tmp_path):
     assert "structure_scan" in run.verification.checks_run
 
 
+def test_saved_reports_newest_readable_wins(spark, tmp_path):
+    whole = '{"root": "r", "decision": {"verdict": "GO"}, "findings": [{"kind": "blocked", "rule": "scan-error", "path": "a"}, {"rule": "todo", "path": "b", "line": 3}]}'
+    folder = tmp_path / "r"
+    folder.mkdir()
+    (folder / "2024-01-01-0900-audit.json").write_text(whole)
+    (folder / "2024-01-02-0900-audit.json").write_text(whole)
+    (folder / "2024-01-03-0900-audit.json").write_text(whole[:60])
+    (folder / "notes.txt").write_text("x")
+    runs, found = stored.read_saved_reports(spark, str(tmp_path))
+    assert {(r.run_id, r.is_valid) for r in runs.collect()} == {("2024-01-01-0900", True), ("2024-01-02-0900", True), ("2024-01-03-0900", False)}
+    (newest,) = history.latest_run(runs).collect()
+    assert (newest.repo, newest.run_id) == ("r", "2024-01-02-0900")
+    rows = {r.run_id: r for r in history.normalise_runs(runs, found).collect()}
+    assert (rows["2024-01-02-0900"].finding_count, rows["2024-01-02-0900"].blocked_count, rows["2024-01-02-0900"].checks_run) == (2, 1, [])
+
+
 def test_findings_as_json(spark, make_files, tmp_path):
     found = stamp_run(scan_files(make_files(("a.txt", "TODO x"))), "1")
     target = str(tmp_path / "json")
