@@ -113,10 +113,15 @@ def checklist_code(facts: DataFrame) -> DataFrame:
 
 
 def only_in_context(findings: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Keep trading and chain rules for repositories in that context, other rules always."""
+    """Keep trading and chain rules for repositories in that context, other rules always.
+
+    One pass over the findings: contexts have one row per repository, so the left join
+    keeps their number, and Spark broadcasts them or splits a hot repository by size.
+    """
     gated = F.col("rule").isin(*WALLET_CONTEXT_RULES, *CONTEXT_FACT_RULES)
-    inside = findings.where(gated).join(contexts.select("repo"), "repo", "left_semi")
-    return findings.where(~gated).unionByName(inside)
+    marked = contexts.select("repo", F.lit(True).alias("in_context"))
+    kept = findings.join(marked, "repo", "left").where(~gated | F.col("in_context").isNotNull())
+    return kept.select(*findings.columns)
 
 
 def banned_imports(facts: DataFrame, banned: DataFrame, max_rows: int = 1000) -> DataFrame:

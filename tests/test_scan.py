@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from corpusward.operators import file_scan as fs
 from corpusward.operators.checklist import checklist_lines
 
-# Patterns in Python syntax, for the comparison by brute force.
+# The patterns in Python syntax, for the comparison by brute force.
 PYTHON_PATTERNS = {
     "todo": r"\b(TODO|FIXME|HACK|XXX)\b",
     "placeholder": r"(?i)\b(lorem ipsum|changeme|password|123456)\b",

@@ -79,6 +79,7 @@ LINE_SCOPE = (
 WEB_SCOPE = f"{LOWER_SUFFIX} IN ('.html', '.js', '.jsx', '.py', '.ts', '.tsx') AND {FIRST} <> 'references' AND NOT {MARKED}"
 WALLET_SCOPE = f"{LOWER_SUFFIX} IN ('.py', '.js', '.jsx', '.ts', '.tsx') AND NOT {MARKED}"
 
+# The patterns of the rules in RE2 syntax.
 LINE_PATTERNS = (
     ("todo", f"{B}(TODO|FIXME|HACK|XXX){E}"),
     ("placeholder", f"(?i){B}(lorem ipsum|changeme|password|123456){E}"),
