@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="corpusward-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return local_dir()
+
+
+@cache
+def local_dir() -> str:
+    return tempfile.mkdtemp(prefix="corpusward-")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusward.operators import history, reports, verdict
 from corpusward.operators.file_scan import scan_files
 from corpusward.plans.audit import audit, collect_findings
 from corpusward.schema import FINDING, stamp_run
+from corpusward.session import shared_dir
 from corpusward.sources import corpus as sources
 from corpusward.sources import history as stored
 from corpusward.streaming import scans as st
@@ -23,6 +26,20 @@ TREE = {
 }
 
 
+class NoSetting:
+    """A session without ``spark.checkpoint.dir``."""
+
+    def __init__(self, master):
+        self.conf = SimpleNamespace(get=lambda name, default: default)
+        self.sparkContext = SimpleNamespace(master=master)
+
+
+def test_only_a_local_session_may_lack_the_shared_folder(spark):
+    assert shared_dir(NoSetting("local[2]")) == shared_dir(NoSetting("local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(NoSetting("yarn"))
+
+
 def plant(tmp_path):
     for name, data in TREE.items():
         target = tmp_path / name
