@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +26,9 @@ def build_session(app: str = "corpusward", cores: str | int = "*", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without one: there a temporary folder serves, since
-    driver and executors are one process. On a cluster a missing setting is an error,
-    because a machine-local folder would vanish with its executor.
-    """
+    """The folder named by ``spark.checkpoint.dir``, or else one in the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return local_dir()
-
-
-@cache
-def local_dir() -> str:
-    return tempfile.mkdtemp(prefix="corpusward-")
+    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
