@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusward.llm import langid, mixing, packing, simhash
+from corpusward.llm import knn, langid, mixing, packing, quality, simhash, sql, warc
 from corpusward.llm.common import table
 
 
@@ -28,10 +29,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
+    "op7_warc_archive": op7_warc_archive,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op10_exact_top_k": op10_exact_top_k,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(sql.ORACLES)
