@@ -10,7 +10,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = r"[\x20\x09-\x0D]+"  # what parts words in the contracts
 HELD_OUT = 2  # remainder of crc32(doc_id) mod 4 that no model learns from
 
 
@@ -36,6 +35,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(True))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A random-looking key that only rows with equal id and text share."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null and blank texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -23,17 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusward.llm.common import word_count
+from corpusward.llm.common import row_key, word_count
 from corpusward.session import written
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 
 
-def random_key(doc_id: Column, text: Column) -> Column:
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))))
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """source, source_size, target for rows of (source, size)."""
     listed = F.array(*map(F.lit, weights))
@@ -92,7 +88,7 @@ def taken() -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs``."""
-    rows = written(docs.select("doc_id", "source", random_key(F.col("doc_id"), F.col("text")).alias("key"), word_count(F.col("text")).alias("size")), "sizes")
+    rows = written(docs.select("doc_id", "source", row_key(F.col("doc_id"), F.col("text")).alias("key"), word_count(F.col("text")).alias("size")), "sizes")
     cuts = written(source_cuts(rows, weights, most_epochs), "cuts")
     joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("of_source")))
     return joined.select("doc_id", "size", "source_size", "target", taken().alias("taken"))
@@ -104,7 +100,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int
     The document at a source's cut comes once more with its first words only; ``n_chars``
     then counts what is left. Documents that the mix leaves out have no row.
     """
-    held = docs.select(F.struct("*").alias("row"), "source", random_key(F.col("doc_id"), F.col("text")).alias("key"), word_count(F.col("text")).alias("size"))
+    held = docs.select(F.struct("*").alias("row"), "source", row_key(F.col("doc_id"), F.col("text")).alias("key"), word_count(F.col("text")).alias("size"))
     cuts = written(source_cuts(written(held.select("source", "key", "size"), "sizes"), weights, most_epochs), "cuts")
     joined = held.join(cuts, F.col("source").eqNullSafe(F.col("of_source"))).where("size > 0")
     whole = F.col("epochs") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)

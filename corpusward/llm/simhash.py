@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.llm.common import ship
+from corpusward.llm.common import row_key, ship
 from corpusward.llm.components import components
 from corpusward.session import written
 
@@ -51,14 +51,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and its fingerprint as a long."""
+    """doc_id, the fingerprint of the text as a long, and a key that rows with equal id and text share."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([fingerprint(text.as_py(), shingle) for text in batch.column(1)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "fingerprint"])
+            made = pa.array([fingerprint(text.as_py(), shingle) for text in batch.column(2)], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(1)], names=["doc_id", "fingerprint", "key"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of_batches, "doc_id long, fingerprint long")
+    asked = docs.select(F.col("doc_id").cast("long"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string"))
+    return asked.mapInArrow(of_batches, "doc_id long, fingerprint long, key string")
 
 
 def half_counts(print_: Column, half: int) -> Column:
@@ -87,16 +88,31 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return home.join(probe, (home["cell"] == probe["cell"]) & near).select("a", "b")
 
 
+def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """fingerprint, component_id and keeper, the key of the row that stands for the component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    nodes = written(prints.groupBy("fingerprint").agg(first), "nodes")
+    roots = components(links(nodes, distance)).select(F.col("node").alias("fingerprint"), "root")
+    placed = nodes.join(roots, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    of_root = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return placed.join(of_root, "root").select("fingerprint", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keeper"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 lower case hex digits) and component_id of every row."""
     prints = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, distance)).select(F.col("node").alias("fingerprint"), "root")
-    placed = nodes.join(roots, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = placed.join(least, "root").select("fingerprint", "component_id")
     shown = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return prints.join(ids, "fingerprint").select("doc_id", shown, "component_id")
+    return prints.join(groups(prints, distance).drop("keeper"), "fingerprint").select("doc_id", shown, "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, with the smallest doc_id; rows without an id only where no row has one.
+
+    Rows with equal id and text fold into one in every task before texts move.
+    """
+    kept = groups(written(fingerprints(docs, shingle), "fingerprints"), distance).select(F.col("keeper").alias("key")).distinct()
+    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.struct("*").alias("row"))
+    return rows.groupBy("key").agg(F.first("row").alias("row")).join(kept, "key", "left_semi").select("row.*")
 
 
 ship(__name__)

@@ -59,4 +59,47 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES = {"op5_source_mixing": OP5, "op7_warc_archive": OP7, "op10_exact_top_k": OP10}
+OP2 = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), neighbours AS (
+    SELECT t.*, coalesce(lead(doc_id) OVER down, first_value(doc_id) OVER down) AS next_id FROM texts t WINDOW down AS (ORDER BY doc_id DESC)
+), changed AS (
+    SELECT n.doc_id, n.next_id, n.text, left(n.text, length(n.text) - length(n.text) // 2) || left(f.text, length(n.text) // 2) AS changed
+    FROM neighbours n JOIN texts f ON f.doc_id = n.next_id
+), versions AS (
+    SELECT doc_id, 'own' AS kind, text FROM texts UNION ALL SELECT doc_id, 'edited', changed FROM changed
+), words AS (
+    SELECT DISTINCT doc_id, kind, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM versions
+), frequencies AS (
+    SELECT term, count(*) AS df FROM words WHERE kind = 'own' AND term <> '' GROUP BY term
+), band AS (
+    SELECT term FROM frequencies WHERE ln((SELECT count(*) FROM texts) / df) BETWEEN 0.7 AND 5.0
+), marked AS (
+    SELECT w.*, b.term IS NOT NULL AS held, max(b.term IS NOT NULL) OVER (PARTITION BY w.doc_id, w.kind) AS any_held
+    FROM words w LEFT JOIN band b USING (term) WHERE w.term <> ''
+), bounds AS (
+    SELECT k, CASE WHEN k < 1 THEN 'g' WHEN k < 2 THEN '400' WHEN k < 4 THEN '100' WHEN k < 12 THEN '080' WHEN k < 28 THEN '040' WHEN k < 44 THEN '020' ELSE '008' END AS bound
+    FROM range(60) t(k)
+), parts AS (
+    SELECT doc_id, kind, k, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS part
+    FROM marked, bounds
+    WHERE (held OR NOT any_held) AND left(md5(concat(k, ':', term)), 3) < bound
+    GROUP BY ALL
+), prints AS (
+    SELECT v.doc_id, v.kind, list(coalesce(p.part, '') ORDER BY b.k) AS parts
+    FROM versions v CROSS JOIN bounds b LEFT JOIN parts p ON p.doc_id = v.doc_id AND p.kind = v.kind AND p.k = b.k
+    GROUP BY ALL
+), compared AS (
+    SELECT c.doc_id, length(c.text) AS n_chars, sha256(c.changed) AS edited_sha256, o.parts AS own, e.parts AS edited,
+           list_zip(o.parts, e.parts) AS with_edited, list_zip(o.parts, n.parts) AS with_next
+    FROM changed c JOIN prints o ON o.doc_id = c.doc_id AND o.kind = 'own' JOIN prints e ON e.doc_id = c.doc_id AND e.kind = 'edited'
+         JOIN prints n ON n.doc_id = c.next_id AND n.kind = 'own'
+)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(own, '-') AS fingerprint, array_to_string(edited, '-') AS edited_fingerprint,
+       coalesce(len(list_filter(with_edited, lambda p: p[1] <> '' AND p[1] = p[2])) / nullif(len(list_filter(with_edited, lambda p: p[1] <> '' OR p[2] <> '')), 0), 1.0) AS near_edited,
+       coalesce(len(list_filter(with_next, lambda p: p[1] <> '' AND p[1] = p[2])) / nullif(len(list_filter(with_next, lambda p: p[1] <> '' OR p[2] <> '')), 0), 1.0) AS near_next
+FROM compared
+"""
+
+ORACLES = {"op2_imatch_fingerprints": OP2, "op5_source_mixing": OP5, "op7_warc_archive": OP7, "op10_exact_top_k": OP10}
