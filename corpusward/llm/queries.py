@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.llm import imatch, knn, langid, mixing, packing, quality, simhash, sql, tokens, warc
+from corpusward.llm import imatch, knn, langid, licences, mixing, packing, quality, simhash, sql, tokens, warc
 from corpusward.llm.common import table
 
 
@@ -47,6 +47,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their sources; every eighth is the licence file of a directory."""
+    docs, number = table(spark, sf_dir, "documents"), F.col("doc_id")
+    is_licence = number % 8 == 3
+    name = F.when(is_licence, F.format_string("LICENSE-%d", number)).otherwise(F.format_string("%d/%d.txt", F.floor(number / 100) % 10, number))
+    path = F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.floor(number / 1000).cast("string"), F.lit("/"), name)
+    files = docs.select("doc_id", F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"))
+    return licences.scan(files).select("row.doc_id", "row.path", "own_licence", "own_score", "licence", "given_by")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_warc_archive": op7_warc_archive,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_licence_scan": op9_licence_scan,
     "op10_exact_top_k": op10_exact_top_k,
     "pipeline": corpus_pipeline.run,
 }

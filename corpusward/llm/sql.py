@@ -102,4 +102,72 @@ SELECT doc_id, n_chars, edited_sha256, array_to_string(own, '-') AS fingerprint,
 FROM compared
 """
 
-ORACLES = {"op2_imatch_fingerprints": OP2, "op5_source_mixing": OP5, "op7_warc_archive": OP7, "op10_exact_top_k": OP10}
+OP9 = r"""
+WITH files AS (
+    SELECT doc_id, source AS repo, coalesce(lang, '') || '/' || doc_id // 1000 || '/' ||
+           CASE WHEN doc_id % 8 = 3 THEN 'LICENSE-' || doc_id ELSE (doc_id // 100) % 10 || '/' || doc_id || '.txt' END AS path,
+           doc_id % 8 = 3 AS is_licence, lower(coalesce(text, '')) AS text
+    FROM documents
+), notices(n, licence, text) AS (
+    -- fixed values: usual notices of public licences
+    VALUES (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+           (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+           (2, 'BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
+           (3, 'BSD-3-Clause', 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.'),
+           (4, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
+           (5, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+           (6, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+           (7, 'GPL-3.0', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+           (8, 'MIT', 'Released under the MIT License.'),
+           (9, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+           (10, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.')
+), template_counts AS (
+    SELECT n, licence, term, count(*) AS c
+    FROM (SELECT n, licence, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM notices) WHERE term <> '' GROUP BY ALL
+), df AS (
+    SELECT term, count(DISTINCT doc_id) AS df
+    FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS term FROM files) GROUP BY term
+), idf AS (
+    SELECT t.term, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf
+    FROM (SELECT DISTINCT term FROM template_counts) t LEFT JOIN df USING (term)
+), templates AS (
+    SELECT n, licence, term, c * idf / sqrt(sum(c * c * idf * idf) OVER (PARTITION BY n)) AS share FROM template_counts JOIN idf USING (term)
+), passages AS (
+    SELECT DISTINCT doc_id, unnest(list_concat(regexp_split_to_array(text, '\r\n|\r|\n'), regexp_split_to_array(text, '\n[ \t\r]*\n'),
+                                               CASE WHEN is_licence THEN [text] ELSE [] END)) AS passage
+    FROM files
+), counts AS (
+    SELECT doc_id, passage, term, count(*) AS c
+    FROM (SELECT doc_id, passage, unnest(regexp_split_to_array(passage, '[^\p{L}\p{N}]+')) AS term FROM passages) WHERE term <> '' GROUP BY ALL
+), weighed AS (
+    SELECT c.*, c.c * coalesce(idf, ln(1 + (SELECT count(*) FROM files)) + 1) AS weight FROM counts c LEFT JOIN idf USING (term)
+), lengths AS (
+    SELECT doc_id, passage, sqrt(sum(weight * weight)) AS length FROM weighed GROUP BY ALL
+), scored AS (
+    SELECT w.doc_id, t.licence, round(sum(w.weight * t.share) / any_value(l.length), 6) AS score
+    FROM weighed w JOIN templates t USING (term) JOIN lengths l ON l.doc_id = w.doc_id AND l.passage = w.passage
+    GROUP BY w.doc_id, w.passage, t.n, t.licence
+), own AS (
+    SELECT doc_id, licence, score FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1
+), placed AS (
+    SELECT f.doc_id, f.repo, f.path, f.is_licence, regexp_replace(f.path, '/[^/]*$', '') AS directory, o.licence, o.score
+    FROM files f LEFT JOIN own o USING (doc_id)
+), licensed AS (
+    SELECT repo, directory, licence FROM placed WHERE is_licence AND licence IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY repo, directory ORDER BY score DESC, licence, path) = 1
+), above AS (
+    SELECT p.doc_id, l.licence, l.directory
+    FROM placed p JOIN licensed l ON l.repo IS NOT DISTINCT FROM p.repo AND (p.directory = l.directory OR starts_with(p.directory, l.directory || '/'))
+    WHERE p.licence IS NULL QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY length(l.directory) DESC) = 1
+)
+SELECT p.doc_id, p.path, p.licence AS own_licence, p.score AS own_score, coalesce(p.licence, a.licence) AS licence, a.directory AS given_by
+FROM placed p LEFT JOIN above a USING (doc_id)
+"""
+
+ORACLES = {
+    "op2_imatch_fingerprints": OP2,
+    "op5_source_mixing": OP5,
+    "op7_warc_archive": OP7,
+    "op9_licence_scan": OP9,
+    "op10_exact_top_k": OP10,
+}
