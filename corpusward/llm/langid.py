@@ -102,7 +102,7 @@ class Profiles:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, length: int = LANGUAGE_GRAMS) -> dict[str, list[int]]:
     """Profiles from the labelled documents that are not held out, ``per_language`` of each language."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    known = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     chosen = sample(known, "lang", per_language).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("language"))
     texts = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("language"))).select("language", "text")
 

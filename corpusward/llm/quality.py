@@ -104,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, shards
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     ratio = {row["quality"]: row["count"] for row in known.groupBy("quality").count().collect()}
     chosen = sample(known, "quality", per_label, key="labelled")
-    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text")
     shown = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("places", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
