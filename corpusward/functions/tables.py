@@ -1,33 +1,10 @@
-"""Small tables: fixed dimensions and user settings of a checked size."""
+"""Fixed dimensions of the library."""
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
-
-SMALL_TABLE_ROWS = 100_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def dimension(spark: SparkSession, rows: list[dict], schema: pa.Schema | None = None) -> DataFrame:
     """A fixed table of the library. Spark keeps it in the plan and knows its size."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Mark a user table for broadcast when it has at most ``max_rows`` rows.
-
-    A larger one is returned as it is: the join then shuffles, and Spark splits its
-    skewed partitions. The check reads no more than ``max_rows + 1`` rows.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def small_rows(df: DataFrame, max_rows: int, what: str) -> list[Row]:
-    """Rows of a settings table on the driver; refuses a table over its limit."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; this table holds settings, not data")
-    return rows

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusward.functions import paths, text
-from corpusward.functions.sqltext import one_of, quoted
-from corpusward.functions.tables import SMALL_TABLE_ROWS, broadcast_if_small, small_rows
+from corpusward.functions.sqltext import hit, one_of, quoted
 from corpusward.operators import inventory
 from corpusward.operators.code_rules import CALLS_OF, each
 from corpusward.operators.file_scan import DEFAULT_MARKER, NO_HITS, SCOPES, LineRule, scan_files
@@ -124,12 +123,13 @@ def only_in_context(findings: DataFrame, contexts: DataFrame) -> DataFrame:
     return kept.select(*findings.columns)
 
 
-def banned_imports(facts: DataFrame, banned: DataFrame, max_rows: int = 1000) -> DataFrame:
+def banned_imports(facts: DataFrame, banned: DataFrame) -> DataFrame:
     """Imports of modules, or of parts of modules, that a project bars (column ``module``)."""
-    names = [r["module"] for r in small_rows(banned.select("module"), max_rows, "banned imports")]
-    barred = f"({one_of('f.module', names)} OR {one_of('substring_index(f.module, chr(46), 1)', names)})" if names else "false"
-    hits = each("imports", barred, "banned-import", "f.module")
-    return as_findings(facts.select("repo", "path", F.expr(f"inline({hits})")))
+    imports = facts.select("repo", "path", F.posexplode_outer("imports").alias("place", "f")).where("f IS NOT NULL")
+    names = F.array_distinct(F.array(F.col("f.module"), F.substring_index("f.module", ".", 1)))
+    barred = imports.withColumn("module", F.explode(names)).join(banned.select("module").distinct(), "module", "left_semi")
+    once = barred.select("repo", "path", "place", F.col("f.line").alias("line"), F.col("f.module").alias("name")).distinct()
+    return as_findings(once.select("repo", "path", F.expr(f"inline(array({hit('banned-import', 'line', 'name')}))")))
 
 
 def commented_blocks(files: DataFrame, longer_than: int = 3) -> DataFrame:
@@ -238,16 +238,17 @@ def empty_packages(files: DataFrame) -> DataFrame:
     return _found(folders.where("path IS NOT NULL AND NOT has_modules"), "empty-package-init")
 
 
-def unreferenced_scripts(files: DataFrame, max_broadcast: int = SMALL_TABLE_ROWS) -> DataFrame:
+def unreferenced_scripts(files: DataFrame) -> DataFrame:
     """Files in ``scripts/`` whose name occurs in no other file of the repository.
 
-    Other files give their distinct words once. The script names are broadcast while they
-    are few; beyond that the join shuffles on (repo, word).
+    Only files of repositories with scripts are looked at, and of their words only those
+    that are a script's name leave the row.
     """
     scripts = files.where(F.col("path").startswith("scripts/")).select("repo", F.col("path").alias("script"), paths.stem(F.col("path")).alias("word"))
-    names = broadcast_if_small(scripts, max_broadcast)
+    names = scripts.groupBy("repo").agg(F.collect_set("word").alias("names"))  # as many as a repository has scripts
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
-    used = files.select("repo", "path", F.explode(words).alias("word")).join(names, ["repo", "word"])
+    held = files.select("repo", "path", "content").join(names, "repo")
+    used = held.select("repo", "path", F.explode(F.array_intersect(words, "names")).alias("word")).join(scripts, ["repo", "word"])
     referenced = used.where("path <> script").select("repo", F.col("script").alias("path")).distinct()
     return _found(scripts.select("repo", F.col("script").alias("path")).join(referenced, ["repo", "path"], "left_anti"), "unreferenced-script")
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusward.functions.tables import broadcast_if_small
 
 OVERRIDES = "repo string, rule string, severity string"
 SUPPRESSIONS = "repo string, path string, rule string"
@@ -35,7 +34,7 @@ def _with_repo(table: DataFrame) -> DataFrame:
 
 def suppress(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Drop findings whose exact path and rule are suppressed."""
-    s = broadcast_if_small(_with_repo(suppressions).distinct()).alias("s")
+    s = _with_repo(suppressions).distinct().alias("s")
     f = findings.alias("f")
     same = (F.col("f.path") == F.col("s.path")) & (F.col("f.rule") == F.col("s.rule"))
     own = F.col("s.repo").isNull() | (F.col("s.repo") == F.col("f.repo"))
@@ -47,7 +46,7 @@ def override_severity(findings: DataFrame, overrides: DataFrame) -> DataFrame:
     rows = _with_repo(overrides)
     general = rows.where("repo IS NULL").groupBy("rule").agg(F.max("severity").alias("general"))
     own = rows.where("repo IS NOT NULL").groupBy("repo", "rule").agg(F.max("severity").alias("own"))
-    joined = findings.join(broadcast_if_small(general), "rule", "left").join(broadcast_if_small(own), ["repo", "rule"], "left")
+    joined = findings.join(general, "rule", "left").join(own, ["repo", "rule"], "left")
     return joined.withColumn("severity", F.coalesce("own", "general", "severity")).select(*findings.columns)
 
 

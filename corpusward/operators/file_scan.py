@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from corpusward.catalog import Rule
 from corpusward.functions import paths, text
 from corpusward.functions.sqltext import contains_any, contains_any_folded, hit, one_of, quoted
-from corpusward.functions.tables import small_rows
 from corpusward.operators import inventory
 from corpusward.schema import HIT, as_findings
 
@@ -184,12 +183,13 @@ def scan_files(
     extra_rules: Iterable[LineRule] = (),
     extra_catalog: tuple[Rule, ...] = (),
     marker: str = DEFAULT_MARKER,
-    size_limit: int = DEFAULT_SIZE_LIMIT,
+    size_limit: int | None = DEFAULT_SIZE_LIMIT,
 ) -> DataFrame:
     """Findings of the chosen narrow rules, in one pass and without a shuffle.
 
     ``extra_rules`` are line rules of the user, with their catalog rows in
-    ``extra_catalog``. Works on a stream of files as well.
+    ``extra_catalog``. A ``size_limit`` of None reads files of any size. Works on a stream
+    of files as well.
     """
     scan = _prepare(files, set(rules), list(extra_rules), marker, size_limit)
     rows = scan.rows.select("repo", "path", *scan.flags, F.posexplode(scan.units).alias("line", LINE_TEXT))
@@ -202,7 +202,7 @@ def scan_with_context(
     rules: Iterable[str] = TEXT_RULES,
     reach: int = 10,
     marker: str = DEFAULT_MARKER,
-    size_limit: int = DEFAULT_SIZE_LIMIT,
+    size_limit: int | None = DEFAULT_SIZE_LIMIT,
 ) -> DataFrame:
     """Line hits with the lines around them: (repo, path, rule, line, first_line, context).
 
@@ -222,7 +222,7 @@ def scan_with_context(
     return rows.select("repo", "path", F.expr(f"inline({shown})"))
 
 
-def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker: str, size_limit: int) -> _Scan:
+def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker: str, size_limit: int | None) -> _Scan:
     line_rules = [r for r in LINE_RULES if r.rule in wanted] + extra
     wallet = [r for r in WALLET_RULES if r in wanted]
     scopes = sorted({r.scope for r in line_rules} | ({"wallet"} if wallet else set()))
@@ -233,7 +233,7 @@ def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker:
 
     flags: dict[str, Column] = {}
     too_large = F.lit(False)
-    if blocked or any(SCOPES[s][1] for s in scopes):
+    if size_limit is not None and (blocked or any(SCOPES[s][1] for s in scopes)):
         files = with_size(files)
         too_large = F.col("size") > size_limit
     for scope in scopes:
@@ -241,8 +241,9 @@ def _prepare(files: DataFrame, wanted: set[str], extra: list[LineRule], marker:
         flags[f"in_{scope}"] = in_scope(path) & ~too_large if guarded else in_scope(path)
     if listener:
         flags["in_listener"] = paths.lower_suffix(path).isin(*LISTENER_SUFFIXES)
-    if blocked:
-        flags["is_blocked"] = too_large & ~inventory.skipped_by_line_scan(path)
+    if blocked:  # a file that the line, web or wallet rules would have read
+        read = ~inventory.skipped_by_line_scan(path) | _is_web(path) | SCOPES["wallet"][0](path)
+        flags["is_blocked"] = F.coalesce(too_large & read, F.lit(False))
 
     rows = files.withColumns(flags) if flags else files
     units = F.array(F.when(F.col("in_listener"), content) if listener else F.lit(None).cast("string"))
@@ -325,13 +326,23 @@ def _hits(line_rules: list[LineRule], wallet: list[str], path_rules: list[str],
     return packed
 
 
-def scan_lines_with_table(files: DataFrame, rule_table: DataFrame, marker: str = DEFAULT_MARKER, max_rules: int = 1000) -> DataFrame:
+def http_hosts(content: Column) -> Column:
+    """Hosts of all addresses without TLS in a text."""
+    return F.regexp_extract_all(content, F.lit(r"""(?i)http://([^/\s:'"<>]+)"""), F.lit(1))
+
+
+RULES_AT_ONCE = 300
+
+
+def scan_lines_with_table(files: DataFrame, rule_table: DataFrame, marker: str = DEFAULT_MARKER) -> DataFrame:
     """Line scan with rules given as a table (rule, severity, category, pattern, scope).
 
     The table holds settings, so its rows become literal patterns: each is compiled once
-    per task and no row is paired with every rule. ``scope`` is a key of ``SCOPES``.
+    per task and no row is paired with every rule. ``scope`` is a key of ``SCOPES``. A
+    table of more than ``RULES_AT_ONCE`` rules takes a pass over the texts for each so many.
     """
-    rows = small_rows(rule_table, max_rules, "rule table")
+    rows = rule_table.orderBy("rule").collect()
     own = [LineRule(r["rule"], r["scope"], r["pattern"], ()) for r in rows]
     known = tuple(Rule(r["rule"], r["severity"], r["category"], "line_scan", r["rule"], "") for r in rows)
-    return scan_files(files, (), own, known, marker)
+    parts = [scan_files(files, (), own[at : at + RULES_AT_ONCE], known, marker) for at in range(0, max(len(own), 1), RULES_AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)

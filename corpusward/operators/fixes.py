@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusward.functions.tables import broadcast_if_small
 from corpusward.sources.corpus import PYTHON, of_groups
 
 # --- Fixed values: groups by depth of change, and the tolerance of number checks ------
@@ -15,7 +13,7 @@ TOLERANCE = 0.01
 
 # Default group of a rule; rules not named here are surgical.
 DEFAULT_GROUPS = {
-    "migration": ("python-print-call", "debug-call", "python-http-no-timeout", "python-async-blocking-call", "banned-import"),
+    "migration": ("python-print-call", "debug-call", "python-async-blocking-call", "banned-import"),
     "refactor": ("python-float-money", "python-long-function", "python-deep-nesting", "python-magic-number", "duplicate-block"),
 }
 
@@ -27,7 +25,7 @@ def group_rank(group: Column) -> Column:
 def fix_groups(findings: DataFrame, fix_map: DataFrame | None = None) -> DataFrame:
     """Group of every finding; all findings of a file go with the deepest one.
 
-    The window is per file, whose findings are bounded by its length.
+    The deepest group of a file is a maximum with partial sums, joined back by file.
     """
     if fix_map is None:
         own = F.lit("surgical")
@@ -35,10 +33,12 @@ def fix_groups(findings: DataFrame, fix_map: DataFrame | None = None) -> DataFra
             own = F.when(F.col("rule").isin(*rules), group).otherwise(own)
         grouped = findings.withColumn("own_group", own)
     else:
-        table = broadcast_if_small(fix_map.select("rule", F.col("fix_group").alias("own_group")).dropDuplicates(["rule"]))
+        table = fix_map.select("rule", F.col("fix_group").alias("own_group")).dropDuplicates(["rule"])
         grouped = findings.join(table, "rule", "left").withColumn("own_group", F.coalesce("own_group", F.lit("surgical")))
-    deepest = F.max(group_rank(F.col("own_group"))).over(Window.partitionBy("repo", "path"))
-    return grouped.withColumn("fix_group", F.element_at(F.array(*[F.lit(g) for g in FIX_GROUPS]), deepest.cast("int")))
+    files = grouped.groupBy(F.col("repo").alias("_repo"), F.col("path").alias("_path")).agg(F.max(group_rank(F.col("own_group"))).cast("int").alias("deepest"))
+    same_file = F.col("repo").eqNullSafe(F.col("_repo")) & F.col("path").eqNullSafe(F.col("_path"))
+    named = F.element_at(F.array(*[F.lit(g) for g in FIX_GROUPS]), F.col("deepest"))
+    return grouped.join(files, same_file).withColumn("fix_group", named).drop("_repo", "_path", "deepest")
 
 
 def fix_accounting(planned: DataFrame, results: DataFrame) -> DataFrame:
@@ -123,17 +123,26 @@ def old_name_references(removed: DataFrame, files: DataFrame) -> DataFrame:
     """Python files that still use a removed public name: (repo, name, path).
 
     Each file gives its distinct identifiers once, so the join is on (repo, name) and no
-    file is paired with every name. The removed names are broadcast while they are few.
+    file is paired with every name.
     """
     words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
     used = of_groups(files, PYTHON).where(F.col("path").endswith(".py")).select("repo", "path", F.explode(words).alias("name"))
-    return used.join(broadcast_if_small(removed.select("repo", "name").distinct()), ["repo", "name"], "left_semi")
+    return used.join(removed.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
 
 
 def module_pairs(facts: DataFrame, modified: DataFrame) -> DataFrame:
-    """Files that import a modified module: (repo, changed, dependent)."""
+    """Files that import a modified module: (repo, changed, dependent).
+
+    Leading dots of an import are resolved against the folder of the importing file: one
+    dot is that folder, each further dot the one above.
+    """
     dotted = F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/", ".")
     changed = modified.where(F.col("path").endswith(".py")).select("repo", F.col("path").alias("changed"), dotted.alias("module")).distinct()
     named = "flatten(transform(imports, i -> concat(array(i.module), transform(i.names, n -> concat(i.module, '.', n)))))"
-    used = facts.select("repo", F.col("path").alias("dependent"), F.explode(F.array_distinct(F.expr(named))).alias("module"))
+    used = facts.select("repo", F.col("path").alias("dependent"), F.explode(F.array_distinct(F.expr(named))).alias("written"))
+    dots = F.length(F.regexp_extract("written", r"^\.*", 0))
+    folders = F.slice(F.split("dependent", "/"), F.lit(1), F.greatest(F.size(F.split("dependent", "/")) - dots, F.lit(0)))
+    rest = F.regexp_extract("written", r"^\.*(.*)$", 1)
+    absolute = F.array_join(F.filter(F.concat(folders, F.array(rest)), lambda part: part != ""), ".")
+    used = used.withColumn("module", F.when(dots > 0, absolute).otherwise(F.col("written")))
     return used.join(changed, ["repo", "module"]).where("changed <> dependent").select("repo", "changed", "dependent").distinct()

@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from corpusward.catalog import CONFIDENCE_LEVELS, REVIEW_THRESHOLD
 from corpusward.functions import text
 from corpusward.functions.sqltext import quoted
-from corpusward.functions.tables import broadcast_if_small, small_rows
 from corpusward.schema import severity_rank
 
 FINDING_ITEM = (
@@ -104,7 +103,10 @@ def merge_reviews(findings: DataFrame) -> DataFrame:
     return kept.select("row.*")
 
 
-def apply_context(findings: DataFrame, context_rules: DataFrame, max_rules: int = 1000) -> DataFrame:
+CASES = 500  # tests in one expression
+
+
+def apply_context(findings: DataFrame, context_rules: DataFrame) -> DataFrame:
     """Drop or weaken findings by their surroundings.
 
     ``context_rules`` has priority, rule (null for any), path_regex, line_regex (null for
@@ -112,14 +114,15 @@ def apply_context(findings: DataFrame, context_rules: DataFrame, max_rules: int
     counts, so a project rule of higher priority overrides a general one. The table holds
     settings; its rows become literal patterns.
     """
-    rows = sorted(small_rows(context_rules, max_rules, "context rules"), key=lambda r: -r["priority"])
+    rows = sorted(context_rules.collect(), key=lambda r: -r["priority"])
     cases = []
     for r in rows:
         tests = [f"rule = {quoted(r['rule'])}"] if r["rule"] else []
         tests += [f"path RLIKE {quoted(r['path_regex'])}"] if r["path_regex"] else []
         tests += [f"coalesce(snippet, '') RLIKE {quoted(r['line_regex'])}"] if r["line_regex"] else []
         cases.append(f"WHEN {' AND '.join(tests) or 'true'} THEN {quoted(r['action'])}")
-    action = F.expr(f"CASE {' '.join(cases)} ELSE 'keep' END") if cases else F.lit("keep")
+    groups = [F.expr(f"CASE {' '.join(cases[at : at + CASES])} END") for at in range(0, len(cases), CASES)]
+    action = F.coalesce(*groups, F.lit("keep"))
     low = F.lit(CONFIDENCE_LEVELS["low"])
     return (
         findings.withColumn("action", action)
@@ -135,15 +138,14 @@ def mask_evidence(findings: DataFrame) -> DataFrame:
     return findings.withColumn("snippet", shown)
 
 
-def hit_context(files: DataFrame, findings: DataFrame, reach: int = 10, max_files: int = 10_000) -> DataFrame:
+def hit_context(files: DataFrame, findings: DataFrame, reach: int = 10) -> DataFrame:
     """Lines around the hits of findings made elsewhere: (repo, path, line, first_line, context).
 
     For hits of the own scan use ``scan_with_context``, which needs no join. Here the hit
     lines of a file are gathered first (no more than the file has lines), so each text
-    meets one row, and few files with hits are broadcast so that texts stay in place.
+    meets one row.
     """
     wanted = findings.where("line IS NOT NULL").groupBy("repo", "path").agg(F.collect_set("line").alias("hits"))
-    wanted = broadcast_if_small(wanted, max_files)
     split = files.select("repo", "path", "content").join(wanted, ["repo", "path"]).withColumn("ls", text.lines(F.col("content")))
     around = F.expr(
         f"transform(filter(hits, h -> h <= size(ls)), h -> named_struct('line', h, 'first_line', greatest(h - {reach}, 1), "

@@ -107,14 +107,3 @@ def of_groups(files: DataFrame, *groups: str) -> DataFrame:
     if "language_group" in files.columns:
         return files.where(F.col("language_group").isin(*groups))
     return files
-
-
-def spread(files: DataFrame) -> DataFrame:
-    """Spread a table that Spark would read in far fewer tasks than there are cores.
-
-    A large table has many splits and is returned as it is, without a shuffle.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.isStreaming or files.rdd.getNumPartitions() > cores // 2:
-        return files
-    return files.repartition(cores)

@@ -2,7 +2,7 @@
 
 Document ``doc_id`` belongs to repository ``doc_id div 40`` and template ``doc_id % 40``.
 ``active`` gives (modulus, residues) on the repository number. A ``text`` file carries the
-whole document below its body.
+whole document below its body. Besides, every document has a file with its whole text.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ ROWS49 = "\n    a = 1" * 49
 
 ALL = (1, (0,))
 
+# Where the whole text of a document lies, by ``doc_id % 5``; Python files hold it as comments.
+TEXT_PATHS = ("notes/text_{id}.txt", "docs/text_{id}.md", "web/text_{id}.js", "src/text_{id}.py", "build/text_{id}.js")
+TEXT_TID = 1000
+
 # (tid, path, active, kind, body)
 TEMPLATES = (
     (0, ".gitignore", (3, (1,)), "raw", "*.log\n__pycache__/"),

@@ -11,7 +11,6 @@ from corpusward.operators import repo_rules as rr
 from corpusward.operators.code_facts import code_facts
 from corpusward.operators.code_rules import CODE_RULES, scan_code
 from corpusward.operators.inventory import inventory, reviewer_groups
-from corpusward.sources.corpus import spread
 from fixtures.corpus import corpus, documents
 from workload import sqlbase as b
 from workload.sqlbase import q, sql
@@ -60,23 +59,24 @@ def secret_hits_by_source(spark, sf_dir):
     return per_file.groupBy(F.col("repo").alias("source")).agg(F.sum("n").alias("hits"), F.count("*").alias("documents"))
 
 
-PAGE_LINES = b.lines_of(
-    "(SELECT 'url' AS part, page_id, url AS content FROM pages UNION ALL SELECT 'html', page_id, html FROM pages)", "part, page_id"
-)
-HTTP = dict(b.LINE_PATTERNS)["http-without-tls"]
+HOST = r"""(?i)http://([^/\s:'"<>]+)"""
 
 
 @query(
-    rf"""SELECT part, lower(regexp_extract(left({b.stripped()}, 160), '(?i)http://([^/\s:''"<>]+)', 1)) AS host, count(*) AS hits
-FROM ({PAGE_LINES}) WHERE {b.has(HTTP)} GROUP BY ALL"""
+    rf"""SELECT part, lower(host) AS host, count(*) AS hits
+FROM (SELECT 'url' AS part, unnest(regexp_extract_all(url, {q(HOST)}, 1)) AS host FROM pages UNION ALL SELECT 'html', unnest(regexp_extract_all(html, {q(HOST)}, 1)) FROM pages
+UNION ALL SELECT 'text', unnest(regexp_extract_all(text, {q(HOST)}, 1)) FROM documents UNION ALL SELECT 'chat', unnest(regexp_extract_all(text, {q(HOST)}, 1)) FROM conversations)
+GROUP BY ALL"""
 )
 def http_urls_by_host(spark, sf_dir):
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    part = lambda name: F.struct(F.lit(name).alias("repo"), F.concat("page_id", F.lit(".txt")).alias("path"), F.col(name).alias("content"))
-    files = pages.select(F.inline(F.array(part("url"), part("html"))))
-    hits = fs.scan_files(files, ("http-without-tls",))
-    host = F.lower(F.regexp_extract("snippet", r"""(?i)http://([^/\s:'"<>]+)""", 1))
-    return hits.groupBy(F.col("repo").alias("part"), host.alias("host")).agg(F.count("*").alias("hits"))
+    """Hosts of all plain http addresses in pages, documents and conversations."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    part = lambda name, column: F.struct(F.lit(name).alias("part"), F.col(column).alias("text"))
+    texts = pages.select(F.inline(F.array(part("url", "url"), part("html", "html"))))
+    for name, rows in (("text", documents(spark, sf_dir)), ("chat", spark.read.parquet(f"{sf_dir}/conversations.parquet"))):
+        texts = texts.unionByName(rows.select(F.lit(name).alias("part"), "text"))
+    hosts = texts.select("part", F.explode(fs.http_hosts(F.col("text"))).alias("host"))
+    return hosts.groupBy("part", F.lower("host").alias("host")).agg(F.count("*").alias("hits"))
 
 
 CHAT_LINES = b.lines_of("(SELECT role, conv_id, text AS content FROM conversations)", "role, conv_id")
@@ -88,7 +88,7 @@ CHAT_LINES = b.lines_of("(SELECT role, conv_id, text AS content FROM conversatio
     + ") GROUP BY ALL"
 )
 def conversation_line_hits(spark, sf_dir):
-    chat = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    chat = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     files = chat.select(F.col("role").alias("repo"), F.concat("conv_id", F.lit("/"), "turn", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
     hits = fs.scan_files(files, [r for r, _ in b.LINE_PATTERNS])
     return hits.groupBy(F.col("repo").alias("role"), "rule").agg(F.count("*").alias("hits"))
@@ -144,7 +144,7 @@ SKIPPED = f"{b.any_part(b.inv.SKIP_DIRS)} OR {b.LOWER_SUFFIX} IN ({b.names(b.inv
 @query(
     sql(
         f"""SELECT repo, path, 'scan-error' AS rule, CAST(0 AS BIGINT) AS line, '' AS snippet, 'blocked' AS kind, 'file too large or unreadable' AS error
-FROM corpus WHERE strlen(content) > {LARGE} AND NOT ({SKIPPED})
+FROM corpus WHERE strlen(content) > {LARGE} AND (NOT ({SKIPPED}) OR {b.WEB_SCOPE.split(' AND NOT')[0]} OR {b.WALLET_SCOPE.split(' AND NOT')[0]})
 UNION ALL SELECT repo, path, rule, CAST(line AS BIGINT), snippet, 'finding', '' FROM line_hits JOIN (SELECT repo, path, content FROM corpus) USING (repo, path) WHERE rule = 'todo' AND strlen(content) <= {LARGE}"""
     )
 )

@@ -36,7 +36,12 @@ def corpus_sql(template_cte: str, count: int) -> str:
   replace(path_tpl, '{{id}}', CAST(doc_id AS VARCHAR)) AS path,
   CASE WHEN kind = 'text' THEN body || chr(10) || text ELSE body END AS content
 FROM (SELECT doc_id, text, doc_id // {count} AS repo_no, doc_id % {count} AS tid FROM documents) d
-JOIN {template_cte} USING (tid) WHERE list_contains(residues, repo_no % modulus)"""
+JOIN {template_cte} USING (tid) WHERE list_contains(residues, repo_no % modulus)
+UNION ALL
+SELECT 'r' || doc_id // {count}, doc_id // {count}, doc_id, 1000 + doc_id % 5, path,
+  CASE WHEN doc_id % 5 = 3 THEN '# ' || regexp_replace(text, {q(BREAK)}, chr(10) || '# ', 'g') ELSE text END
+FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'notes/text_' || doc_id || '.txt' WHEN 1 THEN 'docs/text_' || doc_id || '.md'
+  WHEN 2 THEN 'web/text_' || doc_id || '.js' WHEN 3 THEN 'src/text_' || doc_id || '.py' ELSE 'build/text_' || doc_id || '.js' END AS path FROM documents)"""
 
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
