@@ -388,16 +388,20 @@ def changed_with_findings(spark, sf_dir):
 
 
 # Four runs per repository; the newest of odd repositories cannot be read.
+RECORDED_RULES = tuple(r for r, _ in b.LINE_PATTERNS + b.WEB_PATTERNS)
 MOMENTS = ("2024-01-01-0900", "2024-02-01-0900", "2024-03-01-0900", "2024-04-01-0900")
 
 
 def recorded(spark, sf_dir):
-    """History tables: run n holds the findings of the files whose number leaves no n - 1 by five."""
+    """History tables: run n holds the findings of the files whose number leaves no n - 1 by five.
+
+    The texts are scanned once; a narrow table of files says in which runs each one is.
+    """
     files = corpus(spark, sf_dir)
-    found = None
-    for n, moment in enumerate(MOMENTS):
-        one = compact(stamp_run(scan_files(files.where(f"(doc_id + repo_no) % 5 <> {n}"), ("todo", "placeholder", "scan-error"), size_limit=30000), moment))
-        found = one if found is None else found.unionByName(one)
+    held = [F.when((F.col("doc_id") + F.col("repo_no")) % 5 != n, F.lit(moment)) for n, moment in enumerate(MOMENTS)]
+    runs_of = files.select("repo", "path", F.array_compact(F.array(*held)).alias("moments"))
+    hits = scan_files(files, RECORDED_RULES).join(runs_of, ["repo", "path"])
+    found = compact(hits.withColumn("run_id", F.explode("moments")))
     repos = files.groupBy("repo", "repo_no").agg(F.count("*").alias("n"))
     moments = F.array(*[F.lit(m) for m in MOMENTS])
     runs = repos.select("repo", "repo_no", "n", F.explode(moments).alias("run_id"))
@@ -419,11 +423,8 @@ def stored_history(spark, sf_dir):
 
 
 def recorded_sql() -> dict[str, str]:
-    size = f"""CASE WHEN strlen(content) > 30000 THEN 'big' ELSE 'small' END"""
     hits = " UNION ALL ".join(
-        f"SELECT repo, {q(m)} AS run_id, rule, path FROM line_hits JOIN (SELECT repo, path, {size} AS size FROM corpus) USING (repo, path) WHERE rule IN ('todo', 'placeholder') AND size = 'small' AND (doc_id + repo_no) % 5 <> {n} "
-        f"UNION ALL SELECT repo, {q(m)}, 'scan-error', path FROM corpus WHERE strlen(content) > 30000 AND (doc_id + repo_no) % 5 <> {n} AND NOT {b.any_part(b.inv.SKIP_DIRS)}"
-        for n, m in enumerate(MOMENTS)
+        f"SELECT repo, {q(m)} AS run_id, rule, path FROM line_hits WHERE (doc_id + repo_no) % 5 <> {n}" for n, m in enumerate(MOMENTS)
     )
     runs = f"""SELECT repo, repo_no, n, run_id, NOT (run_id = {q(MOMENTS[-1])} AND repo_no % 2 = 1) AS is_valid
 FROM (SELECT repo, repo_no, count(*) AS n FROM corpus GROUP BY ALL) CROSS JOIN ({b.values([(m,) for m in MOMENTS])}) AS m(run_id)"""

@@ -33,7 +33,7 @@ REVIEWED = """concat('r', cast(floor(doc_id / 40) as bigint)) AS repo, concat('r
 concat('P', (doc_id * 5 + doc_id % 3) % 4) AS severity, concat('f', doc_id % 3, '.py') AS file,
 CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST((doc_id * 7) % 30 + 1 AS INT) END AS line, concat('rule', doc_id % 2) AS rule,
 CASE doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END AS confidence,
-concat('t', doc_id) AS title, 'why' AS why, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE substring(text, 1, 20) END AS evidence, 'fix' AS fix"""
+concat('t', doc_id) AS title, 'why' AS why, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE text END AS evidence, 'fix' AS fix"""
 REVIEWED_CTE = {"reviewed": f"SELECT doc_id, {REVIEWED} FROM documents"}
 CONF = "CASE confidence WHEN 'high' THEN 0.9 WHEN 'low' THEN 0.3 ELSE 0.6 END"
 
