@@ -23,10 +23,11 @@ from corpusward.schema import category_rank, report_order, severity_rank
 from corpusward.session import written
 
 
-def finding_summary(findings: DataFrame) -> DataFrame:
+def finding_summary(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Counts per repository by rule, by severity, by category and in total.
 
-    The grouping sets are expanded on aggregated cells, not on findings.
+    The grouping sets are expanded on aggregated cells, not on findings. ``repos`` adds a
+    total of 0 for repositories without findings.
     """
     cells = findings.groupBy("repo", "rule", "severity", "category").agg(F.count("*").alias("n"))
     named = cells.select(
@@ -37,18 +38,22 @@ def finding_summary(findings: DataFrame) -> DataFrame:
         "n",
     )
     sets = named.groupingSets([["repo", "rule"], ["repo", "severity"], ["repo", "category"], ["repo"]], "repo", "rule", "severity", "category")
-    return sets.agg(F.sum("n").alias("count"), F.grouping_id().alias("g")).select(
+    out = sets.agg(F.sum("n").alias("count"), F.grouping_id().alias("g")).select(
         "repo",
         # bits of the grouping id: repo, rule, severity, category; a set bit is a column left out
         F.expr("CASE g WHEN 3 THEN 'rule' WHEN 5 THEN 'severity' WHEN 6 THEN 'category' ELSE 'total' END").alias("dimension"),
         F.coalesce("rule", "severity", "category", F.lit("total")).alias("name"),
         "count",
     )
+    if repos is None:
+        return out
+    clean = repos.select("repo").distinct().join(findings.select("repo").distinct(), "repo", "left_anti")
+    return out.unionByName(clean.select("repo", F.lit("total").alias("dimension"), F.lit("total").alias("name"), F.lit(0).cast("long").alias("count")))
 
 
-def summary_maps(findings: DataFrame) -> DataFrame:
+def summary_maps(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """The same counts as one row per repository with maps; their keys are rules and enums."""
-    rows = finding_summary(findings)
+    rows = finding_summary(findings, repos)
 
     def counts(dimension: str) -> Column:
         entries = F.collect_list(F.when(F.col("dimension") == dimension, F.struct("name", "count")))
@@ -79,13 +84,16 @@ def coverage(files: DataFrame, findings: DataFrame) -> DataFrame:
     return of_files.join(of_findings, "repo", "left").fillna(0)  # one row per repository on both sides
 
 
-def section_counts(findings: DataFrame) -> DataFrame:
+def section_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Count of every report category per repository; an empty section gives 0.
 
-    The categories are a fixed list, so they are laid out inside the aggregate.
+    The categories are a fixed list, so they are laid out inside the aggregate. ``repos``
+    adds repositories without findings, all of whose sections are empty.
     """
     counts = [F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
     wide = findings.groupBy("repo").agg(*counts)
+    if repos is not None:
+        wide = repos.select("repo").distinct().join(wide, "repo", "left").fillna(0)
     cells = F.array(*[F.struct(F.lit(n).alias("category_rank"), F.lit(c).alias("category"), F.col(f"`{c}`").alias("count")) for n, c in enumerate(CATEGORIES)])
     return wide.select("repo", F.inline(cells)).withColumn(
         "note", F.when(F.col("count") == 0, "No issues found.").otherwise("")

@@ -32,12 +32,12 @@ def stops_release(policy: str = CODE) -> Column:
     return F.coalesce(blocked | worst | F.col("rule").isin(*STOP_RULES) | serious, F.lit(False))
 
 
-def verdict(findings: DataFrame, policy: str = CODE, repos: DataFrame | None = None) -> DataFrame:
+def verdict(findings: DataFrame, policy: str = CODE, repos: DataFrame | None = None, run_id: str | None = None) -> DataFrame:
     """One row per repository and run: verdict and how often each rule stopped it.
 
     ``reasons`` holds (rule, count) and so never grows beyond the number of rules; the
     single occurrences, in report order, are ``verdict_reasons``. ``repos`` adds
-    repositories without any finding, which are GO.
+    repositories without any finding, which are GO, under ``run_id``.
     """
     counts = findings.groupBy("repo", "run_id", "rule").agg(F.count_if(stops_release(policy)).alias("count"))
     listed = F.sort_array(F.collect_list(F.when(F.col("count") > 0, F.struct("rule", "count"))))
@@ -45,6 +45,7 @@ def verdict(findings: DataFrame, policy: str = CODE, repos: DataFrame | None = N
     if repos is not None:
         # both sides have one row per repository
         out = repos.select("repo").distinct().join(out, "repo", "left").fillna(0, ["reason_count"])
+        out = out.withColumn("run_id", F.coalesce("run_id", F.lit(run_id).cast("string")))
         out = out.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<struct<rule:string,count:bigint>>")))
     return out.select("repo", "run_id", F.when(F.col("reason_count") > 0, "NO-GO").otherwise("GO").alias("verdict"), "reason_count", "reasons")
 

@@ -57,10 +57,11 @@ def audit(
     """
     found = apply_config(collect_findings(files, marker, size_limit), overrides, suppressions)
     findings = written(stamp_run(found, run_id), "findings", ("scanner",))
+    repos = files.select("repo").distinct()  # a clean repository has its reports too
     return Audit(
         findings,
         compare_runs(previous, findings) if previous is not None else None,
-        verdict(findings),
+        verdict(findings, repos=repos, run_id=run_id),
         coverage(files, findings),
-        finding_summary(findings),
+        finding_summary(findings, repos),
     )

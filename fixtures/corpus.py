@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusward.functions.tables import dimension
 from corpusward.functions.text import LINE_BREAK
-from fixtures.templates import TEMPLATES, TEXT_PATHS, TEXT_TID
+from fixtures.templates import TEMPLATES, TEXT_PATHS, TEXT_TID, TIDY_FILES, TIDY_TID
 
 SCHEMA = pa.schema(
     [("tid", pa.int64()), ("path_tpl", pa.string()), ("modulus", pa.int64()), ("residues", pa.list_(pa.int64())), ("kind", pa.string()), ("body", pa.string())]
@@ -28,33 +28,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_file(spark_text: Column) -> Column:
-    """The file that carries a document's whole text, as (tid, path, content)."""
+    """The file that carries a document's whole text, as (repo, tid, path, content)."""
     number = F.col("doc_id").cast("string")
     commented = F.concat(F.lit("# "), F.regexp_replace(spark_text, LINE_BREAK, "\n# "))
     options = [F.when(F.col("doc_id") % len(TEXT_PATHS) == n, F.replace(F.lit(path), F.lit("{id}"), number)) for n, path in enumerate(TEXT_PATHS)]
     path = F.coalesce(*options)
     return F.struct(
+        F.concat(F.lit("r"), F.col("repo_no").cast("string")).alias("repo"),
         (F.col("doc_id") % len(TEXT_PATHS) + TEXT_TID).alias("tid"),
         path.alias("path"),
         F.when(path.endswith(".py"), commented).otherwise(spark_text).alias("content"),
     )
 
 
+def tidy_files(text: Column) -> list[Column]:
+    """The files of a repository in good order, null for documents that give none."""
+    repo = F.concat(F.lit("t"), F.col("doc_id").cast("string"))
+    made = [(path, F.lit(content), 10) for path, content in TIDY_FILES] + [("notes.txt", text, 20)]
+    return [
+        F.when(F.col("doc_id") % every == 7, F.struct(repo.alias("repo"), F.lit(TIDY_TID + n).cast("long").alias("tid"), F.lit(path).alias("path"), content.alias("content")))
+        for n, (path, content, every) in enumerate(made)
+    ]
+
+
 def corpus(spark: SparkSession, sf_dir: str, templates: tuple = TEMPLATES) -> DataFrame:
     """Files (repo, repo_no, doc_id, tid, path, content) made of all documents.
 
     Every document gives a file with its whole text, and its template's file where the
-    template is active in its repository.
+    template is active in its repository. Some give a small tidy repository besides.
     """
     per_repo = len(templates)
     table = F.broadcast(template_table(spark, templates))  # one row per template
     repo_no = F.floor(F.col("doc_id") / per_repo)
     docs = documents(spark, sf_dir).select("doc_id", "text", repo_no.alias("repo_no"), (F.col("doc_id") % per_repo).alias("tid")).join(table, "tid")
     made = F.struct(
+        F.concat(F.lit("r"), F.col("repo_no").cast("string")).alias("repo"),
         F.col("tid"),
         F.replace("path_tpl", F.lit("{id}"), F.col("doc_id").cast("string")).alias("path"),
         F.when(F.col("kind") == "text", F.concat("body", F.lit("\n"), "text")).otherwise(F.col("body")).alias("content"),
     )
     active = F.when(F.array_contains("residues", F.col("repo_no") % F.col("modulus")), made)
-    files = docs.select("repo_no", "doc_id", F.inline(F.array_compact(F.array(active, text_file(F.col("text"))))))
-    return files.select(F.concat(F.lit("r"), F.col("repo_no").cast("string")).alias("repo"), "repo_no", "doc_id", "tid", "path", "content")
+    files = docs.select("repo_no", "doc_id", F.inline(F.array_compact(F.array(active, text_file(F.col("text")), *tidy_files(F.col("text"))))))
+    return files.select("repo", "repo_no", "doc_id", "tid", "path", "content")

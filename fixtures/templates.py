@@ -19,6 +19,10 @@ ALL = (1, (0,))
 TEXT_PATHS = ("notes/text_{id}.txt", "docs/text_{id}.md", "web/text_{id}.js", "src/text_{id}.py", "build/text_{id}.js")
 TEXT_TID = 1000
 
+# Small repositories, one for each document with ``doc_id % 10 = 7``; every second holds the text as well.
+TIDY_TID = 2000
+TIDY_FILES = ((".gitignore", ".env\n*.log\n__pycache__/"), ("pyproject.toml", '[project]\nname = "tidy"'))
+
 # (tid, path, active, kind, body)
 TEMPLATES = (
     (0, ".gitignore", (3, (1,)), "raw", "*.log\n__pycache__/"),

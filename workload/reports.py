@@ -30,8 +30,11 @@ def query(oracle: str | None = None):
     return add
 
 
+RUN = "2024-01-01-0900"
+
+
 def all_findings(spark, sf_dir) -> DataFrame:
-    return stamp_run(collect_findings(corpus(spark, sf_dir)), "2024-01-01-0900")
+    return stamp_run(collect_findings(corpus(spark, sf_dir)), RUN)
 
 
 def stored_findings(spark, sf_dir) -> DataFrame:
@@ -64,11 +67,12 @@ def config_applied(spark, sf_dir):
 @query(
     sql(
         """SELECT repo, CASE WHEN grouping(rule) = 0 THEN 'rule' WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(category) = 0 THEN 'category' ELSE 'total' END AS dimension,
-coalesce(rule, severity, category, 'total') AS name, count(*) AS count FROM findings GROUP BY GROUPING SETS ((repo, rule), (repo, severity), (repo, category), (repo))"""
+coalesce(rule, severity, category, 'total') AS name, count(*) AS count FROM findings GROUP BY GROUPING SETS ((repo, rule), (repo, severity), (repo, category), (repo))
+UNION ALL SELECT DISTINCT repo, 'total', 'total', 0 FROM corpus WHERE repo NOT IN (SELECT repo FROM findings)"""
     )
 )
 def finding_summary(spark, sf_dir):
-    return reports.finding_summary(all_findings(spark, sf_dir))
+    return reports.finding_summary(all_findings(spark, sf_dir), corpus(spark, sf_dir))
 
 
 COVERAGE_SQL = f"""SELECT repo, total_files, reviewed_files, skipped_files, coalesce(finding_count, 0) AS finding_count, coalesce(blocked_count, 0) AS blocked_count,
@@ -91,9 +95,9 @@ STOPS_DOC = f"(confidence >= 0.5 AND (kind = 'blocked' OR severity = 'P0' OR rul
 
 
 def verdict_sql(stops: str) -> str:
-    return f"""SELECT repo, CASE WHEN sum(n) > 0 THEN 'NO-GO' ELSE 'GO' END AS verdict, CAST(sum(n) AS BIGINT) AS reason_count,
+    return f"""SELECT repo, CASE WHEN sum(n) > 0 THEN 'NO-GO' ELSE 'GO' END AS verdict, CAST(coalesce(sum(n), 0) AS BIGINT) AS reason_count,
 coalesce(string_agg(rule || ':' || n, ',' ORDER BY rule) FILTER (n > 0), '') AS reasons
-FROM (SELECT repo, rule, count(*) FILTER ({stops}) AS n FROM findings GROUP BY repo, rule) GROUP BY repo"""
+FROM (SELECT DISTINCT repo FROM corpus) LEFT JOIN (SELECT repo, rule, count(*) FILTER ({stops}) AS n FROM findings GROUP BY repo, rule) USING (repo) GROUP BY repo"""
 
 
 def flat_verdict(out: DataFrame) -> DataFrame:
@@ -103,12 +107,12 @@ def flat_verdict(out: DataFrame) -> DataFrame:
 
 @query(sql(verdict_sql(STOPS)))
 def verdict_code(spark, sf_dir):
-    return flat_verdict(verdict.verdict(all_findings(spark, sf_dir)))
+    return flat_verdict(verdict.verdict(all_findings(spark, sf_dir), repos=corpus(spark, sf_dir), run_id=RUN))
 
 
 @query(sql(verdict_sql(STOPS_DOC)))
 def verdict_documented(spark, sf_dir):
-    return flat_verdict(verdict.verdict(all_findings(spark, sf_dir), verdict.DOCUMENTED))
+    return flat_verdict(verdict.verdict(all_findings(spark, sf_dir), verdict.DOCUMENTED, corpus(spark, sf_dir), RUN))
 
 
 @query(sql(f"SELECT repo, path, rule, CAST(line_no AS BIGINT) AS line FROM findings WHERE {STOPS}"))
@@ -148,11 +152,11 @@ def report_rows(spark, sf_dir):
 @query(
     sql(
         f"""SELECT repo, category, count(f.rule) AS count, CASE WHEN count(f.rule) = 0 THEN 'No issues found.' ELSE '' END AS note
-FROM (SELECT DISTINCT repo FROM findings) r CROSS JOIN ({CATEGORY_RANKS}) AS c(category, category_rank) LEFT JOIN findings f USING (repo, category) GROUP BY repo, category"""
+FROM (SELECT DISTINCT repo FROM corpus) r CROSS JOIN ({CATEGORY_RANKS}) AS c(category, category_rank) LEFT JOIN findings f USING (repo, category) GROUP BY repo, category"""
     )
 )
 def section_counts(spark, sf_dir):
-    return reports.section_counts(all_findings(spark, sf_dir)).select("repo", "category", "count", "note")
+    return reports.section_counts(all_findings(spark, sf_dir), corpus(spark, sf_dir)).select("repo", "category", "count", "note")
 
 
 @query(

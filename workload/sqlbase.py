@@ -41,7 +41,11 @@ UNION ALL
 SELECT 'r' || doc_id // {count}, doc_id // {count}, doc_id, 1000 + doc_id % 5, path,
   CASE WHEN doc_id % 5 = 3 THEN '# ' || regexp_replace(text, {q(BREAK)}, chr(10) || '# ', 'g') ELSE text END
 FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'notes/text_' || doc_id || '.txt' WHEN 1 THEN 'docs/text_' || doc_id || '.md'
-  WHEN 2 THEN 'web/text_' || doc_id || '.js' WHEN 3 THEN 'src/text_' || doc_id || '.py' ELSE 'build/text_' || doc_id || '.js' END AS path FROM documents)"""
+  WHEN 2 THEN 'web/text_' || doc_id || '.js' WHEN 3 THEN 'src/text_' || doc_id || '.py' ELSE 'build/text_' || doc_id || '.js' END AS path FROM documents)
+UNION ALL
+SELECT 't' || doc_id, doc_id // {count}, doc_id, tid, path, coalesce(content, text) FROM documents JOIN (
+  VALUES (2000, '.gitignore', '.env' || chr(10) || '*.log' || chr(10) || '__pycache__/', 10),
+         (2001, 'pyproject.toml', '[project]' || chr(10) || 'name = "tidy"', 10), (2002, 'notes.txt', NULL, 20)) AS t(tid, path, content, every) ON doc_id % every = 7"""
 
 
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
