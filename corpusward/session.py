@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "corpusward", cores: str | int = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """A local session for tests and the bench. On a cluster use the session you are given."""
+def build_session(app: str = "corpusward", cores: str | int = "*", shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with ``shared`` as its shared folder. On a cluster use the session you are given."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -18,6 +18,8 @@ def build_session(app: str = "corpusward", cores: str | int = "*", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

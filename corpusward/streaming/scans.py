@@ -6,12 +6,15 @@ them, so a query that is stopped or loses executors goes on where it was.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusward.operators.file_scan import NARROW_RULES, scan_files
 
 FINDING_KEY = ["repo", "path", "line", "rule"]
+SPAN_KEY = ["repo", "rule", "path"]
 
 
 def scan_stream(files: DataFrame, rules=NARROW_RULES, **options) -> DataFrame:
@@ -19,49 +22,57 @@ def scan_stream(files: DataFrame, rules=NARROW_RULES, **options) -> DataFrame:
     return scan_files(files, rules, **options)
 
 
-def windowed_counts(findings: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Findings per hour and severity, each finding once.
+def unique_findings(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Each finding once.
 
     Repeats of a finding within the watermark delay are dropped; state older than the
     watermark is forgotten, so it does not grow with the length of the stream.
     """
-    once = findings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(FINDING_KEY)
+    return findings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(FINDING_KEY)
+
+
+def windowed_counts(findings: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Findings per window and severity, of one batch of a stream or of a whole table."""
     return (
-        once.groupBy(F.window("ts", width), "severity")
+        findings.groupBy(F.window("ts", width), "severity")
         .agg(F.count("*").alias("findings"))
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "severity", "findings")
     )
 
 
 def finding_spans(findings: DataFrame) -> DataFrame:
-    """First and last run in which each (repo, rule, path) was seen; one state row per key."""
-    return findings.groupBy("repo", "rule", "path").agg(
-        F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"), F.count("*").alias("hits")
-    )
+    """First and last run in which each (repo, rule, path) was seen, of one batch or of a table."""
+    return findings.groupBy(*SPAN_KEY).agg(F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"), F.count("*").alias("hits"))
 
 
-def append_to(stream: DataFrame, target: str, checkpoint: str, mode: str = "append"):
+def append_to(stream: DataFrame, target: str, checkpoint: str, of_batch: Callable[[DataFrame], DataFrame] | None = None):
     """Run a stream over what is available now and append its rows to a Parquet folder.
 
-    In update mode every row carries its batch number, so that ``newest_rows`` can tell
-    which one is the latest of a key. A batch that is repeated after a failure replaces
-    its own folder.
+    ``of_batch`` reduces every batch before it is stored. Each batch has its folder, and a
+    batch that is repeated after a failure replaces its own.
     """
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-    if mode == "append":
-        return writer.outputMode("append").format("parquet").option("path", target).start()
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append")
+    if of_batch is None:
+        return writer.format("parquet").option("path", target).start()
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        of_batch(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return writer.outputMode(mode).foreachBatch(store).start()
+    return writer.foreachBatch(store).start()
 
 
-def newest_rows(spark: SparkSession, source: str, schema, key: list[str]) -> DataFrame:
-    """Latest row of each key written by an update stream."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(source)
-    others = [c for c in rows.columns if c not in (*key, "batch")]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*key, "r.*")
+def window_totals(batches: DataFrame) -> DataFrame:
+    """Counts of all windows from the stored counts of the batches, open windows included."""
+    return batches.groupBy("window_start", "window_end", "severity").agg(F.sum("findings").alias("findings"))
+
+
+def span_totals(batches: DataFrame) -> DataFrame:
+    """Spans of all keys from the stored spans of the batches.
+
+    The streaming query keeps no state. Writing the result to a new folder, as the first
+    batch of what follows, keeps one row per key however many batches there were.
+    """
+    return batches.groupBy(*SPAN_KEY).agg(F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"), F.sum("hits").alias("hits"))
 
 
 def open_findings(spans: DataFrame, latest_runs: DataFrame) -> DataFrame:

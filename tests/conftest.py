@@ -12,10 +12,10 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from corpusward.session import build_session
 
-    return build_session("tests", 4, 4)
+    return build_session("tests", 4, 4, str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture

@@ -7,14 +7,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
-
-CHECKED = (
-    "secret_hits_by_source", "http_urls_by_host", "line_rule_findings", "wallet_material", "scan_errors", "inventory_records",
-    "dependency_findings", "required_paths", "debt_findings", "finding_summary", "verdict_code", "display_ids", "prior_status",
-    "retention_plan", "review_dedup", "fix_accounting", "masked_evidence", "duplicate_blocks", "checklist_code", "cleanup_hygiene",
-    "api_diff", "stream_window_counts",
-)
-
+from workload import registry
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda n: columns[n])
@@ -22,14 +15,14 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 10
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for table in ("documents", "pages", "events", "conversations"):

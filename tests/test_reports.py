@@ -167,3 +167,20 @@ def test_number_checks_have_an_open_bound(spark):
 def test_columns_stay_canonical(findings):
     assert tuple(findings.columns) == FINDING_COLUMNS
     assert review.mask_evidence(findings).columns == findings.columns
+
+
+def test_clean_repositories_have_all_reports(spark, make_files, tmp_path):
+    from corpusward.plans.audit import audit
+    from corpusward.sources import history as stored
+
+    tidy = ((".gitignore", ".env\n*.log\n__pycache__/"), ("pyproject.toml", "[project]"))
+    files = make_files(*[("clean", *f) for f in tidy], ("dirty", "a.txt", "token = 'abcdef123'"))
+    result = audit(files, "2024-01-01-0900")
+    assert {(r.repo, r.verdict, r.run_id) for r in result.decision.collect()} == {("clean", "GO", "2024-01-01-0900"), ("dirty", "NO-GO", "2024-01-01-0900")}
+    assert [(r.dimension, r["count"]) for r in result.summary.where("repo = 'clean'").collect()] == [("total", 0)]
+    sections = reports.section_counts(result.findings, files).where("repo = 'clean'").collect()
+    assert len(sections) > 5 and all(r["count"] == 0 and r.note for r in sections)
+    records = stored.run_records(result.decision, result.coverage, reports.verification_record(files))
+    stored.write_history(result.findings, records, str(tmp_path))
+    runs, _ = stored.read_history(spark, str(tmp_path), "clean")
+    assert [(r.run_id, r.verdict, r.coverage.finding_count) for r in runs.collect()] == [("2024-01-01-0900", "GO", 0)]

@@ -9,6 +9,7 @@ import pytest
 from conftest import SMALL
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusward.operators import file_scan as fs
 from corpusward.operators.checklist import checklist_lines
@@ -139,12 +140,28 @@ def test_context_equals_slices(make_files):
     assert got == {1: (1, lines[0:4]), 21: (18, lines[17:24])}
 
 
-def test_rule_table_and_its_limit(spark, make_files):
-    table = spark.createDataFrame([("mine", "P3", "Code Quality", "z+", "line")], "rule string, severity string, category string, pattern string, scope string")
-    rows = fs.scan_lines_with_table(make_files(("a.txt", "zz\nb")), table).collect()
-    assert [(r.rule, r.severity, r.line, r.title) for r in rows] == [("mine", "P3", 1, "mine")]
-    with pytest.raises(ValueError):
-        fs.scan_lines_with_table(make_files(("a.txt", "zz")), table, max_rules=0)
+def test_rule_table(spark, make_files, monkeypatch):
+    schema = "rule string, severity string, category string, pattern string, scope string"
+    table = spark.createDataFrame([("mine", "P3", "Code Quality", "z+", "line"), ("other", "P2", "Code Quality", "^b", "line"), ("third", "P2", "Code Quality", "q", "line")], schema)
+    want = [("mine", "P3", 1, "mine"), ("other", "P2", 2, "other")]
+    for at_once in (300, 1):
+        monkeypatch.setattr(fs, "RULES_AT_ONCE", at_once)
+        rows = fs.scan_lines_with_table(make_files(("a.txt", "zz\nb")), table).collect()
+        assert sorted((r.rule, r.severity, r.line, r.title) for r in rows) == want
+    assert fs.scan_lines_with_table(make_files(("a.txt", "zz")), table.limit(0)).collect() == []
+
+
+def test_large_files_leave_a_row_in_every_scope(make_files):
+    big = "document.write(x);\n" * 20
+    files = make_files(("build/a.js", big), ("src/a.js", big), ("data/k.ts", big), ("build/a.txt", big), ("src/small.js", "document.write(x)"))
+    rows = fs.scan_files(files, ("dangerous-dom-write", "scan-error"), size_limit=100).collect()
+    assert {(r.path, r.rule) for r in rows} == {("build/a.js", "scan-error"), ("src/a.js", "scan-error"), ("data/k.ts", "scan-error"), ("src/small.js", "dangerous-dom-write")}
+    assert {r.rule for r in fs.scan_files(files, ("dangerous-dom-write", "scan-error"), size_limit=None).collect()} == {"dangerous-dom-write"}
+
+
+def test_all_hosts_of_a_text(spark):
+    row = spark.range(1).select(fs.http_hosts(F.lit("x" * 200 + " http://a.example/b HTTP://c:80 https://d")).alias("h")).first()
+    assert row.h == ["a.example", "c"]
 
 
 def test_checklist_lines(make_files):

@@ -114,8 +114,8 @@ def test_findings_as_json(spark, make_files, tmp_path):
     assert verdict.verdict(stored.read_findings(spark, target, "json")).collect()[0].verdict == "GO"
 
 
-def run(stream, folder, mode="append"):
-    st.append_to(stream, f"{folder}/rows", f"{folder}/checkpoint", mode).awaitTermination()
+def run(stream, folder, of_batch=None):
+    st.append_to(stream, f"{folder}/rows", f"{folder}/checkpoint", of_batch).awaitTermination()
     return f"{folder}/rows"
 
 
@@ -143,9 +143,9 @@ def test_windows_count_repeats_once_and_forget_late_rows(spark, tmp_path):
     arrival(3, [("e", "2024-01-01 09:00:00")])
     arrival(4, [("d", "2024-01-01 00:50:00")])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).drop("part")
-    counts = st.windowed_counts(stream)
-    rows = spark.read.schema(counts.schema).parquet(run(counts, str(tmp_path / "out"))).selectExpr("hour(to_utc_timestamp(window_start, current_timezone())) AS h", "findings").collect()
-    assert {(r.h, r.findings) for r in rows} == {(0, 2), (5, 1)}
+    stored_rows = spark.read.parquet(run(st.unique_findings(stream), str(tmp_path / "out"), st.windowed_counts))
+    rows = st.window_totals(stored_rows).selectExpr("hour(to_utc_timestamp(window_start, current_timezone())) AS h", "findings").collect()
+    assert {(r.h, r.findings) for r in rows} == {(0, 2), (5, 1), (9, 1)}
 
 
 def test_open_state_over_runs(spark, tmp_path):
@@ -157,7 +157,6 @@ def test_open_state_over_runs(spark, tmp_path):
     arrive("1", ["x", "y"])
     arrive("2", ["y", "z"])
     stream = spark.readStream.schema(FINDING).option("maxFilesPerTrigger", 1).parquet(base)
-    spans = st.finding_spans(stream)
-    rows = st.newest_rows(spark, run(spans, str(tmp_path / "out"), "update"), spans.schema, ["repo", "rule", "path"])
+    rows = st.span_totals(spark.read.parquet(run(stream, str(tmp_path / "out"), st.finding_spans)))
     latest = spark.createDataFrame([("r", "2")], "repo string, run_id string")
     assert {(r.rule, r.state) for r in st.open_findings(rows, latest).collect()} == {("x", "resolved"), ("y", "open"), ("z", "open")}
