@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusward import catalog
 from corpusward.functions.tables import dimension
 from corpusward.operators import config, fixes, history, reports, review, verdict
 from corpusward.operators.file_scan import scan_files, scan_with_context
@@ -13,6 +12,7 @@ from corpusward.plans.audit import collect_findings
 from corpusward.schema import compact, stamp_run
 from corpusward.session import written
 from fixtures.corpus import corpus
+from workload import expected
 from workload import sqlbase as b
 from workload.scans import doc_files, shown, shown_sql
 from workload.sqlbase import q, sql
@@ -79,7 +79,7 @@ COVERAGE_SQL = f"""SELECT repo, total_files, reviewed_files, skipped_files, coal
 coalesce(tech_debt_count, 0) AS tech_debt_count, coalesce(cleanup_count, 0) AS cleanup_count FROM
 (SELECT repo, count(*) AS total_files, count(*) FILTER (skip_reason IS NULL) AS reviewed_files, count(*) FILTER (skip_reason IS NOT NULL) AS skipped_files FROM listed GROUP BY repo)
 LEFT JOIN (SELECT repo, count(*) AS finding_count, count(*) FILTER (kind = 'blocked') AS blocked_count,
-count(*) FILTER (rule IN ({b.names(catalog.TECH_DEBT_RULES)})) AS tech_debt_count, count(*) FILTER (rule IN ({b.names(catalog.CLEANUP_RULES)})) AS cleanup_count FROM findings GROUP BY repo) USING (repo)"""
+count(*) FILTER (rule IN ({b.names(expected.TECH_DEBT_RULES)})) AS tech_debt_count, count(*) FILTER (rule IN ({b.names(expected.CLEANUP_RULES)})) AS cleanup_count FROM findings GROUP BY repo) USING (repo)"""
 
 
 @query(sql(COVERAGE_SQL))
@@ -88,10 +88,10 @@ def coverage(spark, sf_dir):
 
 
 STOPS = (
-    f"(kind = 'blocked' OR severity = 'P0' OR rule IN ({b.names(verdict.STOP_RULES)}) "
-    f"OR (severity = 'P1' AND category IN ({b.names(verdict.STOP_CATEGORIES)})))"
+    f"(kind = 'blocked' OR severity = 'P0' OR rule IN ({b.names(expected.STOP_RULES)}) "
+    f"OR (severity = 'P1' AND category IN ({b.names(expected.STOP_CATEGORIES)})))"
 )
-STOPS_DOC = f"(confidence >= 0.5 AND (kind = 'blocked' OR severity = 'P0' OR rule IN ({b.names(verdict.DOCUMENTED_STOP_RULES)})))"
+STOPS_DOC = f"(confidence >= 0.5 AND (kind = 'blocked' OR severity = 'P0' OR rule IN ({b.names(expected.DOCUMENTED_STOP_RULES)})))"
 
 
 def verdict_sql(stops: str) -> str:
@@ -135,7 +135,7 @@ def release_checklist(spark, sf_dir):
     return rows.groupBy("repo", "rule", "due").agg(F.count("*").alias("findings"))
 
 
-CATEGORY_RANKS = b.values(list(zip(catalog.CATEGORIES, range(len(catalog.CATEGORIES)))))
+CATEGORY_RANKS = b.values(list(zip(expected.CATEGORIES, range(len(expected.CATEGORIES)))))
 
 
 @query(
@@ -199,7 +199,7 @@ def coverage_gaps(spark, sf_dir):
 
 @query(
     sql(
-        f"SELECT repo, {q(','.join(reports.RUN_STEPS))} || CASE WHEN has_skill THEN ',structure_scan' ELSE '' END AS checks_run, '' AS history_source FROM profile"
+        f"SELECT repo, {q(','.join(expected.RUN_STEPS))} || CASE WHEN has_skill THEN ',structure_scan' ELSE '' END AS checks_run, '' AS history_source FROM profile"
     )
 )
 def verification_record(spark, sf_dir):
@@ -207,7 +207,7 @@ def verification_record(spark, sf_dir):
     return rows.select("repo", F.array_join("checks_run", ",").alias("checks_run"), F.coalesce("history_source", F.lit("")).alias("history_source"))
 
 
-GROUP_OF = b.values(catalog.SCANNERS)
+GROUP_OF = b.values(expected.SCANNERS)
 
 
 @query(sql(f'SELECT repo, "group", scanner, count(*) AS findings FROM findings JOIN ({GROUP_OF}) AS g(scanner, "group") USING (scanner) GROUP BY ALL'))
@@ -217,7 +217,7 @@ def scanner_routing(spark, sf_dir):
 
 
 def fix_case() -> str:
-    cases = " ".join(f"WHEN rule IN ({b.names(rules)}) THEN {n}" for n, rules in ((2, fixes.DEFAULT_GROUPS["migration"]), (3, fixes.DEFAULT_GROUPS["refactor"])))
+    cases = " ".join(f"WHEN rule IN ({b.names(rules)}) THEN {n}" for n, rules in ((2, expected.MIGRATION_RULES), (3, expected.REFACTOR_RULES)))
     return f"CASE {cases} ELSE 1 END"
 
 

@@ -12,6 +12,7 @@ from corpusward.operators.code_facts import code_facts
 from corpusward.operators.code_rules import CODE_RULES, scan_code
 from corpusward.operators.inventory import inventory, reviewer_groups
 from fixtures.corpus import corpus, documents
+from workload import expected
 from workload import sqlbase as b
 from workload.sqlbase import q, sql
 
@@ -138,7 +139,7 @@ def stale_files(spark, sf_dir):
 
 
 LARGE = 2000
-SKIPPED = f"{b.any_part(b.inv.SKIP_DIRS)} OR {b.LOWER_SUFFIX} IN ({b.names(b.inv.BINARY_SUFFIXES)}) OR contains({b.NAME}, '.min.')"
+SKIPPED = f"{b.any_part(expected.SKIP_DIRS)} OR {b.LOWER_SUFFIX} IN ({b.names(expected.BINARY_SUFFIXES)}) OR contains({b.NAME}, '.min.')"
 
 
 @query(
@@ -174,7 +175,7 @@ def inline_suppressed(spark, sf_dir):
 
 
 def category_case() -> str:
-    return f"""CASE WHEN {b.LOWER_SUFFIX} IN ({b.names(b.inv.BINARY_SUFFIXES)}) THEN 'binary'
+    return f"""CASE WHEN {b.LOWER_SUFFIX} IN ({b.names(expected.BINARY_SUFFIXES)}) THEN 'binary'
 WHEN list_contains({b.PARTS}, 'tests') OR starts_with({b.NAME}, 'test_') THEN 'tests'
 WHEN {b.NAME} IN ('Dockerfile', 'docker-compose.yml') OR {b.LOWER_SUFFIX} IN ('.tf', '.tfvars') THEN 'infra'
 WHEN {b.any_part(('.github', '.gitlab'))} THEN 'ci'
@@ -184,11 +185,11 @@ WHEN {b.LOWER_SUFFIX} IN ('.py', '.js', '.ts', '.tsx', '.jsx', '.go', '.rs', '.j
 
 
 def skip_case() -> str:
-    return f"""CASE WHEN {b.any_part(b.inv.SKIP_DIRS_INVENTORY)} OR contains(path || '/', '.egg-info/') THEN 'tooling-or-build-directory'
-WHEN {b.NAME} IN ({b.names(b.inv.SERVICE_FILES)}) THEN 'service-file'
-WHEN {b.LOWER_SUFFIX} IN ({b.names(b.inv.TEMP_SUFFIXES)}) THEN 'temp-or-backup-file'
+    return f"""CASE WHEN {b.any_part(expected.SKIP_DIRS_INVENTORY)} OR contains(path || '/', '.egg-info/') THEN 'tooling-or-build-directory'
+WHEN {b.NAME} IN ({b.names(expected.SERVICE_FILES)}) THEN 'service-file'
+WHEN {b.LOWER_SUFFIX} IN ({b.names(expected.TEMP_SUFFIXES)}) THEN 'temp-or-backup-file'
 WHEN contains({b.NAME}, '.min.') THEN 'minified-asset'
-WHEN {b.LOWER_SUFFIX} IN ({b.names(b.inv.BINARY_SUFFIXES)}) THEN 'binary-file' END"""
+WHEN {b.LOWER_SUFFIX} IN ({b.names(expected.BINARY_SUFFIXES)}) THEN 'binary-file' END"""
 
 
 b.CTES["listed"] = lambda: f"SELECT repo, repo_no, doc_id, tid, path, {category_case()} AS category, {skip_case()} AS skip_reason FROM corpus"

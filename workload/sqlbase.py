@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 
-from corpusward import catalog
-from corpusward.operators import inventory as inv
 from fixtures import templates as tp
+from workload import expected
 
 
 def q(value) -> str:
@@ -82,7 +81,7 @@ def any_part(values_) -> str:
 
 MARKED = "contains(text, '# noqa: audit')"
 LINE_SCOPE = (
-    f"NOT {any_part(inv.SKIP_DIRS)} AND {LOWER_SUFFIX} NOT IN ({names(inv.BINARY_SUFFIXES)}) AND NOT contains({NAME}, '.min.') "
+    f"NOT {any_part(expected.SKIP_DIRS)} AND {LOWER_SUFFIX} NOT IN ({names(expected.BINARY_SUFFIXES)}) AND NOT contains({NAME}, '.min.') "
     f"AND {FIRST} <> 'tests' AND NOT {MARKED} AND NOT ({FIRST} = 'references' AND contains(text, '`'))"
 )
 WEB_SCOPE = f"{LOWER_SUFFIX} IN ('.html', '.js', '.jsx', '.py', '.ts', '.tsx') AND {FIRST} <> 'references' AND NOT {MARKED}"
@@ -262,7 +261,7 @@ CTES = {
     "structure_hits": lambda: repo_hits(STRUCTURE_SELECTS),
     "code_hits": code_hits,
     "rules": lambda: "SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ("
-    + values([(r.rule, r.severity, r.category, r.scanner, r.confidence) for r in catalog.RULES + catalog.CHECKLIST_RULES])
+    + values(expected.RULES)
     + ") AS v(rule, severity, category, scanner, confidence)",
     "blocked_hits": lambda: "SELECT repo, repo_no, doc_id, tid, path, 'scan-error' AS rule, NULL AS line, NULL AS snippet FROM corpus WHERE tid = 29",
     "all_hits": lambda: "\nUNION ALL\n".join(
