@@ -102,22 +102,22 @@ CODE_RULES: dict[str, tuple[str, str]] = {
     "open-without-context-manager": (RESOURCE, said("calls", "f.func_kind = 'name' AND f.short = 'open' AND NOT f.inside_with", "open-without-context-manager", "open(...)")),
     "aiohttp-session-without-context": (RESOURCE, said("calls", "f.qualified = 'aiohttp.ClientSession' AND NOT f.inside_with", "aiohttp-session-without-context", "aiohttp.ClientSession(...)")),
     "python-parse-error": (POLICY, f"IF(parse_error IS NULL, {NO_HITS}, array({hit('python-parse-error', 'parse_error.line', 'parse_error.message')}))"),
-    "python-bare-except": (POLICY, said("handlers", "f.type_kind IS NULL", "python-bare-except", "bare except")),
-    "python-except-pass": (POLICY, said("handlers", "f.sole_stmt <=> 'pass'", "python-except-pass", "except pass")),
-    "python-print-call": (POLICY, said("calls", "f.short = 'print'", "python-print-call", "print() call")),
-    "python-http-no-timeout": (POLICY, said("calls", f"{REQUESTS_CALL} AND NOT array_contains(f.kwargs, 'timeout')", "python-http-no-timeout", "requests without timeout")),
-    "python-float-money": (POLICY, said("assigns", f"f.value_call <=> 'float' AND exists(f.targets, t -> {one_of('lower(t)', MONEY_NAMES)})", "python-float-money", "money-like value uses float")),
+    "python-bare-except": (POLICY, said("handlers", "f.type_kind IS NULL", "python-bare-except", "catches without a type")),
+    "python-except-pass": (POLICY, said("handlers", "f.sole_stmt <=> 'pass'", "python-except-pass", "handler only passes")),
+    "python-print-call": (POLICY, said("calls", "f.short = 'print'", "python-print-call", "calls print")),
+    "python-http-no-timeout": (POLICY, said("calls", f"{REQUESTS_CALL} AND NOT array_contains(f.kwargs, 'timeout')", "python-http-no-timeout", "request with no timeout")),
+    "python-float-money": (POLICY, said("assigns", f"f.value_call <=> 'float' AND exists(f.targets, t -> {one_of('lower(t)', MONEY_NAMES)})", "python-float-money", "amount held as float")),
     "python-src-todo": (DEBT, each("comments", f"f.text RLIKE {quoted(COMMENT_MARKERS)}", "python-src-todo", f"regexp_replace(f.text, {quoted(text.STRIP)}, '')")),
-    "python-long-function": (DEBT, of_function(f"{LENGTH} > {MAX_FUNCTION_LENGTH}", "python-long-function", f"'has ', {LENGTH}, ' lines'")),
-    "python-deep-nesting": (DEBT, of_function(f"{DEPTH} > {MAX_NESTING}", "python-deep-nesting", f"'nesting level is ', {DEPTH}")),
-    "python-missing-type-hints": (DEBT, of_function(f"{IS_PUBLIC} AND size({MISSING_HINTS}) > 0", "python-missing-type-hints", f"'missing hints: ', array_join({MISSING_HINTS}, ', ')")),
-    "python-public-function-no-docstring": (DEBT, of_function(f"{IS_PUBLIC} AND NOT f.has_docstring", "python-public-function-no-docstring", "'has no docstring'")),
-    "python-empty-function": (DEBT, of_function(one_of("f.sole_stmt", ("pass", "return_none")), "python-empty-function", "'contains only pass/return None'")),
-    "python-weak-name": (DEBT, of_function(f"size({FOUND_WEAK_NAMES}) > 0", "python-weak-name", f"'uses weak names: ', array_join({FOUND_WEAK_NAMES}, ', ')")),
-    "python-magic-number": (DEBT, of_function(f"size({MAGIC_NUMBERS}) > 0", "python-magic-number", f"'uses magic numbers: ', array_join({MAGIC_NUMBERS}, ', ')")),
-    "python-mutable-default": (DEBT, of_function(f"exists(f.params, p -> {one_of('p.default_kind', MUTABLE_DEFAULTS)})", "python-mutable-default", "'uses mutable default arguments'")),
-    "python-async-blocking-call": (DEBT, of_function(f"f.is_async AND size({BLOCKING_CALLS}) > 0", "python-async-blocking-call", f"'uses blocking calls: ', array_join({BLOCKING_CALLS}, ', ')")),
-    "python-broad-except": (DEBT, said("handlers", f"{one_of('f.type_kind', ('name', 'tuple'))} AND array_contains(f.type_names, 'Exception')", "python-broad-except", "except Exception should be narrowed")),
+    "python-long-function": (DEBT, of_function(f"{LENGTH} > {MAX_FUNCTION_LENGTH}", "python-long-function", f"'is ', {LENGTH}, ' lines long'")),
+    "python-deep-nesting": (DEBT, of_function(f"{DEPTH} > {MAX_NESTING}", "python-deep-nesting", f"'is nested to depth ', {DEPTH}")),
+    "python-missing-type-hints": (DEBT, of_function(f"{IS_PUBLIC} AND size({MISSING_HINTS}) > 0", "python-missing-type-hints", f"'no type for: ', array_join({MISSING_HINTS}, ', ')")),
+    "python-public-function-no-docstring": (DEBT, of_function(f"{IS_PUBLIC} AND NOT f.has_docstring", "python-public-function-no-docstring", "'is undocumented'")),
+    "python-empty-function": (DEBT, of_function(one_of("f.sole_stmt", ("pass", "return_none")), "python-empty-function", "'does nothing'")),
+    "python-weak-name": (DEBT, of_function(f"size({FOUND_WEAK_NAMES}) > 0", "python-weak-name", f"'vague names: ', array_join({FOUND_WEAK_NAMES}, ', ')")),
+    "python-magic-number": (DEBT, of_function(f"size({MAGIC_NUMBERS}) > 0", "python-magic-number", f"'numbers without a name: ', array_join({MAGIC_NUMBERS}, ', ')")),
+    "python-mutable-default": (DEBT, of_function(f"exists(f.params, p -> {one_of('p.default_kind', MUTABLE_DEFAULTS)})", "python-mutable-default", "'shares a default value'")),
+    "python-async-blocking-call": (DEBT, of_function(f"f.is_async AND size({BLOCKING_CALLS}) > 0", "python-async-blocking-call", f"'blocks on: ', array_join({BLOCKING_CALLS}, ', ')")),
+    "python-broad-except": (DEBT, said("handlers", f"{one_of('f.type_kind', ('name', 'tuple'))} AND array_contains(f.type_names, 'Exception')", "python-broad-except", "catches every Exception")),
 }
 
 

@@ -25,7 +25,7 @@ from corpusward.schema import HIT, as_findings
 DEFAULT_MARKER = "# noqa: audit"
 DEFAULT_SIZE_LIMIT = 5 * 1024 * 1024  # bytes; fixed value
 SNIPPET_WIDTH = 160  # fixed value
-BLOCKED_TEXT = "file too large or unreadable"
+BLOCKED_TEXT = "not read: over the size limit"
 
 B, E = text.NOT_WORD_BEFORE, text.NOT_WORD_AFTER
 

@@ -84,7 +84,7 @@ def _one(condition: str, rule: str, path: str, snippet: str = "NULL") -> str:
 
 def ignore_rules(entries: tuple = IGNORE_ENTRIES) -> list[str]:
     rows = [
-        _one(f"has_ignore_file AND NOT `ignores_{rule}`", rule, IGNORE_FILE, f"'{IGNORE_FILE} should include `{entry}`'")
+        _one(f"has_ignore_file AND NOT `ignores_{rule}`", rule, IGNORE_FILE, f"'{IGNORE_FILE} has no line for `{entry}`'")
         for entry, rule in entries
     ]
     return rows

@@ -96,7 +96,7 @@ def section_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataF
         wide = repos.select("repo").distinct().join(wide, "repo", "left").fillna(0)
     cells = F.array(*[F.struct(F.lit(n).alias("category_rank"), F.lit(c).alias("category"), F.col(f"`{c}`").alias("count")) for n, c in enumerate(CATEGORIES)])
     return wide.select("repo", F.inline(cells)).withColumn(
-        "note", F.when(F.col("count") == 0, "No issues found.").otherwise("")
+        "note", F.when(F.col("count") == 0, "nothing found").otherwise("")
     )
 
 

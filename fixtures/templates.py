@@ -71,32 +71,32 @@ TEMPLATES = (
 # A repeated row is a finding that occurs twice.
 CODE_FINDINGS = (
     (29, "python-parse-error", 1, None),
-    (30, "python-print-call", 4, "print() call"),
-    (30, "python-float-money", 5, "money-like value uses float"),
-    (30, "python-http-no-timeout", 6, "requests without timeout"),
-    (30, "python-magic-number", 2, "fetch uses magic numbers: 5"),
-    (31, "python-bare-except", 3, "bare except"),
-    (31, "python-except-pass", 3, "except pass"),
-    (31, "python-broad-except", 7, "except Exception should be narrowed"),
+    (30, "python-print-call", 4, "calls print"),
+    (30, "python-float-money", 5, "amount held as float"),
+    (30, "python-http-no-timeout", 6, "request with no timeout"),
+    (30, "python-magic-number", 2, "fetch numbers without a name: 5"),
+    (31, "python-bare-except", 3, "catches without a type"),
+    (31, "python-except-pass", 3, "handler only passes"),
+    (31, "python-broad-except", 7, "catches every Exception"),
     (32, "subprocess-interpolated-command", 2, "subprocess.run"),
     (32, "subprocess-interpolated-command", 4, "subprocess.Popen"),
     (32, "path-interpolation-risk", 5, "open"),
     (32, "open-without-context-manager", 5, "open(...)"),
     (33, "expensive-call-in-loop", 4, "json.loads"),
     (33, "expensive-call-in-loop", 4, "json.loads"),
-    (33, "python-missing-type-hints", 5, "g missing hints: return"),
-    (33, "python-public-function-no-docstring", 5, "g has no docstring"),
-    (34, "python-async-blocking-call", 2, "run uses blocking calls: requests.get, time.sleep"),
+    (33, "python-missing-type-hints", 5, "g no type for: return"),
+    (33, "python-public-function-no-docstring", 5, "g is undocumented"),
+    (34, "python-async-blocking-call", 2, "run blocks on: requests.get, time.sleep"),
     (34, "aiohttp-session-without-context", 6, "aiohttp.ClientSession(...)"),
-    (35, "python-missing-type-hints", 1, "f missing hints: data, x, *args, **kw, return"),
-    (35, "python-public-function-no-docstring", 1, "f has no docstring"),
-    (35, "python-weak-name", 1, "f uses weak names: data, temp, x"),
-    (35, "python-magic-number", 1, "f uses magic numbers: 42"),
-    (35, "python-mutable-default", 1, "f uses mutable default arguments"),
-    (35, "python-empty-function", 6, "_h contains only pass/return None"),
-    (35, "python-empty-function", 8, "e contains only pass/return None"),
-    (36, "python-deep-nesting", 1, "n nesting level is 4"),
-    (37, "python-long-function", 1, "l has 51 lines"),
+    (35, "python-missing-type-hints", 1, "f no type for: data, x, *args, **kw, return"),
+    (35, "python-public-function-no-docstring", 1, "f is undocumented"),
+    (35, "python-weak-name", 1, "f vague names: data, temp, x"),
+    (35, "python-magic-number", 1, "f numbers without a name: 42"),
+    (35, "python-mutable-default", 1, "f shares a default value"),
+    (35, "python-empty-function", 6, "_h does nothing"),
+    (35, "python-empty-function", 8, "e does nothing"),
+    (36, "python-deep-nesting", 1, "n is nested to depth 4"),
+    (37, "python-long-function", 1, "l is 51 lines long"),
     (38, "web3-inline-from-key", 2, "Account.from_key"),
     (38, "python-src-todo", 4, "# TODO later"),
 )

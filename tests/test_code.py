@@ -36,9 +36,9 @@ def test_body_scope_enters_a_direct_inner_function_once(make_files):
     got = rules_of(make_files, source, rules=("python-magic-number",))
     assert got == Counter(
         [
-            ("python-magic-number", 1, "f uses magic numbers: 5"),
-            ("python-magic-number", 3, "g uses magic numbers: 5, 7"),
-            ("python-magic-number", 6, "h uses magic numbers: 7"),
+            ("python-magic-number", 1, "f numbers without a name: 5"),
+            ("python-magic-number", 3, "g numbers without a name: 5, 7"),
+            ("python-magic-number", 6, "h numbers without a name: 7"),
         ]
     )
 
@@ -46,7 +46,7 @@ def test_body_scope_enters_a_direct_inner_function_once(make_files):
 def test_numbers_that_are_no_magic(make_files):
     source = "def f() -> None:\n    '''d'''\n    a = [0, 1, 2.0, True, -9]\n    LIMIT = 30\n    b = Decimal(4)\n    c: int = 8\n    return g(1.5)\n"
     got = rules_of(make_files, source, rules=("python-magic-number",))
-    assert got == Counter([("python-magic-number", 1, "f uses magic numbers: 1.5, 8")])
+    assert got == Counter([("python-magic-number", 1, "f numbers without a name: 1.5, 8")])
 
 
 def test_calls_count_once_for_each_loop(make_files):
@@ -70,7 +70,7 @@ def test_with_context_ends_at_definitions(make_files):
 def test_nesting_counts_elif_handlers_and_inner_definitions(make_files):
     source = "def f() -> None:\n    '''d'''\n    try:\n        pass\n    except E:\n        if a:\n            with b:\n                def g() -> None:\n                    '''d'''\n                    for c in d:\n                        pass\n"
     got = rules_of(make_files, source, rules=("python-deep-nesting",))
-    assert got == Counter([("python-deep-nesting", 1, "f nesting level is 4")])
+    assert got == Counter([("python-deep-nesting", 1, "f is nested to depth 4")])
 
 
 def test_hints_docstrings_and_defaults(make_files):
@@ -78,11 +78,11 @@ def test_hints_docstrings_and_defaults(make_files):
     got = rules_of(make_files, source, with_blocked=False)
     assert got == Counter(
         [
-            ("python-missing-type-hints", 2, "m missing hints: a, x, **kw, return"),
-            ("python-public-function-no-docstring", 2, "m has no docstring"),
-            ("python-weak-name", 2, "m uses weak names: x"),
-            ("python-mutable-default", 2, "m uses mutable default arguments"),
-            ("python-weak-name", 4, "_p uses weak names: x"),
+            ("python-missing-type-hints", 2, "m no type for: a, x, **kw, return"),
+            ("python-public-function-no-docstring", 2, "m is undocumented"),
+            ("python-weak-name", 2, "m vague names: x"),
+            ("python-mutable-default", 2, "m shares a default value"),
+            ("python-weak-name", 4, "_p vague names: x"),
         ]
     )
 
@@ -114,4 +114,4 @@ def test_scopes_and_unreadable_files(spark, make_files):
 
 def test_newlines_are_unified_before_parsing(make_files):
     got = rules_of(make_files, "x = 1\r\rprint(x)\r\n# TODO\r\n", rules=("python-print-call", "python-src-todo"))
-    assert got == Counter([("python-print-call", 3, "print() call"), ("python-src-todo", 4, "# TODO")])
+    assert got == Counter([("python-print-call", 3, "calls print"), ("python-src-todo", 4, "# TODO")])

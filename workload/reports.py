@@ -151,7 +151,7 @@ def report_rows(spark, sf_dir):
 
 @query(
     sql(
-        f"""SELECT repo, category, count(f.rule) AS count, CASE WHEN count(f.rule) = 0 THEN 'No issues found.' ELSE '' END AS note
+        f"""SELECT repo, category, count(f.rule) AS count, CASE WHEN count(f.rule) = 0 THEN 'nothing found' ELSE '' END AS note
 FROM (SELECT DISTINCT repo FROM corpus) r CROSS JOIN ({CATEGORY_RANKS}) AS c(category, category_rank) LEFT JOIN findings f USING (repo, category) GROUP BY repo, category"""
     )
 )

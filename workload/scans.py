@@ -144,7 +144,7 @@ SKIPPED = f"{b.any_part(expected.SKIP_DIRS)} OR {b.LOWER_SUFFIX} IN ({b.names(ex
 
 @query(
     sql(
-        f"""SELECT repo, path, 'scan-error' AS rule, CAST(0 AS BIGINT) AS line, '' AS snippet, 'blocked' AS kind, 'file too large or unreadable' AS error
+        f"""SELECT repo, path, 'scan-error' AS rule, CAST(0 AS BIGINT) AS line, '' AS snippet, 'blocked' AS kind, 'not read: over the size limit' AS error
 FROM corpus WHERE strlen(content) > {LARGE} AND (NOT ({SKIPPED}) OR {b.WEB_SCOPE.split(' AND NOT')[0]} OR {b.WALLET_SCOPE.split(' AND NOT')[0]})
 UNION ALL SELECT repo, path, rule, CAST(line AS BIGINT), snippet, 'finding', '' FROM line_hits JOIN (SELECT repo, path, content FROM corpus) USING (repo, path) WHERE rule = 'todo' AND strlen(content) <= {LARGE}"""
     )

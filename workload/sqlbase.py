@@ -79,6 +79,7 @@ def any_part(values_) -> str:
     return f"list_has_any({PARTS}, [{names(values_)}])"
 
 
+# The suffixes and names of the scopes.
 MARKED = "contains(text, '# noqa: audit')"
 LINE_SCOPE = (
     f"NOT {any_part(expected.SKIP_DIRS)} AND {LOWER_SUFFIX} NOT IN ({names(expected.BINARY_SUFFIXES)}) AND NOT contains({NAME}, '.min.') "
@@ -156,6 +157,7 @@ FROM (SELECT *, {inner} AS a FROM ({matches(either_quote('0x[0-9a-fA-F]{40}'))})
 WHERE ({digits} = lower({digits}) OR {digits} = upper({digits})) AND {digits} <> repeat('0', 40) AND lower({digits}) <> repeat('dead', 10)"""
 
 
+# Names of dependency files.
 REQ = rf"regexp_matches({NAME}, '^requirements.*\.txt$')"
 MANIFEST = "path IN ('pyproject.toml', 'package.json', 'package-lock.json', 'pnpm-lock.yaml', 'yarn.lock')"
 
@@ -200,9 +202,10 @@ def profile_select(rule: str, path: str, where: str, snippet: str | None = None)
 
 
 def lacks(entry: str) -> str:
-    return f".gitignore should include `{entry}`"
+    return f".gitignore has no line for `{entry}`"
 
 
+# Rule ids and the paths they are reported at.
 IGNORE_SELECTS = (
     ("missing-gitignore", ".gitignore", "NOT has_ignore", None),
     ("gitignore-missing-dotenv", ".gitignore", "has_ignore AND NOT ig_env", lacks(".env")),
