@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,26 @@ def merge_reviews(findings: DataFrame) -> DataFrame:
 
 CASES = 500  # tests in one expression
 
+# Surroundings in which a finding is usually no defect.
+# priority, rule, path pattern, evidence pattern, action
+DEFAULT_CONTEXT_RULES = (
+    (10, "todo", "^(tests|docs)/", None, "drop"),
+    (10, "placeholder", "^(tests|docs|examples)/", r"(?i)example[.]com|test@|sample|dummy", "drop"),
+    (10, "wildcard-cors", r"(^|/)(dev|local)[^/]*$", None, "low"),
+    (10, "python-print-call", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
+    (10, "except-pass", r"(^|/)__init__[.]py$", None, "drop"),
+    (10, "python-except-pass", r"(^|/)__init__[.]py$", None, "drop"),
+    (10, "unsafe-exec", "^tests/", None, "drop"),
+    (10, "python-float-money", r"(?i)(^|/)[^/]*(report|plot|display)[^/]*$", None, "low"),
+    (10, "web3-inline-from-key", None, r"os[.](environ|getenv)", "drop"),
+    (10, "hardcoded-date", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
+)
+
+
+def default_context_rules(spark: SparkSession) -> DataFrame:
+    """The library's rows for ``apply_context``; rows of a project go beside them with a higher priority."""
+    return spark.createDataFrame(DEFAULT_CONTEXT_RULES, "priority int, rule string, path_regex string, line_regex string, action string")
+
 
 def apply_context(findings: DataFrame, context_rules: DataFrame) -> DataFrame:
     """Drop or weaken findings by their surroundings.

@@ -184,3 +184,16 @@ RULES = (
     ("hardcoded-date", "P2", "Bugs and Logic Errors", "checklist_scan", 0.6),
     ("banned-import", "P2", "Code Quality", "checklist_scan", 0.6),
 )
+# priority, rule, path pattern, evidence pattern, action
+CONTEXT_TABLE = (
+    (10, "todo", "^(tests|docs)/", None, "drop"),
+    (10, "placeholder", "^(tests|docs|examples)/", r"(?i)example[.]com|test@|sample|dummy", "drop"),
+    (10, "wildcard-cors", r"(^|/)(dev|local)[^/]*$", None, "low"),
+    (10, "python-print-call", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
+    (10, "except-pass", r"(^|/)__init__[.]py$", None, "drop"),
+    (10, "python-except-pass", r"(^|/)__init__[.]py$", None, "drop"),
+    (10, "unsafe-exec", "^tests/", None, "drop"),
+    (10, "python-float-money", r"(?i)(^|/)[^/]*(report|plot|display)[^/]*$", None, "low"),
+    (10, "web3-inline-from-key", None, r"os[.](environ|getenv)", "drop"),
+    (10, "hardcoded-date", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
+)

@@ -124,9 +124,15 @@ def verdict_reasons(spark, sf_dir):
 BLOCKING = f"severity = 'P0' OR kind = 'blocked' OR (repo, rule) IN (SELECT (repo, rule) FROM findings WHERE {STOPS})"
 
 
-@query(sql(f"SELECT repo, path, rule, CAST(line_no AS BIGINT) AS line FROM findings WHERE {BLOCKING}"))
+SOFTENED = {"softened": "SELECT * REPLACE (CASE WHEN rule IN ('debug-call', 'http-without-tls', 'bare-except') AND doc_id // 40 % 2 = 0 THEN 'P3' ELSE severity END AS severity) FROM findings"}
+
+
+@query(sql(f"SELECT repo, path, rule, CAST(line_no AS BIGINT) AS line FROM softened WHERE {BLOCKING.replace('findings', 'softened')}", SOFTENED))
 def blocking_findings(spark, sf_dir):
-    return shown(verdict.blocking_findings(stored_findings(spark, sf_dir))).drop("snippet")
+    """With some findings of a stopping rule weakened: the rule brings them in all the same."""
+    found = stored_findings(spark, sf_dir)
+    weak = F.col("rule").isin("debug-call", "http-without-tls", "bare-except") & (F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long") % 80 < 40)
+    return shown(verdict.blocking_findings(found.withColumn("severity", F.when(weak, "P3").otherwise(F.col("severity"))))).drop("snippet")
 
 
 @query(sql(f"SELECT repo, rule, CASE WHEN {BLOCKING} THEN 'required' ELSE 'optional' END AS due, count(*) AS findings FROM findings GROUP BY ALL"))
@@ -167,7 +173,7 @@ FROM (SELECT *, CASE WHEN confidence >= 0.5 THEN severity ELSE '?' END AS bucket
     )
 )
 def display_ids(spark, sf_dir):
-    return shown(reports.with_display_ids(all_findings(spark, sf_dir)), "display_id").drop("snippet")
+    return shown(reports.with_display_ids(stored_findings(spark, sf_dir)), "display_id").drop("snippet")
 
 
 @query(
@@ -271,12 +277,11 @@ def scan_context(spark, sf_dir):
 
 
 # priority, rule, path pattern, line pattern, action
+# Rows of a project, beside those of the library.
 CONTEXT_RULES = (
-    (10, "todo", "^(tests|docs)/", None, "drop"),
-    (10, "except-pass", "(^|/)__init__[.]py$", None, "drop"),
-    (10, None, r"(^|/)[.]env[.]example$", None, "drop"),
-    (10, "http-without-tls", None, r"example[.]com|a[.]example", "low"),
-    (10, "python-print-call", "^scripts/", None, "drop"),
+    (11, None, r"(^|/)[.]env[.]example$", None, "drop"),
+    (11, "http-without-tls", None, r"example[.]com|a[.]example", "low"),
+    (12, "python-print-call", "^scripts/", None, "drop"),
     (20, "python-print-call", "^scripts/tool_", None, "keep"),
     (5, "placeholder", "^README", None, "low"),
 )
@@ -284,7 +289,7 @@ CONTEXT_RULES = (
 
 def context_case() -> str:
     cases = []
-    for _, rule, path, line, action in sorted(CONTEXT_RULES, key=lambda r: -r[0]):
+    for _, rule, path, line, action in sorted(expected.CONTEXT_TABLE + CONTEXT_RULES, key=lambda r: -r[0]):
         tests = [f"rule = {q(rule)}"] if rule else []
         tests += [b.has(path, "path")] if path else []
         tests += [b.has(line, "coalesce(snippet, '')")] if line else []
@@ -301,7 +306,7 @@ FROM (SELECT *, {context_case()} AS action FROM findings) WHERE action <> 'drop'
 def context_filtered(spark, sf_dir):
     fields = ("priority", "rule", "path_regex", "line_regex", "action")
     table = dimension(spark, [dict(zip(fields, r)) for r in CONTEXT_RULES])
-    rows = review.apply_context(all_findings(spark, sf_dir), table)
+    rows = review.apply_context(all_findings(spark, sf_dir), review.default_context_rules(spark).union(table))
     return rows.groupBy("repo", "rule", "confidence").agg(F.count("*").alias("findings"))
 
 
@@ -310,16 +315,21 @@ RUN_1, RUN_2 = "(doc_id + repo_no) % 5 <> 0", "(doc_id + repo_no) % 5 <> 1"
 
 
 def two_runs(spark, sf_dir):
+    """One audit over both snapshots, told apart by a mark before the repository."""
     files = corpus(spark, sf_dir)
-    first = stamp_run(collect_findings(files.where(RUN_1)), "2024-01-01-0900")
-    second = stamp_run(collect_findings(files.where(RUN_2)), "2024-02-01-0900")
-    raised = F.when(F.col("rule") == "placeholder", "P1").otherwise(F.col("severity"))
+    marks = F.array_compact(F.array(F.when(F.expr(RUN_1), F.lit("1|")), F.when(F.expr(RUN_2), F.lit("2|"))))
+    marked = files.withColumn("mark", F.explode(marks)).withColumn("repo", F.concat("mark", "repo")).drop("mark")
+    found = written(collect_findings(marked), "two_runs")
+    of_run = lambda mark: found.where(F.col("repo").startswith(mark)).withColumn("repo", F.expr("substring(repo, 3)"))
+    first = stamp_run(of_run("1|"), "2024-01-01-0900")
+    second = stamp_run(of_run("2|"), "2024-02-01-0900")
+    raised = F.when(F.col("rule") == "placeholder", "P1").when(F.col("rule") == "http-without-tls", "P3").otherwise(F.col("severity"))
     return first, second.withColumn("severity", raised)
 
 
 RUNS = {**b.snapshot("_r1", RUN_1), **b.snapshot("_r2", RUN_2)}
 KEYS_1 = "SELECT repo, rule, path, any_value(severity) AS s FROM findings_r1 GROUP BY ALL"
-KEYS_2 = "SELECT repo, rule, path, any_value(CASE WHEN rule = 'placeholder' THEN 'P1' ELSE severity END) AS s, max(line_no) AS last_line FROM findings_r2 GROUP BY ALL"
+KEYS_2 = "SELECT repo, rule, path, any_value(CASE WHEN rule = 'placeholder' THEN 'P1' WHEN rule = 'http-without-tls' THEN 'P3' ELSE severity END) AS s, max(line_no) AS last_line FROM findings_r2 GROUP BY ALL"
 DIFF = f"""SELECT repo, rule, path, CASE WHEN a.s IS NULL THEN 'new' WHEN c.s IS NULL THEN 'resolved' ELSE 'carried' END AS status,
 coalesce(a.s, '') AS previous_severity, coalesce(c.s, a.s) AS severity FROM ({KEYS_1}) a FULL JOIN ({KEYS_2}) c USING (repo, rule, path)"""
 
