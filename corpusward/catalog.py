@@ -192,15 +192,6 @@ TECH_DEBT_RULES = (
 )
 
 
-def rule_table(spark: SparkSession, extra: tuple[Rule, ...] = ()) -> DataFrame:
-    """The catalog as a table; its size is the number of rules."""
-    rows = [
-        {**r._asdict(), "scanner_rank": SCANNER_RANK.get(r.scanner, len(SCANNERS)), "rule_rank": n}
-        for n, r in enumerate(RULES + CHECKLIST_RULES + tuple(extra))
-    ]
-    return dimension(spark, rows)
-
-
 def severity_table(spark: SparkSession) -> DataFrame:
     return dimension(
         spark,

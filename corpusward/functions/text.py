@@ -53,11 +53,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 
 
-def snippet(text: Column, width: int) -> Column:
-    """Evidence: the stripped line, cut at ``width`` characters."""
-    return F.substring(strip(text), 1, width)
-
-
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     tests = [F.contains(text, F.lit(n)) for n in needles]
     found = tests[0]

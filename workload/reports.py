@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusward import catalog
 from corpusward.functions.tables import dimension
 from corpusward.operators import config, fixes, history, reports, review, verdict
 from corpusward.operators.file_scan import scan_files, scan_with_context
 from corpusward.plans.audit import collect_findings
 from corpusward.schema import compact, stamp_run
-from corpusward.session import written
+from corpusward.session import fresh_path, written
+from corpusward.sources.history import read_findings, read_history, run_id_of, run_records, write_findings, write_history
 from fixtures.corpus import corpus
 from workload import expected
 from workload import sqlbase as b
@@ -479,3 +481,41 @@ LEFT JOIN (SELECT repo, max(run_id) AS prior FROM run_rows x WHERE is_valid AND
 )
 def retention_plan(spark, sf_dir):
     return history.retention_plan(*stored_history(spark, sf_dir))
+
+
+SECRET = dict(b.LINE_PATTERNS)["hardcoded-secret"]
+SECRET_LINES = b.lines_of("(SELECT source AS repo, doc_id, text AS content FROM documents)", "repo, doc_id")
+
+
+@query(
+    f"""SELECT repo, 'doc_' || doc_id || '.txt' AS path, CAST(line AS BIGINT) AS line, '2024-05-06-0708' AS run_id, 'critical' AS label, CAST(0 AS BIGINT) AS place
+FROM ({SECRET_LINES}) WHERE {b.has(SECRET)}"""
+)
+def findings_round_trip(spark, sf_dir):
+    """Findings written as JSON and read back, with the run id of a moment and the severity table beside them."""
+    moment = F.lit("2024-05-06 07:08:09").cast("timestamp").alias("moment")
+    found = scan_files(doc_files(spark, sf_dir), ("hardcoded-secret",)).select("*", moment)
+    found = found.withColumn("run_id", run_id_of("moment")).drop("moment")
+    target = fresh_path(spark, "json_findings")
+    write_findings(found, target, "json")
+    labels = catalog.severity_table(spark).select("severity", F.lower("severity_label").alias("label"), F.col("severity_rank").cast("long").alias("place"))
+    read = read_findings(spark, target, "json").join(F.broadcast(labels), "severity")  # one row per severity
+    return read.select("repo", "path", F.col("line").cast("long").alias("line"), "run_id", "label", "place")
+
+
+@query(
+    sql(
+        f"""SELECT repo, {q(RUN)} AS run_id, verdict, total_files, finding_count, coalesce(stored, 0) AS stored
+FROM ({verdict_sql(STOPS)}) JOIN ({COVERAGE_SQL}) USING (repo) LEFT JOIN (SELECT repo, count(*) AS stored FROM findings GROUP BY repo) USING (repo)"""
+    )
+)
+def history_round_trip(spark, sf_dir):
+    """One audit appended to a history and read back: a record per repository, clean ones too, and their findings."""
+    files, found = corpus(spark, sf_dir), stored_findings(spark, sf_dir)
+    decision = verdict.verdict(found, repos=files, run_id=RUN)
+    target = fresh_path(spark, "history")
+    write_history(found, run_records(decision, reports.coverage(files, found), reports.verification_record(files)), target)
+    runs, kept = read_history(spark, target)
+    counts = kept.groupBy("repo").agg(F.count("*").alias("stored"))
+    rows = runs.join(counts, "repo", "left").select("repo", "run_id", "verdict", "coverage.total_files", "coverage.finding_count", "stored")
+    return rows.fillna(0, ["stored"])
