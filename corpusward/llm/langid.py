@@ -8,7 +8,7 @@ distance: the sum, over the text's own profile, of the difference of ranks, or o
 of a language's profile for n-grams that the profile lacks. Equal distances go to
 the first language in code point order. The score is one minus the distance as a part of the greatest possible.
 
-Profiles are learnt from a bounded sample of labelled documents (``per_language``, whole
+Profiles are learnt from a bounded sample of labelled documents (about ``per_language``, whole
 texts). They are as many small rows as languages times profile length and travel with the
 tasks; texts never move.
 
@@ -101,7 +101,7 @@ class Profiles:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, length: int = LANGUAGE_GRAMS) -> dict[str, list[int]]:
-    """Profiles from the labelled documents that are not held out, ``per_language`` of each language."""
+    """Profiles from the labelled documents that are not held out, about ``per_language`` of each language."""
     known = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     chosen = sample(known, "lang", per_language).select(F.col("doc_id").alias("chosen"), F.col("lang").alias("language"))
     texts = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("language"))).select("language", "text")

@@ -4,13 +4,14 @@ Words are runs of word characters, and runs of marks count as words too; feature
 words and pairs of neighbours, hashed to ``2 ** BITS`` places, with counts scaled to length
 one. All pairs of a word with itself are one feature, and so are all words that come back
 after one other. The model is trained by follow-the-regularised-leader updates, one per document and
-epoch, on a bounded sample (``per_label`` whole documents of each label). The sample is
+epoch, on a bounded sample (about ``per_label`` whole documents of each label). The sample is
 dealt over shards, every shard is trained by one task, and their weights are averaged. The
 intercept is the ratio of labels among all documents that may be learnt from. A score is a sparse dot product.
 
 The model is at most ``2 ** BITS`` numbers, sent once to every executor. Null and empty texts,
 and texts without a word, get the score of the intercept. If one label or both are
-missing the model is its intercept. Several labels of a document are several examples.
+missing the model is its intercept. Different labels of a document are several examples; an id
+that is repeated is one.
 Extra columns are ignored, or kept by ``good``; repeated rows are scored each.
 """
 
@@ -104,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, shards
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     ratio = {row["quality"]: row["count"] for row in known.groupBy("quality").count().collect()}
     chosen = sample(known, "quality", per_label, key="labelled")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text").dropDuplicates(["doc_id", "quality"])
     shown = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("places", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +118,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, shards
         rows = rows.sort_values(["doc_id", "quality"], kind="stable")
         weights = train([(q, np.asarray(p, np.int64), np.asarray(v)) for q, p, v in zip(rows["quality"], rows["places"], rows["values"])])
         used = np.flatnonzero(weights)
-        return pd.DataFrame({"place": used, "weight": weights[used] * len(rows)})
+        return pd.DataFrame({"place": np.append(used, -1), "weight": np.append(weights[used], 1.0) * len(rows)})  # -1: how many
 
     made = texts.mapInArrow(examples, "shard int, doc_id long, quality int, places array<long>, values array<double>")
     trained = made.groupBy("shard").applyInPandas(of_shard, "place long, weight double")
-    rows = trained.groupBy("place").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2 ** BITS rows
+    rows = trained.groupBy("place").agg(F.sum("weight").alias("weight")).toPandas()  # at most 2 ** BITS + 1 rows
     weights, intercept = np.zeros(1 << BITS), 0.0
     if len(ratio) == 2:
-        used = [min(n, per_label) for n in ratio.values()]
-        weights[rows["place"].to_numpy()] = rows["weight"].to_numpy() / sum(used)
         intercept = math.log(ratio[1] / ratio[0])
+        own = rows[rows["place"] >= 0]
+        weights[own["place"].to_numpy(np.int64)] = own["weight"].to_numpy() / rows.loc[rows["place"] == -1, "weight"].sum()
     elif ratio:
         intercept = 5.0 if 1 in ratio else -5.0
     return Model(weights, intercept)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+UNIT = 1 << 53
+
 
 def sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
-    """(key, label) of at most ``per_label`` rows of each label, those with the smallest hash.
+    """(key, label) of about ``per_label`` rows of each label, or of all if there are fewer.
 
-    The limit per label is applied in every task before rows move, so a frequent label
-    costs no more than a rare one. The result is bounded by labels times ``per_label``.
+    A row is taken if the hash of its key, as a number from 0 to 1, is below ``per_label``
+    divided by the label's rows. So rows are only counted: none are sorted or brought
+    together, however frequent a label is. Keys that are repeated under a label count once.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key))
-    ranked = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label).withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= per_label).select(key, label)
+    known = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, label)
+    counts = known.groupBy(label).agg(F.count("*").alias("_rows"))
+    chance = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(UNIT)) / UNIT
+    taken = known.join(F.broadcast(counts), label).where(chance * F.col("_rows") < per_label)  # one row for each label
+    return taken.select(key, label).distinct()
