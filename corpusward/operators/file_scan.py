@@ -344,5 +344,7 @@ def scan_lines_with_table(files: DataFrame, rule_table: DataFrame, marker: str =
     rows = rule_table.orderBy("rule").collect()
     own = [LineRule(r["rule"], r["scope"], r["pattern"], ()) for r in rows]
     known = tuple(Rule(r["rule"], r["severity"], r["category"], "line_scan", r["rule"], "") for r in rows)
-    parts = [scan_files(files, (), own[at : at + RULES_AT_ONCE], known, marker) for at in range(0, max(len(own), 1), RULES_AT_ONCE)]
+    if not own:
+        return scan_files(files, PATH_RULES).limit(0)
+    parts = [scan_files(files, (), own[at : at + RULES_AT_ONCE], known, marker) for at in range(0, len(own), RULES_AT_ONCE)]
     return reduce(DataFrame.unionByName, parts)

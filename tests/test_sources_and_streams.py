@@ -26,18 +26,15 @@ TREE = {
 }
 
 
-class NoSetting:
-    """A session without ``spark.checkpoint.dir``."""
+def session_with(**settings):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings.get(name.replace(".", "_"), default)))
 
-    def __init__(self, master):
-        self.conf = SimpleNamespace(get=lambda name, default: default)
-        self.sparkContext = SimpleNamespace(master=master)
 
-
-def test_only_a_local_session_may_lack_the_shared_folder(spark):
-    assert shared_dir(NoSetting("local[2]")) == shared_dir(NoSetting("local[2]"))
-    with pytest.raises(ValueError):
-        shared_dir(NoSetting("yarn"))
+def test_shared_folder_is_the_setting_or_in_the_warehouse(spark):
+    warehouse = {"spark_sql_warehouse_dir": "hdfs://x/warehouse/"}
+    assert shared_dir(session_with(spark_checkpoint_dir="hdfs://x/shared/", **warehouse)) == "hdfs://x/shared"
+    assert shared_dir(session_with(**warehouse)) == "hdfs://x/warehouse/_between"
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def plant(tmp_path):
