@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter
 from types import SimpleNamespace
 
-import pytest
 from pyspark.sql import functions as F
 
 from corpusward.operators import history, reports, verdict
