@@ -2,13 +2,11 @@
 
 Files are (repo, path, content). Their passages are all lines and all paragraphs and, of licence files
 (LICENSE, COPYING and the like), the whole text as well. A passage is a sparse TF-IDF vector: counts of its terms
-times their idf over all files, where a term that no template has counts as if no file had it. A file's own licence is
-that of the template with the greatest cosine to one of its passages, if that is ``least`` or more;
+times their idf over all files. A file's own licence is that of the template with the greatest cosine to one of its passages, if that is ``least`` or more;
 equal cosines go to the first licence by name. A licence file gives its licence to its directory, the best
 of several does. A file without a licence of its own has that of the nearest directory above it which has one.
 
-Only terms of the templates are counted over the files, so the table of their frequencies is as small
-as the templates. A passage whose cosine reaches ``least`` must share one of a template's weightiest terms:
+The files that hold each term are counted for all terms and joined to the terms of passages. A passage whose cosine reaches ``least`` must share one of a template's weightiest terms:
 leaving out the others' weight leaves less than ``least``. So passages without such a term are dropped before any
 of them is split into terms. Directories are joined once each, not per file.
 
@@ -55,14 +53,18 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(text, NOT_A_TERM), "")
 
 
-def weights(contents: DataFrame, templates: tuple[tuple[str, str], ...], least: float) -> tuple[DataFrame, str, float]:
-    """term, idf and its weight in every template; a pattern of the terms a passage needs one of; idf of other terms."""
-    spark = contents.sparkSession
+def frequencies(contents: DataFrame) -> DataFrame:
+    """term and ``df``, the number of rows that hold it."""
+    held = contents.select(F.explode(F.array_distinct(terms(F.lower("content")))).alias("term"))
+    return held.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weights(found: DataFrame, total: int, templates: tuple[tuple[str, str], ...], least: float) -> tuple[DataFrame, str]:
+    """term and its weight in every template; a pattern of the terms a passage needs one of."""
+    spark = found.sparkSession
     counted = [template_terms(text) for _, text in templates]
     vocabulary = sorted(set().union(*counted))
-    held = F.explode(F.array_intersect(terms(F.lower("content")), F.array(*map(F.lit, vocabulary))))
-    df = {row["term"]: row["count"] for row in contents.select(held.alias("term")).groupBy("term").count().collect()}  # template terms only
-    total = contents.count()
+    df = {row["term"]: row["df"] for row in found.where(F.col("term").isin(vocabulary)).collect()}  # template terms only
     idf = {term: math.log((1 + total) / (1 + df.get(term, 0))) + 1 for term in vocabulary}
     vectors, needed = [], set()
     for counts in counted:
@@ -75,21 +77,23 @@ def weights(contents: DataFrame, templates: tuple[tuple[str, str], ...], least:
                 break
             needed.add(term)
             rest -= vectors[-1][term] ** 2
-    rows = [(term, idf[term], [v.get(term, 0.0) for v in vectors]) for term in vocabulary]
+    rows = [(term, [v.get(term, 0.0) for v in vectors]) for term in vocabulary]
     pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(needed)) + r")(?![\p{L}\p{N}])"
-    return spark.createDataFrame(rows, "term string, idf double, shares array<double>"), pattern, math.log(1 + total) + 1
+    return spark.createDataFrame(rows, "term string, shares array<double>"), pattern
 
 
 def own_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """key, licence, score of the files (key, path, content) that have a licence of their own."""
-    known, pattern, other_idf = weights(files, templates, least)
+    found, total = written(frequencies(files), "frequencies"), files.count()
+    known, pattern = weights(found, total, templates, least)
     low = F.lower("content")
     likely = files.where(low.rlike(pattern)).select("key", low.alias("text"), is_licence_file(F.col("path")).alias("whole"))
     whole = F.when(F.col("whole"), F.array("text")).otherwise(F.array().cast("array<string>"))
     passages = F.filter(F.array_distinct(F.concat(F.split("text", r"\r\n|\r|\n"), F.split("text", r"\n[ \t\r]*\n"), whole)), lambda p: p.rlike(pattern))
     split = likely.select("key", F.posexplode(passages).alias("passage", "text")).select("key", "passage", F.explode(terms(F.col("text"))).alias("term"))
-    counts = split.groupBy("key", "passage", "term").agg(F.count("*").alias("n")).join(F.broadcast(known), "term", "left")  # as small as the templates
-    weight = F.col("n") * F.coalesce("idf", F.lit(other_idf))
+    counts = split.groupBy("key", "passage", "term").agg(F.count("*").alias("n")).join(found, "term")
+    counts = counts.join(F.broadcast(known), "term", "left")  # as small as the templates
+    weight = F.col("n") * (F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1)
     dots = [F.sum(weight * F.coalesce(F.col("shares")[k], F.lit(0.0))) for k in range(len(templates))]
     scored = counts.groupBy("key", "passage").agg(F.sqrt(F.sum(weight * weight)).alias("length"), F.array(*dots).alias("dots"))
     names = F.array(*[F.lit(name) for name, _ in templates])
