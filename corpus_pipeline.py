@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusward.llm import langid, mixing, packing, quality, resemblance
+from corpusward.llm import langid, mixing, packing, quality, simhash
 from corpusward.llm.common import table
 from corpusward.session import written
 
@@ -30,8 +30,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard from 0.8), that with the smallest doc_id."""
-    return resemblance.representatives(docs)
+    """One document of each group of SimHash near duplicates (three-word shingles, three bits), that with the smallest doc_id."""
+    return simhash.representatives(docs, distance=simhash.DISTANCE, shingle=simhash.SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
