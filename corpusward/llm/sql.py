@@ -164,10 +164,119 @@ SELECT p.doc_id, p.path, p.licence AS own_licence, p.score AS own_score, coalesc
 FROM placed p LEFT JOIN above a USING (doc_id)
 """
 
+# CRC-32 of a string column, from its UTF-8 bytes; ``crc`` is a list of the 256 values for single bytes.
+CRC_TABLE = """SELECT list(v ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS t(n))"""
+
+
+def crc32(text: str) -> str:
+    in_bytes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {in_bytes}), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])))"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11 = rf"""
+WITH RECURSIVE crcs AS ({CRC_TABLE}), runs AS (
+    SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+    SELECT run, times, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crcs WHERE length(run) >= 6
+), counted AS (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+    SELECT word, CAST(sum(times) AS BIGINT) AS n FROM counted WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), shorter AS (
+    SELECT word, place, left(word, place) || substring(word, place + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS place FROM words)
+), links AS (
+    SELECT DISTINCT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.place = b.place AND a.word <> b.word
+    UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+    UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+    SELECT l.word, count(*) AS n_near, max(w.n) AS near_n, min_by(w.word, (-w.n, w.word)) AS near FROM links l JOIN words w ON w.word = l.near GROUP BY l.word
+), forms AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), steps AS (
+    SELECT word, word AS at FROM forms
+    UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NOT NULL
+), ends AS (
+    SELECT s.word, s.at AS root FROM steps s JOIN forms f ON f.word = s.at WHERE f.form IS NULL
+)
+SELECT word, n, n_near, form, form_n, root FROM forms JOIN ends USING (word)
+"""
+
+OP12 = rf"""
+WITH terms AS (
+    SELECT row, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+), asked AS (
+    SELECT DISTINCT item_id, term FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), sizes AS (
+    SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM terms GROUP BY row
+), whole AS (
+    SELECT count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS length FROM sizes
+), counts AS (
+    SELECT row, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, whole GROUP BY term, documents
+), scored AS (
+    SELECT a.item_id, c.row, s.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length)))) AS BIGINT) AS score
+    FROM asked a JOIN counts c USING (term) JOIN weights USING (term) JOIN sizes s USING (row), whole GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+OP13 = f"""
+WITH RECURSIVE crcs AS ({CRC_TABLE}), rows AS (
+    SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + 8 AS size FROM documents
+), whole AS (
+    SELECT digest, CAST(sum(size) AS BIGINT) AS size FROM rows GROUP BY digest
+), by_size AS (
+    SELECT *, row_number() OVER w AS place, sum(size) OVER () - sum(size) OVER w + size AS left_over FROM whole WINDOW w AS (ORDER BY size DESC, digest)
+), alone AS (
+    SELECT digest, place FROM by_size WHERE place < coalesce((SELECT min(place) FROM by_size WHERE size * (25 - place) <= left_over), 25)
+), rest AS (
+    SELECT digest, size, CAST(sum(size) OVER (ORDER BY digest) AS BIGINT) AS upto FROM whole WHERE digest NOT IN (SELECT digest FROM alone)
+), facts AS (
+    SELECT list_prepend(0::BIGINT, list(upto ORDER BY upto)) AS ends, max(upto) AS total, max(size) AS largest, 24 - (SELECT count(*) FROM alone) AS shards FROM rest HAVING count(*) > 0
+), search AS (  -- the capacity lies from low to high
+    SELECT greatest(-(-total // shards), largest) AS low, total AS high FROM facts
+    UNION ALL
+    SELECT CASE WHEN fits THEN low ELSE middle + 1 END, CASE WHEN fits THEN middle ELSE high END FROM (
+        SELECT low, high, middle, list_reduce(list_prepend(0::BIGINT, range(shards)), lambda reach, k: list_max(list_filter(ends, lambda e: e <= reach + middle))) >= total AS fits
+        FROM (SELECT low, high, (low + high) // 2 AS middle FROM search WHERE low < high), facts)
+), bound AS (
+    SELECT low AS capacity FROM search WHERE low = high
+), earliest AS (
+    SELECT shards AS k, total AS least FROM facts
+    UNION ALL SELECT k - 1, list_min(list_filter(ends, lambda e: e >= least - capacity)) FROM earliest, facts, bound WHERE k > 1
+), cuts AS (
+    SELECT 0::BIGINT AS k, 0::BIGINT AS reach
+    UNION ALL
+    SELECT k, least(greatest(CASE WHEN even - before <= after - even THEN before ELSE after END, least), list_max(list_filter(ends, lambda e: e <= reach + capacity))) FROM (
+        SELECT e.k, reach, least, even, ends, capacity, list_min(list_filter(ends, lambda e: e >= even)) AS after,
+               coalesce(list_max(list_filter(ends, lambda e: e < even)), -total) AS before
+        FROM (SELECT c.k + 1 AS k, reach, reach + (total - reach)::DOUBLE / (shards - c.k)::DOUBLE AS even FROM cuts c, facts WHERE c.k + 1 < shards) n
+        JOIN earliest e ON e.k = n.k, facts, bound)
+), placed AS (
+    SELECT digest, place - 1 AS shard FROM alone
+    UNION ALL SELECT digest, (SELECT count(*) FROM alone) + (SELECT count(*) FROM cuts WHERE k > 0 AND reach < upto) FROM rest
+)
+SELECT doc_id, size, {crc32("text")} AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM rows JOIN placed USING (digest), crcs
+"""
+
 ORACLES = {
     "op2_imatch_fingerprints": OP2,
     "op5_source_mixing": OP5,
     "op7_warc_archive": OP7,
     "op9_licence_scan": OP9,
     "op10_exact_top_k": OP10,
+    "op11_spelling_variants": OP11,
+    "op12_lexical_search": OP12,
+    "op13_sharding": OP13,
 }
