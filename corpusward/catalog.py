@@ -152,6 +152,7 @@ CHECKLIST_RULES = (
     Rule("debug-true", "P1", SECURITY, "checklist_scan", "Debug mode on", "Switch it off for release", MEDIUM),
     Rule("type-ignore-no-reason", "P3", QUALITY, "checklist_scan", "Type check silenced without a reason", "Give the reason", MEDIUM),
     Rule("duplicate-dependency", "P2", DEPENDENCIES, "checklist_scan", "Dependency listed more than once", "Keep one entry", MEDIUM),
+    Rule("conflicting-dependency", "P1", DEPENDENCIES, "checklist_scan", "No version meets all requirements", "Agree on one range", MEDIUM),
     Rule("dev-dependency-in-production", "P2", DEPENDENCIES, "checklist_scan", "Tool listed as a run time dependency", "Move it to the dev list", MEDIUM),
     Rule("unused-dependency", "P2", DEPENDENCIES, "checklist_scan", "Dependency never imported", "Drop it", LOW),
     Rule("gitignore-missing-venv", "P2", DEPENDENCIES, "checklist_scan", "Ignore file lacks venv/", "Add the entry", LOW),

@@ -164,6 +164,7 @@ RULES = (
     ("debug-true", "P1", "Security", "checklist_scan", 0.6),
     ("type-ignore-no-reason", "P3", "Code Quality", "checklist_scan", 0.6),
     ("duplicate-dependency", "P2", "Dependencies and Configuration", "checklist_scan", 0.6),
+    ("conflicting-dependency", "P1", "Dependencies and Configuration", "checklist_scan", 0.6),
     ("dev-dependency-in-production", "P2", "Dependencies and Configuration", "checklist_scan", 0.6),
     ("unused-dependency", "P2", "Dependencies and Configuration", "checklist_scan", 0.3),
     ("gitignore-missing-venv", "P2", "Dependencies and Configuration", "checklist_scan", 0.3),

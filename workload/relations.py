@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusward.operators import nested
+from corpusward.functions.text import LINE_BREAK
+from corpusward.operators import nested, versions
 from fixtures.corpus import documents
 from workload import sqlbase as b
 from workload.sqlbase import q, sql
@@ -83,3 +84,65 @@ def nested_deltas(spark, sf_dir):
 @query(sql(f"SELECT repo, name, count(*) AS leaves, count(*) FILTER (status <> 'pass') AS differing, CASE WHEN bool_or(status <> 'pass') THEN 'regression' ELSE 'pass' END AS status FROM ({LEAF_DELTAS}) GROUP BY ALL", LEAF_CTES))
 def nested_verdict(spark, sf_dir):
     return nested.nested_verdicts(shapes(spark, sf_dir))
+
+
+# --- Requirements whose versions come from the documents' lengths -----------------------------
+# kind of file, ecosystem, written name, name, specification, lowest and highest version, excluded from and to.
+# The expressions are valid in both dialects; a version x.y.z is the number x * 10000 + y * 100 + z.
+MAJOR, MINOR = "(n_chars % 2)", "(n_chars % 5)"
+CARET = "CASE WHEN n_chars % 3 > 0 THEN (n_chars % 3 + 1) * 10000 - 1 WHEN n_chars % 4 > 0 THEN (n_chars % 4 + 1) * 100 - 1 ELSE n_chars % 2 END"
+REQUIRED = (
+    (0, "python", "Shared_Lib[extra]", "shared-lib", f"concat('==', {MAJOR}, '.', {MINOR})", f"{MAJOR} * 10000 + {MINOR} * 100", f"{MAJOR} * 10000 + {MINOR} * 100", "-1", "-1"),
+    (0, "python", "kit", "kit", f"concat('!=', {MAJOR}, '.*')", "-1", "99999", f"{MAJOR} * 10000", f"{MAJOR} * 10000 + 9999"),
+    (0, "python", "other", "other", f"concat('>', {MINOR}, '.0,<=', {MINOR} + {MAJOR}, '.0')", f"{MINOR} * 10000 + 1", f"({MINOR} + {MAJOR}) * 10000", "-1", "-1"),
+    (1, "python", "shared.lib", "shared-lib", f"concat('>=', {MAJOR}, '.', n_chars % 4, ',<2')", f"{MAJOR} * 10000 + n_chars % 4 * 100", "19999", "-1", "-1"),
+    (1, "python", "KIT", "kit", f"concat('==', {MAJOR}, '.', n_chars % 3)", f"{MAJOR} * 10000 + n_chars % 3 * 100", f"{MAJOR} * 10000 + n_chars % 3 * 100", "-1", "-1"),
+    (2, "python", "shared-lib", "shared-lib", f"concat('~=', {MAJOR}, '.', n_chars % 3, '.0')", f"{MAJOR} * 10000 + n_chars % 3 * 100", f"{MAJOR} * 10000 + (n_chars % 3 + 1) * 100 - 1", "-1", "-1"),
+    (3, "node", "left-pad", "left-pad", f"concat('^', n_chars % 3, '.', n_chars % 4, '.', {MAJOR})", f"n_chars % 3 * 10000 + n_chars % 4 * 100 + {MAJOR}", CARET, "-1", "-1"),
+    (3, "node", "left-pad", "left-pad", "concat('>=', n_chars % 4, '.0.0,<3')", "n_chars % 4 * 10000", "29999", "-1", "-1"),
+)
+SPEC_PATHS = ("requirements.txt", "requirements-dev.txt", "pyproject.toml", "package.json")
+
+
+def specification_files(spark, sf_dir):
+    """Four files per repository, each with versions from its document and the whole text as remarks."""
+    docs = documents(spark, sf_dir)
+    remarks = F.concat(F.lit("# "), F.regexp_replace("text", LINE_BREAK, "\n# "))
+    entry = lambda row: F.concat(F.lit(row[2]), F.expr(row[4]))
+    of = [[row for row in REQUIRED if row[0] == kind] for kind in range(4)]
+    listed = [F.concat_ws("\n", remarks, *map(entry, rows)) for rows in of[:2]]
+    project = F.concat(F.lit('[project]\nname = "p"\ndependencies = [\n    "'), entry(of[2][0]), F.lit('",\n]\n[tool.x]\nkit = "9.9"\n'), remarks)
+    section = lambda row: F.create_map(F.lit("left-pad"), F.replace(F.expr(row[4]), F.lit(","), F.lit(" ")))
+    package = F.to_json(F.struct(F.col("text").alias("description"), section(of[3][0]).alias("dependencies"), section(of[3][1]).alias("devDependencies")))
+    contents = [*listed, project, package]
+    kind = F.col("doc_id") % 4
+    return docs.select(
+        F.concat(F.lit("s"), F.floor(F.col("doc_id") / 4).cast("string")).alias("repo"),
+        F.element_at(F.array(*map(F.lit, SPEC_PATHS)), (kind + 1).cast("int")).alias("path"),
+        F.coalesce(*[F.when(kind == k, content) for k, content in enumerate(contents)]).alias("content"),
+    )
+
+
+def requirement_rows() -> str:
+    lines = {0: "len(string_split_regex(text, {}))".format(q(b.BREAK)), 1: "len(string_split_regex(text, {}))".format(q(b.BREAK)), 2: "3", 3: "0"}
+    rows, places = [], dict.fromkeys(range(4), 0)
+    for kind, system, _, name, spec, low, high, gap_low, gap_high in REQUIRED:
+        places[kind] += 1
+        line = "1" if kind == 3 else f"{lines[kind]} + {places[kind]}"
+        rows.append(f"SELECT 's' || doc_id // 4 AS repo, {q(SPEC_PATHS[kind])} AS path, {line} AS line, {q(system)} AS system, {q(name)} AS name, {spec} AS spec, {low} AS low, {high} AS high, {gap_low} AS gap_low, {gap_high} AS gap_high FROM documents WHERE doc_id % 4 = {kind}")
+    return " UNION ALL ".join(rows)
+
+
+@query(
+    sql(
+        """SELECT repo, first.path AS path, 'conflicting-dependency' AS rule, CAST(first.line AS BIGINT) AS line, name || ': ' || specs AS snippet FROM (
+SELECT repo, system, name, min({'path': path, 'line': line}) AS first, array_to_string(list_sort(list_distinct(list(spec))), ' and ') AS specs FROM required GROUP BY ALL)
+WHERE (repo, system, name) NOT IN (SELECT (r.repo, r.system, r.name) FROM required r JOIN candidates v ON true
+  GROUP BY r.repo, r.system, r.name, v.version HAVING bool_and(v.version BETWEEN r.low AND r.high AND NOT v.version BETWEEN r.gap_low AND r.gap_high))""",
+        {"required": requirement_rows(), "candidates": "SELECT x * 10000 + y * 100 + z AS version FROM range(0, 8) AS a(x), range(0, 8) AS c(y), range(0, 3) AS d(z)"},
+    )
+)
+def conflicting_dependencies(spark, sf_dir):
+    """Checked against every version up to 7.7.2, one by one."""
+    found = versions.conflicting_dependencies(specification_files(spark, sf_dir))
+    return found.select("repo", "path", "rule", F.col("line").cast("long").alias("line"), "snippet")
