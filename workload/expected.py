@@ -174,6 +174,8 @@ RULES = (
     ("empty-package-init", "P2", "Cleanup", "checklist_scan", 0.6),
     ("unreferenced-script", "P2", "Cleanup", "checklist_scan", 0.3),
     ("temporary-file", "P2", "Cleanup", "checklist_scan", 0.6),
+    ("tracked-secret-file", "P0", "Data Leaks", "checklist_scan", 0.6),
+    ("tracked-temporary-file", "P2", "Cleanup", "checklist_scan", 0.6),
     ("broad-except-silent", "P2", "Bugs and Logic Errors", "checklist_scan", 0.3),
     ("hardcoded-url", "P2", "Code Quality", "checklist_scan", 0.6),
     ("unsafe-deserialization", "P0", "Security", "checklist_scan", 0.6),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusward.functions.text import LINE_BREAK
-from corpusward.operators import nested, versions
+from corpusward.operators import ignores, nested, versions
 from fixtures.corpus import documents
 from workload import sqlbase as b
 from workload.sqlbase import q, sql
@@ -146,3 +146,83 @@ def conflicting_dependencies(spark, sf_dir):
     """Checked against every version up to 7.7.2, one by one."""
     found = versions.conflicting_dependencies(specification_files(spark, sf_dir))
     return found.select("repo", "path", "rule", F.col("line").cast("long").alias("line"), "snippet")
+
+
+# --- Ignore files whose patterns come from the documents' words -------------------------------------
+# path of the ignore file, and its lines; {w} is the first word of the document, {n} its length modulo four.
+IGNORES = (
+    (0, ".gitignore", "*.log\n/build/\n*.tmp\n!keep{n}.tmp\n.env\ndeep/**/x{n}.py\n  \n[a-m]*.key\n**/gen/*.py\n/src/*.swp\nlogs/**\n{w}.txt"),
+    (1, "src/.gitignore", "!*.log\n/a{n}/\n*.p?c\n!a0/main.pyc\n\\#odd.pem  \n[!a-m]*.pem\n[z-a].txt"),
+    (2, "src/a1/.gitignore", "*\n!*.py\n!.env.{w}"),
+)
+# Where the other documents lie, by doc_id modulo 12; {id} is the document, {n} its length modulo four, {w} its first word.
+TRACKED = (
+    "logs/run_{id}.log", "src/a{n}/run_{id}.log", "build/out_{id}.js", "src/build/out_{id}.js", "src/a{n}/keep{n}.tmp", "src/.env.{w}",
+    "deep/one/two/x{n}.py", "src/a{n}/main.pyc", "keys/{w}{id}.pem", "src/gen/{id}.py", "src/a1/.env.{w}", "src/#odd.pem",
+)
+
+
+def filled(template: str):
+    """A template as an expression that both dialects read."""
+    word = "coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]+', 0)), ''), 'none')"
+    out = q(template)
+    for name, value in (("{id}", "CAST(doc_id AS STRING)"), ("{n}", "CAST(n_chars % 4 AS STRING)"), ("{w}", word)):
+        out = f"replace({out}, '{name}', {value})"
+    return out
+
+
+def tracked_case(what: int) -> str:
+    """Path (1) or content (2) of a document's file."""
+    cases = " ".join(f"WHEN doc_id % 40 = {k} THEN {q(path) if what == 1 else filled(lines)}" for k, path, lines in IGNORES)
+    rest = "CASE " + " ".join(f"WHEN doc_id % 12 = {k} THEN {filled(path)}" for k, path in enumerate(TRACKED)) + " END" if what == 1 else "text"
+    return f"CASE {cases} ELSE {rest} END"
+
+
+def tracked_files(spark, sf_dir):
+    escaped = [tracked_case(n).replace("\\", "\\\\") for n in (1, 2)]  # backslashes in literals of this dialect
+    return documents(spark, sf_dir).selectExpr(f"{REPO_OF} AS repo", f"{escaped[0]} AS path", f"{escaped[1]} AS content").dropDuplicates(["repo", "path"])
+
+
+def regex_sql(p: str) -> str:
+    """A pattern of the files above as a regular expression; they hold one escape and no stand-ins."""
+    steps = (
+        (r"\\(.)", r"\1"), (r"\[!", "[^"), (r"\.", r"\\."), (r"^\*\*/", "\ue001"), (r"/\*\*$", "\ue002"), (r"/\*\*/", "/\ue001"),
+        (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\ue001", "(?:.*/)?"), ("\ue002", "/.*"), ("#", r"\\#"),
+    )
+    for pattern, meant in steps:
+        p = f"regexp_replace({p}, {q(pattern)}, {q(meant)}, 'g')"
+    return p
+
+
+COVERAGE_CTES = {
+    "tracked": f"SELECT DISTINCT ON (repo, path) {REPO_OF.replace('bigint', 'BIGINT')} AS repo, {tracked_case(1)} AS path, {tracked_case(2)} AS content FROM documents",
+    "ignore_lines": r"""SELECT repo, path AS file, regexp_replace(path, '/?[^/]*$', '') AS dir, unnest(range(1, len(ls) + 1)) AS line, regexp_replace(unnest(ls), '\s+$', '') AS pattern
+FROM (SELECT *, string_split(content, chr(10)) AS ls FROM tracked WHERE path = '.gitignore' OR ends_with(path, '/.gitignore'))""",
+    "ignore_rules": f"""SELECT *, CASE WHEN contains(body, '/') THEN '' ELSE '(?:.*/)?' END || {regex_sql("regexp_replace(body, '^/', '')")} AS regex FROM (
+SELECT *, starts_with(pattern, '!') AS negated, ends_with(pattern, '/') AS only_dirs, regexp_replace(regexp_replace(pattern, '^!', ''), '/+$', '') AS body
+FROM ignore_lines WHERE pattern <> '' AND NOT starts_with(pattern, '#') AND pattern <> '[z-a].txt')""",
+    "entries": "SELECT repo, path, unnest(range(1, n + 1)) AS level, n, array_to_string(parts[1:unnest(range(1, n + 1))], '/') AS entry FROM (SELECT repo, path, string_split(path, '/') AS parts, len(parts) AS n FROM tracked)",
+    "fitting": """SELECT e.repo, e.path, e.level, r.file, r.line, r.pattern, r.negated FROM entries e JOIN ignore_rules r ON e.repo = r.repo
+AND (r.dir = '' OR starts_with(e.entry, r.dir || '/')) AND (NOT r.only_dirs OR e.level < e.n)
+AND regexp_full_match(CASE WHEN r.dir = '' THEN e.entry ELSE substring(e.entry, length(r.dir) + 2) END, r.regex)
+QUALIFY row_number() OVER (PARTITION BY e.repo, e.path, e.level ORDER BY length(r.dir) DESC, r.line DESC) = 1""",
+    "covered": """SELECT t.repo, t.path, file || ':' || line || ' ' || pattern AS ignored_by FROM tracked t LEFT JOIN
+(SELECT * FROM fitting WHERE NOT negated QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY level) = 1) USING (repo, path)""",
+}
+
+
+@query(sql("SELECT repo, path, coalesce(ignored_by, '') AS ignored_by FROM covered", COVERAGE_CTES))
+def ignore_coverage(spark, sf_dir):
+    return ignores.ignore_coverage(tracked_files(spark, sf_dir)).withColumn("ignored_by", F.coalesce("ignored_by", F.lit("")))
+
+
+@query(
+    sql(
+        r"""SELECT repo, path, CASE WHEN secret THEN 'tracked-secret-file' ELSE 'tracked-temporary-file' END AS rule FROM (
+SELECT repo, path, regexp_matches(path, '(^|/)(\.env\.[^/]+|[^/]*\.(pem|key))$') OR regexp_matches(path, '(^|/)\.env$') AS secret FROM covered WHERE ignored_by IS NULL)
+WHERE secret OR regexp_matches(path, '\.(tmp|swp|pyc|log)$')""",
+        COVERAGE_CTES,
+    )
+)
+def tracked_risks(spark, sf_dir):
+    return ignores.tracked_risks(tracked_files(spark, sf_dir)).select("repo", "path", "rule")
