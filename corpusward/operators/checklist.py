@@ -57,9 +57,13 @@ def of_functions(keep: str, rule: str) -> str:
 
 SENDS = calls_have("c.short IN ('send_transaction', 'send_raw_transaction')")
 LOCKED = "exists(f.withs, w -> contains(lower(w), 'lock'))"
-REMOTE_IN_LOOP = calls_have("c.loop_depth > 0 AND (startswith(c.qualified, 'requests.') OR startswith(c.qualified, 'session.') OR startswith(c.qualified, 'self.session.'))")
-PAUSES = "(" + calls_have("c.short = 'sleep'") + " OR exists(f.withs, w -> contains(lower(w), 'sem')))"
-RISKY_DIVISORS = f"filter(f.divisors, d -> {one_of('lower(substring_index(d, chr(46), -1))', QUANTITIES)})"
+# Order counts: only what surely came before, or stands in the same loop, or around the call.
+UNPREPARED_SEND = "exists(f.ordered_calls, c -> c.short IN ('send_transaction', 'send_raw_transaction') AND NOT array_contains(c.before, 'estimate_gas'))"
+HASTY_LOOP = (
+    "exists(f.ordered_calls, c -> c.loops > 0 AND c.short NOT IN ('send_transaction', 'send_raw_transaction') "
+    "AND NOT array_contains(c.loop_calls, 'sleep') AND NOT exists(c.withs, w -> contains(lower(w), 'sem')))"
+)
+UNGUARDED = f"exists(f.unguarded, d -> {one_of('lower(substring_index(d, chr(46), -1))', QUANTITIES)})"
 YAML_UNSAFE = "f.qualified = 'yaml.load' AND NOT exists(f.kwarg_values, v -> endswith(v, 'SafeLoader'))"
 
 # Rules on code facts: rule -> expression.
@@ -67,15 +71,15 @@ FACT_RULES = {
     "client-session-no-timeout": of_calls("f.short = 'ClientSession' AND NOT array_contains(f.kwargs, 'timeout')", "client-session-no-timeout"),
     "gather-no-return-exceptions": of_calls("f.qualified IN ('asyncio.gather', 'gather') AND NOT array_contains(f.kwargs, 'return_exceptions')", "gather-no-return-exceptions"),
     "order-without-slippage-cap": of_calls(f"{one_of('f.short', ORDER_CALLS)} AND NOT exists(f.kwargs, k -> {one_of('k', PRICE_LIMITS)})", "order-without-slippage-cap"),
-    "send-without-gas-estimate": of_functions(f"{SENDS} AND NOT {calls_have('c.short = ' + quoted('estimate_gas'))}", "send-without-gas-estimate"),
+    "send-without-gas-estimate": of_functions(UNPREPARED_SEND, "send-without-gas-estimate"),
     "nonce-without-lock": of_functions(f"{SENDS} AND {calls_have('c.short = ' + quoted('get_transaction_count'))} AND NOT {LOCKED}", "nonce-without-lock"),
     "json-without-status-check": of_functions(
         f"{calls_have('c.short = ' + quoted('json') + ' AND c.func_kind = ' + quoted('attribute'))} "
         f"AND NOT exists(f.attrs, a -> a IN ('status', 'status_code', 'ok', 'raise_for_status'))",
         "json-without-status-check",
     ),
-    "no-rate-limit": of_functions(f"{REMOTE_IN_LOOP} AND NOT {PAUSES}", "no-rate-limit"),
-    "unguarded-division": of_functions(f"size(array_except({RISKY_DIVISORS}, f.tested)) > 0", "unguarded-division"),
+    "no-rate-limit": of_functions(HASTY_LOOP, "no-rate-limit"),
+    "unguarded-division": of_functions(UNGUARDED, "unguarded-division"),
     "retry-without-idempotency": of_functions(
         "exists(f.decorators, d -> contains(lower(d), 'retry')) AND contains(lower(f.name), 'order') "
         "AND NOT exists(f.params, p -> contains(lower(p.name), 'idempot') OR p.name = 'client_order_id')",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import sys
 import tokenize
 from collections.abc import Iterator
@@ -21,22 +22,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from corpusward.functions import text
+from corpusward.operators.code_order import Order
 from corpusward.sources.corpus import PYTHON, of_groups
 
 # The functions below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ORDERED_CALL = "line:int,qualified:string,short:string,before:array<string>,loops:int,loop_calls:array<string>,withs:array<string>"
 FUNCTION = (
-    "name:string,line:int,end_line:int,is_async:boolean,has_docstring:boolean,returns_annotated:boolean,"
+    "name:string,qualname:string,line:int,end_line:int,is_async:boolean,has_docstring:boolean,returns_annotated:boolean,"
     "sole_stmt:string,block_depths:array<int>,decorators:array<string>,"
     "params:array<struct<kind:string,name:string,annotated:boolean,default_kind:string>>,"
     "call_ids:array<int>,targets:array<string>,attrs:array<string>,withs:array<string>,"
-    "divisors:array<string>,tested:array<string>,"
+    "returns:string,returns_none:boolean,reads:array<string>,tested:array<string>,unguarded:array<string>,"
+    f"ordered_calls:array<struct<{ORDERED_CALL}>>,"
     "literals:array<struct<text:string,value:double,parent_kind:string,parent_call:string,upper_target:boolean>>"
 )
 CALL = (
     "line:int,qualified:string,short:string,func_kind:string,receiver:string,arg0_kind:string,"
-    "arg0_value:string,kwargs:array<string>,kwarg_values:array<string>,loop_depth:int,inside_with:boolean"
+    "arg0_value:string,kwargs:array<string>,kwarg_values:array<string>,loop_depth:int,inside_with:boolean,"
+    "result_use:string,result_name:string,scope:string"
 )
 HANDLER = "line:int,type_kind:string,type_names:array<string>,sole_stmt:string,has_raise:boolean,has_log:boolean"
 FACTS = (
@@ -45,7 +50,8 @@ FACTS = (
     f"functions array<struct<{FUNCTION}>>, calls array<struct<{CALL}>>, "
     "assigns array<struct<line:int,targets:array<string>,value_call:string>>, "
     f"handlers array<struct<{HANDLER}>>, comments array<struct<line:int,text:string>>, "
-    "imports array<struct<line:int,module:string,names:array<string>>>, classes array<struct<line:int,name:string>>"
+    "imports array<struct<line:int,module:string,names:array<string>,aliases:array<string>>>, classes array<struct<line:int,name:string>>, "
+    "spans array<struct<kind:string,first:int,last:int>>, words array<struct<kind:string,name:string>>"
 )
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -53,6 +59,9 @@ SCOPES = (*DEFS, ast.ClassDef, ast.Lambda)
 LOOPS = (ast.For, ast.AsyncFor, ast.While)
 WITHS = (ast.With, ast.AsyncWith)
 CONTROL = (*LOOPS, *WITHS, ast.If, ast.Match, ast.Try)
+IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
+SENDS = ("send_transaction", "send_raw_transaction")
+REMOTE = ("requests.", "session.", "self.session.")
 LOG_METHODS = {"debug", "info", "warning", "error", "exception", "critical", "log"}
 
 
@@ -84,7 +93,30 @@ def literal_kind(node: ast.AST | None) -> str | None:
     return {ast.JoinedStr: "fstring", ast.List: "list", ast.Dict: "dict", ast.Set: "set"}.get(type(node), "other")
 
 
-def call_fact(node: ast.Call, loops: int, in_with: bool) -> dict:
+def result_of(node: ast.AST, parents: dict) -> dict:
+    """What becomes of a value: its attribute or item is read, it gets a name, or anything else."""
+    parent = parents.get(node)
+    if isinstance(parent, ast.Await):
+        node, parent = parent, parents.get(parent)
+    use = name = None
+    if isinstance(parent, (ast.Attribute, ast.Subscript)) and parent.value is node:
+        use = type(parent).__name__.lower()
+    elif isinstance(parent, ast.Assign) and len(parent.targets) == 1 and isinstance(parent.targets[0], ast.Name):
+        use, name = "assigned", parent.targets[0].id
+    return {"result_use": use, "result_name": name}
+
+
+def qualified_name(node: ast.AST, parents: dict, own: bool = True) -> str:
+    """Names of the definitions around a node, and its own."""
+    names = [node.name] if own else []
+    while node in parents:
+        node = parents[node]
+        if isinstance(node, (*DEFS, ast.ClassDef)):
+            names.append(node.name)
+    return ".".join(reversed(names))
+
+
+def call_fact(node: ast.Call, loops: int, in_with: bool, parents: dict) -> dict:
     func, first = node.func, node.args[0] if node.args else None
     plain = isinstance(first, ast.Constant) and isinstance(first.value, str)
     return {
@@ -99,6 +131,8 @@ def call_fact(node: ast.Call, loops: int, in_with: bool) -> dict:
         "kwarg_values": [dotted(k.value) for k in node.keywords if k.arg],
         "loop_depth": loops,
         "inside_with": in_with,
+        **result_of(node, parents),
+        "scope": qualified_name(node, parents, own=False),
     }
 
 
@@ -181,14 +215,14 @@ def literal_fact(node: ast.Constant, parent: ast.AST) -> dict:
 
 
 def note_usage(node: ast.AST, seen: dict[str, set[str]]) -> None:
-    """Names that a function reads as attributes, enters, divides by and tests."""
+    """Names that a function reads as attributes or whose attributes it reads, enters and tests."""
+    if isinstance(node, (ast.Attribute, ast.Subscript)) and isinstance(node.value, ast.Name):
+        seen["reads"].add(node.value.id)
     if isinstance(node, ast.Attribute):
         seen["attrs"].add(node.attr)
     elif isinstance(node, WITHS):
         entered = [i.context_expr.func if isinstance(i.context_expr, ast.Call) else i.context_expr for i in node.items]
         seen["withs"].update(dotted(e) for e in entered)
-    elif isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Div, ast.FloorDiv, ast.Mod)):
-        seen["divisors"].add(dotted(node.right))
     elif isinstance(node, (ast.If, ast.IfExp, ast.While, ast.Assert)):
         seen["tested"].update(dotted(n) for n in ast.walk(node.test) if isinstance(n, (ast.Name, ast.Attribute)))
 
@@ -203,7 +237,7 @@ def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, c
         if sole == "return" and isinstance(body[0].value, ast.Constant) and body[0].value.value is None:
             sole = "return_none"
     calls, targets, literals = [], [], []
-    seen: dict[str, set[str]] = {"attrs": set(), "withs": set(), "divisors": set(), "tested": set()}
+    seen: dict[str, set[str]] = {"attrs": set(), "withs": set(), "reads": set(), "tested": set()}
     for inner in own_nodes(body):
         note_usage(inner, seen)
         if isinstance(inner, ast.Call):
@@ -214,8 +248,13 @@ def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, c
             targets += names_of([inner.target])
         elif isinstance(inner, ast.Constant) and type(inner.value) in (int, float):
             literals.append(literal_fact(inner, parents[inner]))
+    order = Order(lambda name: name.rsplit(".", 1)[-1] in SENDS or name.startswith(REMOTE))
+    order.block(body, set())
+    returned = [n.value for n in own_nodes([s for s in body if not isinstance(s, SCOPES)]) if isinstance(n, ast.Return)]
+    empty = [v is None or (isinstance(v, ast.Constant) and v.value is None) for v in returned]
     return {
         "name": node.name,
+        "qualname": qualified_name(node, parents),
         "line": node.lineno,
         "end_line": node.end_lineno or node.lineno,
         "is_async": isinstance(node, ast.AsyncFunctionDef),
@@ -228,12 +267,53 @@ def function_fact(node: ast.FunctionDef | ast.AsyncFunctionDef, parents: dict, c
         "call_ids": calls,
         "targets": targets,
         "literals": literals,
+        "returns": printable(ast.unparse(node.returns)) if node.returns is not None else None,
+        "returns_none": any(empty) and not all(empty),
+        "unguarded": sorted(order.unguarded),
+        "ordered_calls": order.calls,
         **{name: sorted(found) for name, found in seen.items()},
     }
 
 
+def of_block(kind: str, statements: list[ast.stmt]) -> dict:
+    return {"kind": kind, "first": statements[0].lineno, "last": statements[-1].end_lineno}
+
+
+def of_node(kind: str, node: ast.stmt) -> dict:
+    return {"kind": kind, "first": node.lineno, "last": node.end_lineno}
+
+
+def span_facts(node: ast.AST) -> list[dict]:
+    """Surroundings that a node makes for the lines in it."""
+    found = []
+    if isinstance(node, ast.If):
+        names = {dotted(n) for n in ast.walk(node.test) if isinstance(n, (ast.Name, ast.Attribute))}
+        if any(n.rsplit(".", 1)[-1] in ("DEBUG", "__debug__") for n in names):
+            found.append(of_block("debug-branch", node.body))
+        if "__name__" in names:
+            found.append(of_block("main-guard", node.body))
+    elif isinstance(node, ast.ClassDef):
+        bases = {dotted(b.value if isinstance(b, ast.Subscript) else b).rsplit(".", 1)[-1] for b in node.bases}
+        meta = {dotted(k.value).rsplit(".", 1)[-1] for k in node.keywords if k.arg == "metaclass"}
+        marks = {dotted(d.func if isinstance(d, ast.Call) else d).rsplit(".", 1)[-1] for d in node.decorator_list}
+        kinds = (("abstract-class", "ABC" in bases or "ABCMeta" in meta), ("protocol-class", "Protocol" in bases), ("dataclass", "dataclass" in marks))
+        found += [of_node(kind, node) for kind, there in kinds if there]
+    elif isinstance(node, (ast.Try, ast.TryStar)):
+        found += [of_block("finally", node.finalbody)] if node.finalbody else []
+        found += [of_block("handler", h.body) for h in node.handlers]
+    elif isinstance(node, DEFS):
+        marks = {dotted(d).rsplit(".", 1)[-1] for d in node.decorator_list}
+        found += [of_node("async-function", node)] if isinstance(node, ast.AsyncFunctionDef) else []
+        found += [of_node("abstract-method", node)] if "abstractmethod" in marks else []
+    if isinstance(node, (*DEFS, ast.ClassDef, ast.Module)) and node.body:
+        first = node.body[0]
+        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+            found.append(of_node("docstring", first))
+    return found
+
+
 def tree_facts(tree: ast.Module) -> dict:
-    calls, assigns, handlers, imports, functions, classes = [], [], [], [], [], []
+    calls, assigns, handlers, imports, functions, classes, spans = [], [], [], [], [], [], []
     parents: dict[ast.AST, ast.AST] = {}
     call_ids: dict[ast.AST, int] = {}
     todo: list[tuple[ast.AST, int, bool]] = [(tree, 0, False)]
@@ -241,20 +321,21 @@ def tree_facts(tree: ast.Module) -> dict:
         node, loops, in_with = todo.pop()
         if isinstance(node, ast.Call):
             call_ids[node] = len(calls)
-            calls.append(call_fact(node, loops, in_with))
+            calls.append(call_fact(node, loops, in_with, parents))
         elif isinstance(node, ast.Assign):
             value = node.value
             assigns.append({"line": node.lineno, "targets": names_of(node.targets), "value_call": last_name(value) if isinstance(value, ast.Call) else None})
         elif isinstance(node, ast.ExceptHandler):
             handlers.append(handler_fact(node))
         elif isinstance(node, ast.Import):
-            imports += [{"line": node.lineno, "module": a.name, "names": []} for a in node.names]
+            imports += [{"line": node.lineno, "module": a.name, "names": [], "aliases": [a.asname or ""]} for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            imports.append({"line": node.lineno, "module": "." * node.level + (node.module or ""), "names": [a.name for a in node.names]})
+            imports.append({"line": node.lineno, "module": "." * node.level + (node.module or ""), "names": [a.name for a in node.names], "aliases": [a.asname or "" for a in node.names]})
         elif isinstance(node, DEFS):
             functions.append(node)
         elif isinstance(node, ast.ClassDef):
             classes.append({"line": node.lineno, "name": node.name})
+        spans += span_facts(node)
         if isinstance(node, SCOPES):
             loops, in_with = 0, in_with and isinstance(node, ast.Lambda)
         elif isinstance(node, LOOPS):
@@ -264,11 +345,24 @@ def tree_facts(tree: ast.Module) -> dict:
         for child in ast.iter_child_nodes(node):
             parents[child] = node
             todo.append((child, loops, in_with))
-    facts = {"calls": calls, "assigns": assigns, "handlers": handlers, "imports": imports, "classes": classes}
+    facts = {"calls": calls, "assigns": assigns, "handlers": handlers, "imports": imports, "classes": classes, "spans": spans}
     facts["functions"] = [function_fact(f, parents, call_ids) for f in functions]
     return facts
 
 
+def word_facts(tokens: list[tokenize.TokenInfo]) -> list[dict]:
+    """The different identifiers of a file, by the kind of token they stand in."""
+    kinds = {tokenize.NAME: "name", tokenize.STRING: "string", tokenize.FSTRING_MIDDLE: "string", tokenize.COMMENT: "comment"}
+    found = set()
+    for token in tokens:
+        kind = kinds.get(token.type)
+        if kind == "name":
+            found.add((kind, token.string))
+        elif kind:
+            found.update((kind, word) for word in IDENTIFIER.findall(token.string))
+    return [{"kind": kind, "name": printable(name)} for kind, name in sorted(found)]
+
+
 def file_facts(repo: str, path: str, source: str) -> dict:
     facts: dict = {"repo": repo, "path": path}
     try:
@@ -278,8 +372,9 @@ def file_facts(repo: str, path: str, source: str) -> dict:
     except (ValueError, RecursionError, MemoryError) as problem:
         facts["parse_failure"] = type(problem).__name__
     try:
-        tokens = tokenize.generate_tokens(io.StringIO(source).readline)
+        tokens = list(tokenize.generate_tokens(io.StringIO(source).readline))
         facts["comments"] = [{"line": t.start[0], "text": t.string} for t in tokens if t.type == tokenize.COMMENT]
+        facts["words"] = word_facts(tokens)
     except (SyntaxError, tokenize.TokenError, ValueError, RecursionError, MemoryError) as problem:
         facts["token_failure"] = type(problem).__name__
     return facts
