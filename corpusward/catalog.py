@@ -164,6 +164,7 @@ CHECKLIST_RULES = (
     Rule("temporary-file", "P2", CLEANUP, "checklist_scan", "Temporary file in the tree", "Delete it", MEDIUM),
     Rule("tracked-secret-file", "P0", LEAKS, "checklist_scan", "File with secrets is not ignored", "Ignore it and replace what it held", MEDIUM),
     Rule("tracked-temporary-file", "P2", CLEANUP, "checklist_scan", "Temporary file is not ignored", "Delete and ignore it", MEDIUM),
+    Rule("unchecked-none-result", "P1", BUGS, "checklist_scan", "Result that may be None is used untested", "Test for None first", LOW),
     Rule("broad-except-silent", "P2", BUGS, "checklist_scan", "Broad handler neither logs nor raises", "Log or raise", LOW),
     Rule("hardcoded-url", "P2", QUALITY, "checklist_scan", "URL in source", "Move it to the settings", MEDIUM),
     Rule("unsafe-deserialization", "P0", SECURITY, "checklist_scan", "Unsafe loader", "Use a safe loader", MEDIUM),

@@ -106,40 +106,84 @@ def merge_reviews(findings: DataFrame) -> DataFrame:
 CASES = 500  # tests in one expression
 
 # Surroundings in which a finding is usually no defect.
-# priority, rule, path pattern, evidence pattern, action
+# priority, rule, path pattern, line pattern, kind of block around the line, action
 DEFAULT_CONTEXT_RULES = (
-    (10, "todo", "^(tests|docs)/", None, "drop"),
-    (10, "placeholder", "^(tests|docs|examples)/", r"(?i)example[.]com|test@|sample|dummy", "drop"),
-    (10, "wildcard-cors", r"(^|/)(dev|local)[^/]*$", None, "low"),
-    (10, "python-print-call", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
-    (10, "except-pass", r"(^|/)__init__[.]py$", None, "drop"),
-    (10, "python-except-pass", r"(^|/)__init__[.]py$", None, "drop"),
-    (10, "unsafe-exec", "^tests/", None, "drop"),
-    (10, "python-float-money", r"(?i)(^|/)[^/]*(report|plot|display)[^/]*$", None, "low"),
-    (10, "web3-inline-from-key", None, r"os[.](environ|getenv)", "drop"),
-    (10, "hardcoded-date", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
+    (10, "todo", "^(tests|docs)/", None, None, "drop"),
+    (10, "placeholder", "^(tests|docs|examples)/", r"(?i)example[.]com|test@|sample|dummy", None, "drop"),
+    (10, "wildcard-cors", r"(^|/)(dev|local)[^/]*$", None, None, "low"),
+    (10, "python-print-call", r"(^|/)[^/]*backtest[^/]*$", None, None, "drop"),
+    (10, "except-pass", r"(^|/)__init__[.]py$", None, None, "drop"),
+    (10, "python-except-pass", r"(^|/)__init__[.]py$", None, None, "drop"),
+    (10, "unsafe-exec", "^tests/", None, None, "drop"),
+    (10, "python-float-money", r"(?i)(^|/)[^/]*(report|plot|display)[^/]*$", None, None, "low"),
+    (10, "web3-inline-from-key", None, r"os[.](environ|getenv)", None, "drop"),
+    (10, "hardcoded-date", r"(^|/)[^/]*backtest[^/]*$", None, None, "drop"),
+    (10, "wildcard-cors", None, None, "debug-branch", "low"),
+    (10, "except-pass", None, None, "abstract-class", "drop"),
+    (10, "except-pass", None, None, "protocol-class", "drop"),
+    (10, "except-pass", None, None, "finally", "low"),
+    (10, "python-except-pass", None, None, "finally", "low"),
+    (10, "python-empty-function", None, None, "abstract-class", "drop"),
+    (10, "python-empty-function", None, None, "protocol-class", "drop"),
+    (10, "python-missing-type-hints", None, None, "main-guard", "drop"),
+    (10, "python-print-call", None, None, "main-guard", "low"),
+    (10, "debug-call", None, None, "main-guard", "low"),
+    (10, "placeholder", None, None, "docstring", "low"),
 )
+CONTEXT_SCHEMA = "priority int, rule string, path_regex string, line_regex string, within string, action string"
 
 
 def default_context_rules(spark: SparkSession) -> DataFrame:
     """The library's rows for ``apply_context``; rows of a project go beside them with a higher priority."""
-    return spark.createDataFrame(DEFAULT_CONTEXT_RULES, "priority int, rule string, path_regex string, line_regex string, action string")
+    return spark.createDataFrame(DEFAULT_CONTEXT_RULES, CONTEXT_SCHEMA)
+
+
+def with_blocks(findings: DataFrame, facts: DataFrame) -> DataFrame:
+    """Findings with ``within``: the kinds of blocks around their line, from the facts of the file, sorted.
+
+    Blocks are intervals of lines. A file's are one array, so a finding meets one row and looks for its line in it. Findings without
+    a line and files without facts have none.
+    """
+    spans = facts.where("size(spans) > 0").select(F.col("repo").alias("_repo"), F.col("path").alias("_path"), "spans")
+    joined = findings.join(spans, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("path") == F.col("_path")), "left")
+    around = F.expr("array_sort(array_distinct(transform(filter(spans, s -> line BETWEEN s.first AND s.last), s -> s.kind)))")
+    return joined.withColumn("within", F.coalesce(around, F.array().cast("array<string>"))).drop("_repo", "_path", "spans")
+
+
+def with_lines(findings: DataFrame, files: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings with ``line_text``, the whole line they stand in; only for ``rules``, if given, so that few texts are read.
+
+    The lines asked for in a file are gathered first, no more than it has; so every text meets one row.
+    """
+    asked = findings if rules is None else findings.where(F.col("rule").isin(*rules))
+    wanted = asked.where("line IS NOT NULL").groupBy("repo", "path").agg(F.collect_set("line").alias("asked"))
+    split = files.select("repo", "path", "content").join(wanted, ["repo", "path"]).withColumn("ls", text.lines(F.col("content")))
+    found = split.select(F.col("repo").alias("_repo"), F.col("path").alias("_path"), F.inline(F.expr("transform(filter(asked, n -> n <= size(ls)), n -> named_struct('_line', n, 'line_text', ls[n - 1]))")))
+    same = F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line"))
+    shown = F.lit(True) if rules is None else F.col("rule").isin(*rules)
+    return findings.join(found, same & shown, "left").drop("_repo", "_path", "_line")
 
 
 def apply_context(findings: DataFrame, context_rules: DataFrame) -> DataFrame:
     """Drop or weaken findings by their surroundings.
 
-    ``context_rules`` has priority, rule (null for any), path_regex, line_regex (null for
-    any) and action: ``drop``, ``low`` or ``keep``. The fitting row of the highest priority
-    counts, so a project rule of higher priority overrides a general one. The table holds
-    settings; its rows become literal patterns.
+    ``context_rules`` has priority, rule (null for any), path_regex, line_regex, within (a kind of block;
+    null, or no such column, for any) and action: ``drop``, ``low`` or ``keep``. Of rows that fit, the highest priority
+    counts, and the first of equal ones; so a project rule of higher priority overrides a general one. The table holds
+    settings; its rows become literal patterns. Patterns for lines look at ``line_text`` where findings have it
+    (``with_lines``), else at the evidence; blocks are known from ``with_blocks``.
     """
-    rows = sorted(context_rules.collect(), key=lambda r: -r["priority"])
+    has_blocks = "within" in findings.columns
+    line = f"coalesce({'line_text, ' if 'line_text' in findings.columns else ''}snippet, '')"
+    rows = sorted((r.asDict() for r in context_rules.collect()), key=lambda r: -r["priority"])
     cases = []
     for r in rows:
+        if r.get("within") and not has_blocks:
+            continue
         tests = [f"rule = {quoted(r['rule'])}"] if r["rule"] else []
         tests += [f"path RLIKE {quoted(r['path_regex'])}"] if r["path_regex"] else []
-        tests += [f"coalesce(snippet, '') RLIKE {quoted(r['line_regex'])}"] if r["line_regex"] else []
+        tests += [f"{line} RLIKE {quoted(r['line_regex'])}"] if r["line_regex"] else []
+        tests += [f"array_contains(within, {quoted(r['within'])})"] if r.get("within") else []
         cases.append(f"WHEN {' AND '.join(tests) or 'true'} THEN {quoted(r['action'])}")
     groups = [F.expr(f"CASE {' '.join(cases[at : at + CASES])} END") for at in range(0, len(cases), CASES)]
     action = F.coalesce(*groups, F.lit("keep"))

@@ -176,6 +176,7 @@ RULES = (
     ("temporary-file", "P2", "Cleanup", "checklist_scan", 0.6),
     ("tracked-secret-file", "P0", "Data Leaks", "checklist_scan", 0.6),
     ("tracked-temporary-file", "P2", "Cleanup", "checklist_scan", 0.6),
+    ("unchecked-none-result", "P1", "Bugs and Logic Errors", "checklist_scan", 0.3),
     ("broad-except-silent", "P2", "Bugs and Logic Errors", "checklist_scan", 0.3),
     ("hardcoded-url", "P2", "Code Quality", "checklist_scan", 0.6),
     ("unsafe-deserialization", "P0", "Security", "checklist_scan", 0.6),
@@ -200,3 +201,17 @@ CONTEXT_TABLE = (
     (10, "web3-inline-from-key", None, r"os[.](environ|getenv)", "drop"),
     (10, "hardcoded-date", r"(^|/)[^/]*backtest[^/]*$", None, "drop"),
 )
+# priority, rule, kind of block, action
+CONTEXT_BLOCKS = (
+    (10, "wildcard-cors", "debug-branch", "low"),
+    (10, "except-pass", "abstract-class", "drop"),
+    (10, "except-pass", "protocol-class", "drop"),
+    (10, "except-pass", "finally", "low"),
+    (10, "python-except-pass", "finally", "low"),
+    (10, "python-empty-function", "abstract-class", "drop"),
+    (10, "python-empty-function", "protocol-class", "drop"),
+    (10, "python-missing-type-hints", "main-guard", "drop"),
+    (10, "python-print-call", "main-guard", "low"),
+    (10, "debug-call", "main-guard", "low"),
+    (10, "placeholder", "docstring", "low"),
+)

@@ -308,7 +308,7 @@ FROM (SELECT *, {context_case()} AS action FROM findings) WHERE action <> 'drop'
 def context_filtered(spark, sf_dir):
     fields = ("priority", "rule", "path_regex", "line_regex", "action")
     table = dimension(spark, [dict(zip(fields, r)) for r in CONTEXT_RULES])
-    rows = review.apply_context(all_findings(spark, sf_dir), review.default_context_rules(spark).union(table))
+    rows = review.apply_context(all_findings(spark, sf_dir), review.default_context_rules(spark).unionByName(table, allowMissingColumns=True))
     return rows.groupBy("repo", "rule", "confidence").agg(F.count("*").alias("findings"))
 
 
