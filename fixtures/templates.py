@@ -15,13 +15,17 @@ ROWS49 = "\n    a = 1" * 49
 
 ALL = (1, (0,))
 
-# Where the whole text of a document lies, by ``doc_id % 5``; Python files hold it as comments.
-TEXT_PATHS = ("notes/text_{id}.txt", "docs/text_{id}.md", "web/text_{id}.js", "src/text_{id}.py", "build/text_{id}.js")
+# Where the whole text of a document lies, by ``doc_id % 5``: folders that all line rules read.
+TEXT_PATHS = ("notes/text_{id}.txt", "lib/text_{id}.sh", "web/text_{id}.js", "src/text_{id}.go", "conf/text_{id}.toml")
 TEXT_TID = 1000
+# Second copies in skipped folders, and in a Python file as comments.
+SECOND_PATHS = {1: "docs/text_{id}.md", 3: "src/text_{id}.py", 4: "build/text_{id}.js"}
+SECOND_TID = 1010
 
 # Small repositories, one for each document with ``doc_id % 10 = 7``; every second holds the text as well.
+# path, content (the document's text where there is none), modulus
 TIDY_TID = 2000
-TIDY_FILES = ((".gitignore", ".env\n*.log\n__pycache__/"), ("pyproject.toml", '[project]\nname = "tidy"'))
+TIDY_FILES = ((".gitignore", ".env\n*.log\n__pycache__/", 10), ("pyproject.toml", '[project]\nname = "tidy"', 10), ("notes.txt", None, 20))
 
 # (tid, path, active, kind, body)
 TEMPLATES = (

@@ -37,10 +37,14 @@ def corpus_sql(template_cte: str, count: int) -> str:
 FROM (SELECT doc_id, text, doc_id // {count} AS repo_no, doc_id % {count} AS tid FROM documents) d
 JOIN {template_cte} USING (tid) WHERE list_contains(residues, repo_no % modulus)
 UNION ALL
-SELECT 'r' || doc_id // {count}, doc_id // {count}, doc_id, 1000 + doc_id % 5, path,
+SELECT 'r' || doc_id // {count}, doc_id // {count}, doc_id, 1000 + doc_id % 5, path, text
+FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'notes/text_' || doc_id || '.txt' WHEN 1 THEN 'lib/text_' || doc_id || '.sh'
+  WHEN 2 THEN 'web/text_' || doc_id || '.js' WHEN 3 THEN 'src/text_' || doc_id || '.go' ELSE 'conf/text_' || doc_id || '.toml' END AS path FROM documents)
+UNION ALL
+SELECT 'r' || doc_id // {count}, doc_id // {count}, doc_id, 1010 + doc_id % 5, path,
   CASE WHEN doc_id % 5 = 3 THEN '# ' || regexp_replace(text, {q(BREAK)}, chr(10) || '# ', 'g') ELSE text END
-FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'notes/text_' || doc_id || '.txt' WHEN 1 THEN 'docs/text_' || doc_id || '.md'
-  WHEN 2 THEN 'web/text_' || doc_id || '.js' WHEN 3 THEN 'src/text_' || doc_id || '.py' ELSE 'build/text_' || doc_id || '.js' END AS path FROM documents)
+FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 1 THEN 'docs/text_' || doc_id || '.md' WHEN 3 THEN 'src/text_' || doc_id || '.py'
+  ELSE 'build/text_' || doc_id || '.js' END AS path FROM documents WHERE doc_id % 5 IN (1, 3, 4))
 UNION ALL
 SELECT 't' || doc_id, doc_id // {count}, doc_id, tid, path, coalesce(content, text) FROM documents JOIN (
   VALUES (2000, '.gitignore', '.env' || chr(10) || '*.log' || chr(10) || '__pycache__/', 10),
