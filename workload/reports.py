@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusward import catalog
 from corpusward.functions.tables import dimension
-from corpusward.operators import config, fixes, history, reports, review, verdict
+from corpusward.operators import changes, config, fixes, history, reports, review, verdict
 from corpusward.operators.file_scan import scan_files, scan_with_context
 from corpusward.plans.audit import collect_findings
 from corpusward.schema import compact, stamp_run
@@ -16,7 +16,7 @@ from corpusward.sources.history import read_findings, read_history, run_id_of, r
 from fixtures.corpus import corpus
 from workload import expected
 from workload import sqlbase as b
-from workload.scans import doc_files, shown, shown_sql
+from workload.scans import category_case, doc_files, shown, shown_sql
 from workload.sqlbase import q, sql
 
 QUERIES, ORACLES = {}, {}
@@ -74,7 +74,7 @@ UNION ALL SELECT DISTINCT repo, 'total', 'total', 0 FROM corpus WHERE repo NOT I
     )
 )
 def finding_summary(spark, sf_dir):
-    return reports.finding_summary(all_findings(spark, sf_dir), corpus(spark, sf_dir))
+    return reports.finding_summary(stored_findings(spark, sf_dir), corpus(spark, sf_dir))
 
 
 COVERAGE_SQL = f"""SELECT repo, total_files, reviewed_files, skipped_files, coalesce(finding_count, 0) AS finding_count, coalesce(blocked_count, 0) AS blocked_count,
@@ -234,7 +234,7 @@ FIX_SQL = f"SELECT *, ['surgical', 'migration', 'refactor'][max({fix_case()}) OV
 
 @query(sql(f"SELECT repo, path, rule, fix_group, count(*) AS findings FROM ({FIX_SQL}) GROUP BY ALL"))
 def fix_groups(spark, sf_dir):
-    rows = fixes.fix_groups(all_findings(spark, sf_dir))
+    rows = fixes.fix_groups(stored_findings(spark, sf_dir))
     return rows.groupBy("repo", "path", "rule", "fix_group").agg(F.count("*").alias("findings"))
 
 
@@ -403,6 +403,48 @@ def changed_with_findings(spark, sf_dir):
     return history.changed_with_findings(snapshot_diff(spark, sf_dir), two_runs(spark, sf_dir)[0])
 
 
+# The second snapshot with a dummy value below some of its files.
+EDITED_TEXT = "CASE WHEN tid IN (18, 39, 1000, 1002) THEN content || chr(10) || 'changeme' ELSE content END"
+EDITED = {**b.snapshot("_e", "true"), "corpus_e": f"SELECT * REPLACE ({EDITED_TEXT} AS content) FROM corpus WHERE {RUN_2}"}
+PATH_LINE, PATH_WEB, PATH_WALLET = (scope.split(" AND NOT contains(text")[0] for scope in (b.LINE_SCOPE, b.WEB_SCOPE, b.WALLET_SCOPE))
+SKIPPED_PATH = f"{b.any_part(expected.SKIP_DIRS)} OR {b.LOWER_SUFFIX} IN ({b.names(expected.BINARY_SUFFIXES)}) OR contains({b.NAME}, '.min.')"
+DEBT_SKIPPED = ("__pycache__", ".git", ".venv", "build", "dist", "docs", "references", "tests")
+# All ways in which rules treat a path.
+PATH_CLASS = "concat(" + ", '|', ".join(
+    f"({test})"
+    for test in (
+        PATH_LINE, f"{b.SUFFIX} <> '.py'", f"({category_case()}) = 'source'", "contains(lower(path), 'test')", PATH_WEB, PATH_WALLET, b.REQ, b.MANIFEST,
+        f"{b.LOWER_SUFFIX} IN ('.js', '.jsx', '.ts', '.tsx')", "ends_with(path, '.py')", f"{b.SUFFIX} = '.py' AND NOT {b.any_part(DEBT_SKIPPED)}", f"{b.FIRST} = 'references'", SKIPPED_PATH,
+    )
+) + ")"
+
+
+def audited_changes(spark, sf_dir):
+    """A first audit of one snapshot, then one of the other, which scans what the first has not seen."""
+    files, folder = corpus(spark, sf_dir), fresh_path(spark, "kept")
+    changes.audit_changes(files.where(RUN_1), folder)
+    edited = F.when(F.col("tid").isin(18, 39, 1000, 1002), F.concat("content", F.lit("\nchangeme"))).otherwise(F.col("content"))
+    return changes.audit_changes(files.where(RUN_2).withColumn("content", edited), folder)
+
+
+@query(sql("SELECT repo, path, rule, CAST(line_no AS BIGINT) AS line, kind, severity FROM findings_e", EDITED))
+def audit_of_changes(spark, sf_dir):
+    """The second audit has all findings of a full one."""
+    return shown(audited_changes(spark, sf_dir)[0], "kind", "severity").drop("snippet")
+
+
+@query(
+    sql(
+        f"""SELECT first.repo AS repo, first.path AS path FROM (SELECT min({{'repo': repo, 'path': path}}) AS first FROM corpus_e
+WHERE (content, {PATH_CLASS}) NOT IN (SELECT (content, {PATH_CLASS}) FROM corpus WHERE {RUN_1}) GROUP BY content, {PATH_CLASS})""",
+        EDITED,
+    )
+)
+def contents_scanned(spark, sf_dir):
+    """The files that the second audit read: one of each content and path class that the first had not seen."""
+    return audited_changes(spark, sf_dir)[1].select("repo", "path")
+
+
 # Four runs per repository; the newest of odd repositories cannot be read.
 RECORDED_RULES = tuple(r for r, _ in b.LINE_PATTERNS + b.WEB_PATTERNS)
 MOMENTS = ("2024-01-01-0900", "2024-02-01-0900", "2024-03-01-0900", "2024-04-01-0900")
