@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from corpusward.functions import paths, text
 from corpusward.functions.sqltext import hit, one_of, quoted
-from corpusward.operators import inventory
+from corpusward.operators import inventory, names
 from corpusward.operators.code_rules import CALLS_OF, each
 from corpusward.operators.file_scan import DEFAULT_MARKER, NO_HITS, SCOPES, LineRule, scan_files
 from corpusward.operators.repo_rules import IGNORE_CHECKLIST, ignore_rules, profile_findings
@@ -99,6 +99,12 @@ CONTEXT_FACT_RULES = (
 
 # Tools that only development needs.
 DEV_TOOLS = ("black", "coverage", "flake8", "isort", "mypy", "pre-commit", "pylint", "pytest", "ruff", "tox")
+# Packages that are imported under another name.
+MODULE_OF = {
+    "attrs": "attr", "beautifulsoup4": "bs4", "mysqlclient": "mysqldb", "opencv-python": "cv2", "pillow": "pil", "protobuf": "google",
+    "psycopg2-binary": "psycopg2", "pycryptodome": "crypto", "pyjwt": "jwt", "pyserial": "serial", "python-dateutil": "dateutil",
+    "python-dotenv": "dotenv", "pyyaml": "yaml", "scikit-image": "skimage", "scikit-learn": "sklearn", "setuptools": "pkg_resources",
+}
 TEMPORARY_SUFFIXES = (".tmp", ".swp", ".pyc")
 MAX_DOC_AGE_MONTHS = 6
 
@@ -202,16 +208,17 @@ def requirement_names(files: DataFrame) -> DataFrame:
 
 def dependency_hygiene(files: DataFrame, facts: DataFrame, profile: DataFrame) -> DataFrame:
     """Duplicate, development-only and unused requirements, and missing ignore entries."""
-    names = requirement_names(files)
-    repeated = names.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("first")).where("n > 1")
+    named = requirement_names(files)
+    repeated = named.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("first")).where("n > 1")
     duplicate = repeated.select("repo", F.col("first.path").alias("path"), F.col("first.line").alias("line"), F.lit("duplicate-dependency").alias("rule"), F.col("name").alias("snippet"))
 
-    production = names.where(paths.file_name(F.col("path")) == "requirements.txt")
+    production = named.where(paths.file_name(F.col("path")) == "requirements.txt")
     tools = production.where(F.col("name").isin(*DEV_TOOLS)).select("repo", "path", "line", F.lit("dev-dependency-in-production").alias("rule"), F.col("name").alias("snippet"))
 
     # one row per repository and imported top module
     imported = facts.select("repo", F.explode(F.expr("array_distinct(transform(imports, i -> lower(substring_index(i.module, '.', 1))))")).alias("module")).distinct()
-    wanted = names.withColumn("module", F.replace("name", F.lit("-"), F.lit("_")))
+    other = F.create_map(*[F.lit(part) for pair in MODULE_OF.items() for part in pair])
+    wanted = named.withColumn("module", F.coalesce(F.try_element_at(other, "name"), F.replace("name", F.lit("-"), F.lit("_"))))
     unused = wanted.join(imported, ["repo", "module"], "left_anti").select("repo", "path", "line", F.lit("unused-dependency").alias("rule"), F.col("name").alias("snippet"))
 
     hits = duplicate.unionByName(tools).unionByName(unused).withColumn("error", F.lit(None).cast("string"))
@@ -242,31 +249,21 @@ def empty_packages(files: DataFrame) -> DataFrame:
     return _found(folders.where("path IS NOT NULL AND NOT has_modules"), "empty-package-init")
 
 
-def unreferenced_scripts(files: DataFrame) -> DataFrame:
-    """Files in ``scripts/`` whose name occurs in no other file of the repository.
-
-    Only files of repositories with scripts are looked at, and of their words only those
-    that are a script's name leave the row.
-    """
-    scripts = files.where(F.col("path").startswith("scripts/")).select("repo", F.col("path").alias("script"), paths.stem(F.col("path")).alias("word"))
-    names = scripts.groupBy("repo").agg(F.collect_set("word").alias("names"))  # as many as a repository has scripts
-    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
-    held = files.select("repo", "path", "content").join(names, "repo")
-    used = held.select("repo", "path", F.explode(F.array_intersect(words, "names")).alias("word")).join(scripts, ["repo", "word"])
-    referenced = used.where("path <> script").select("repo", F.col("script").alias("path")).distinct()
-    return _found(scripts.select("repo", F.col("script").alias("path")).join(referenced, ["repo", "path"], "left_anti"), "unreferenced-script")
+def unreferenced_scripts(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Files in ``scripts/`` whose name occurs in no other file of the repository, by the index of names."""
+    return _found(names.unreferenced_scripts(files, index), "unreferenced-script")
 
 
 def temporary_files(files: DataFrame) -> DataFrame:
     return _found(files.where(paths.suffix(F.col("path")).isin(*TEMPORARY_SUFFIXES)), "temporary-file")
 
 
-def cleanup_hygiene(files: DataFrame, as_of: str) -> DataFrame:
-    """Outdated documents, empty packages, unreferenced scripts and temporary files."""
+def cleanup_hygiene(files: DataFrame, as_of: str, index: DataFrame) -> DataFrame:
+    """Outdated documents, empty packages, unreferenced scripts (by ``names.name_index``) and temporary files."""
     return (
         outdated_docs(files, as_of)
         .unionByName(empty_packages(files))
-        .unionByName(unreferenced_scripts(files))
+        .unionByName(unreferenced_scripts(files, index))
         .unionByName(temporary_files(files))
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusward.sources.corpus import PYTHON, of_groups
 
 # --- Fixed values: groups by depth of change, and the tolerance of number checks ------
 FIX_GROUPS = ("surgical", "migration", "refactor")
@@ -119,17 +118,6 @@ def api_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, key, "full_outer").select(*key, status.alias("status"), detail.alias("detail"))
 
 
-def old_name_references(removed: DataFrame, files: DataFrame) -> DataFrame:
-    """Python files that still use a removed public name: (repo, name, path).
-
-    Each file gives its distinct identifiers once, so the join is on (repo, name) and no
-    file is paired with every name.
-    """
-    words = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
-    used = of_groups(files, PYTHON).where(F.col("path").endswith(".py")).select("repo", "path", F.explode(words).alias("name"))
-    return used.join(removed.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
-
-
 def module_pairs(facts: DataFrame, modified: DataFrame) -> DataFrame:
     """Files that import a modified module: (repo, changed, dependent).
 

@@ -49,7 +49,7 @@ TEMPLATES = (
     (17, "build/gen_{id}.js", ALL, "raw", "document.write(t);\nlocalStorage.setItem('jwt', t);"),
     (18, "web/app_{id}.js", ALL, "text", "el.innerHTML = x;\nsessionStorage.setItem('auth_token', t);\nconsole.log('my token', t);\nfetch('http://a.example/b');\nel.addEventListener('x', f);\n// TODO fix"),
     (19, "web/clean_{id}.ts", ALL, "text", "el.addEventListener('x', f);\nel.removeEventListener('x', f);"),
-    (20, "conf/app_{id}.yaml", ALL, "text", 'cors: "*"\napi_key: "abcdef123"\nverify=False\nallow_origins: ""'),
+    (20, "conf/app_{id}.yaml", ALL, "text", 'cors: "*"\napi_key: "abcdef123"\nverify=False\nallow_origins: ""\nconsole.log("changeme"); os.system(x)  # noqa: audit'),
     (21, "keys/a_{id}.txt", ALL, "raw", "-----BEGIN PRIVATE KEY-----\n-----BEGIN RSA PRIVATE KEY-----\n-----BEGIN RSA KEY-----"),
     (22, "wallet/w_{id}.js", ALL, "raw", f"m = '{WORDS12}'\nk = \"0x{KEY64}\"; j = '{ONE64}'\na = '0x{LOW40}'; b = '0x{ZERO40}'; c = '0x{MIX40}'"),
     (23, "src/quiet_{id}.js", ALL, "raw", "eval(x); # noqa: audit\nos.system(x)\ny = pickle.loads(b)"),
@@ -109,7 +109,7 @@ CODE_BLOCKED = ((29, "scan-error"),)
 
 # --- Second corpus, for the checklist rules: 20 files per repository ------------------
 CHECK_TEMPLATES = (
-    (0, "requirements.txt", (3, (0, 1)), "raw", "Requests==2.0\nnumpy==1.0\nnumpy==1.1\npytest==8.0\nbig_lib==1.0"),
+    (0, "requirements.txt", (3, (0, 1)), "raw", "Requests==2.0\nnumpy==1.0\nnumpy==1.1\npytest==8.0\nbig_lib==1.0\nPyYAML==6.0"),
     (1, ".gitignore", (2, (0,)), "raw", ".env\n*.log\n__pycache__\nvenv/"),
     (2, "docs/guide_{id}.md", ALL, "text", "updated 2020-01-15"),
     (3, "src/trade_{id}.py", (4, (0, 1, 2)), "raw", "import requests, aiohttp, asyncio, logging\nfrom utils import helper\nasync def go(urls, volume, n):\n    s = aiohttp.ClientSession()\n    await asyncio.gather(*urls)\n    for u in urls:\n        requests.get(u)\n    place_order(1)\n    return n / volume"),

@@ -247,6 +247,33 @@ def stream_window_counts(spark, sf_dir):
     return rows.select(F.unix_timestamp("window_start").alias("window_start"), "severity", "findings")
 
 
+# Three arrivals of events: some up to a day, all of a later span with repeats, then all. Each moves the
+# watermark three days behind its newest event; a batch drops what the watermark before the last batch had passed.
+ARRIVALS = (("ts < TIMESTAMP '2024-01-20 00:00:00' AND event_id % 3 <> 0"), ("ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00'"), "true")
+
+
+@query(
+    f"""WITH first AS (SELECT * FROM events WHERE {ARRIVALS[0]}),
+second AS (SELECT * FROM events WHERE {ARRIVALS[1]} AND event_id NOT IN (SELECT event_id FROM first)),
+passed AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY AS mark FROM first),
+third AS (SELECT events.* FROM events, passed WHERE ts > mark AND event_id NOT IN (SELECT event_id FROM first UNION SELECT event_id FROM second))
+SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS window_start, concat('P', event_id % 4) AS severity, count(*) AS findings
+FROM (SELECT event_id, ts FROM first UNION ALL SELECT event_id, ts FROM second UNION ALL SELECT event_id, ts FROM third) GROUP BY ALL"""
+)
+def stream_late_repeats(spark, sf_dir):
+    """Events that come again in later batches, some of them too late: each counts once, or not at all."""
+    folder = fresh_path(spark, "arrivals")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for part in ARRIVALS:  # a file for each arrival, the oldest first
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder).selectExpr(
+        "concat('u', user_id) AS repo", "concat('e', event_id) AS path", "1 AS line", "event_type AS rule", "concat('P', event_id % 4) AS severity",
+        "CAST(concat(CAST(ts AS STRING), 'Z') AS TIMESTAMP) AS ts",
+    )
+    rows = st.window_totals(finish(st.unique_findings(arriving, "3 days"), "late", lambda batch: st.windowed_counts(batch, "1 day")))
+    return rows.select(F.unix_timestamp("window_start").alias("window_start"), "severity", "findings")
+
+
 @query(
     sql(
         """SELECT coalesce(a.repo, c.repo) AS repo, coalesce(a.rule, c.rule) AS rule, coalesce(a.path, c.path) AS path,

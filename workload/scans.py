@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusward.functions.tables import dimension
+from corpusward.operators import config
 from corpusward.operators import file_scan as fs
 from corpusward.operators import repo_rules as rr
 from corpusward.operators.code_facts import code_facts
 from corpusward.operators.code_rules import CODE_RULES, scan_code
 from corpusward.operators.inventory import inventory, reviewer_groups
+from corpusward.session import fresh_path
+from corpusward.sources.corpus import read_tree
 from fixtures.corpus import corpus, documents
 from workload import expected
 from workload import sqlbase as b
@@ -308,3 +311,51 @@ def own_rule_table(spark, sf_dir):
     """Line scan with rules that the user gives as a table."""
     table = dimension(spark, [dict(zip(("rule", "severity", "category", "pattern", "scope"), r)) for r in OWN_RULES])
     return fs.scan_lines_with_table(corpus(spark, sf_dir), table).groupBy("rule", "severity").agg(F.count("*").alias("hits"))
+
+
+# Rules that the given conversations do break: an article and a run of accented letters.
+CHAT_RULES = (
+    ("chat-article", "P3", "Code Quality", "(^|[^A-Za-z])(the|les|der|los)([^A-Za-z]|$)", "line"),
+    ("chat-accents", "P3", "Code Quality", "[éèêç]{2,}", "line"),
+    ("chat-short-line", "P3", "Code Quality", "^.{1,20}$", "line"),
+)
+
+
+@query(sql(" UNION ALL ".join(f"SELECT role, {q(r)} AS rule, count(*) AS hits, count(DISTINCT conv_id) AS conversations FROM chat WHERE {b.has(p)} GROUP BY role" for r, _, _, p, _ in CHAT_RULES), {"chat": CHAT_LINES}))
+def conversation_own_rules(spark, sf_dir):
+    """Lines of conversations that a user's rules find, by role."""
+    chat = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    files = chat.select(F.col("role").alias("repo"), F.concat("conv_id", F.lit("/"), "turn", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    table = dimension(spark, [dict(zip(("rule", "severity", "category", "pattern", "scope"), r)) for r in CHAT_RULES])
+    per_talk = fs.scan_lines_with_table(files, table).groupBy("repo", "rule", F.substring_index("path", "/", 1).alias("conv")).agg(F.count("*").alias("n"))
+    return per_talk.groupBy(F.col("repo").alias("role"), "rule").agg(F.sum("n").alias("hits"), F.count("*").alias("conversations"))
+
+
+BROKEN = "doc_id % 4 = 1"  # these files get a byte that is no UTF-8
+
+
+@query(
+    sql(
+        f"""SELECT 'repo=' || source AS repo, 'doc=' || doc_id AS folder, strlen(text) + 1 + CASE WHEN {BROKEN} THEN 1 ELSE 0 END AS size, {BROKEN} AS bad_bytes, md5(text || chr(10)) AS digest,
+CASE WHEN strlen(text) + 1 + CASE WHEN {BROKEN} THEN 1 ELSE 0 END > {LARGE} THEN 'unread' ELSE 'read' END AS state FROM documents"""
+    ).replace(f"{BROKEN} AS bad_bytes, md5(text || chr(10)) AS digest", f"{BROKEN} AND strlen(text) + 2 <= {LARGE} AS bad_bytes, CASE WHEN strlen(text) + 1 + CASE WHEN {BROKEN} THEN 1 ELSE 0 END > {LARGE} THEN '' ELSE md5(text || chr(10)) END AS digest")
+)
+def tree_scan(spark, sf_dir):
+    """Documents written as a tree of files, some with a bad byte, and read back under a size limit."""
+    root = fresh_path(spark, "tree")
+    broken = F.when(F.expr(BROKEN), F.lit(b"\xff")).otherwise(F.lit(b""))
+    body = F.concat(F.col("text").cast("binary"), broken).cast("string")
+    rows = documents(spark, sf_dir).select(F.col("source").alias("repo"), F.col("doc_id").alias("doc"), body.alias("value"))
+    rows.repartition("repo").write.partitionBy("repo", "doc").text(root)
+    files = read_tree(spark, root, repo_depth=1, glob="*.txt", size_limit=LARGE)
+    return files.select(
+        "repo", F.substring_index("path", "/", 1).alias("folder"), "size", "bad_bytes", F.coalesce(F.md5(F.col("content").cast("binary")), F.lit("")).alias("digest"),
+        F.when(F.col("content").isNull(), "unread").otherwise("read").alias("state"),
+    )
+
+
+@query(sql(f"SELECT rule, severity, count(*) AS findings FROM findings WHERE rule IN ({b.names(FAST_RULES)}) GROUP BY ALL"))
+def config_defaults(spark, sf_dir):
+    """Settings of a project that sets nothing leave all findings as they are."""
+    found = config.apply_config(fs.scan_files(corpus(spark, sf_dir), FAST_RULES), config.no_overrides(spark), config.no_suppressions(spark))
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("findings"))
