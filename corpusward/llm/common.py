@@ -23,9 +23,10 @@ def ship(name: str) -> None:
 
 
 def per_worker(key: str, make: Callable[[], object]) -> object:
-    """One object per Python worker process, kept between the tasks of a reused worker."""
-    held = sys.modules.setdefault("corpusward_worker", types.ModuleType("corpusward_worker")).__dict__
+    """An object of a Python worker process, kept between the tasks of a reused worker until a task makes another one."""
+    held = sys.modules.setdefault("corpusward_worker", types.ModuleType("corpusward_worker")).__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 

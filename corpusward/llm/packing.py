@@ -32,7 +32,7 @@ from corpusward.session import written
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 16_384
-LARGEST_MEMO = 500_000
+LARGEST_MEMO = 250_000
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

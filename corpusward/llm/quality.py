@@ -38,7 +38,7 @@ SHARDS = 4
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.0005
 GOOD = 0.7
-LARGEST_MEMO = 300_000
+LARGEST_MEMO = 150_000
 WORD = re.compile(r"\w+|[^\w\s]+")
 BACK = np.uint64(1 << 40)  # beyond the hashes of words
 PAIR = np.uint64(0x9E3779B97F4A7C15)  # odd, spreads neighbours over the places
