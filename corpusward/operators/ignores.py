@@ -28,7 +28,10 @@ TEMPORARY = r"(\.(tmp|swp|swo|pyc|pyo|log)$|(^|/)__pycache__/)"
 
 
 def as_regex(pattern: Column) -> Column:
-    """The regular expression of a pattern without its ``!``, final and leading slash; null for one that can fit nothing."""
+    """The regular expression of a pattern without its ``!``, final and leading slash.
+
+    Null for a pattern with a class whose range falls, such as ``[z-a]``, which is dropped. Named classes are taken letter by letter.
+    """
     p = F.regexp_replace(pattern, f"[{STAR}-{ALL_BELOW}]", "")
     for written, stand_in in ((r"\\\*", STAR), (r"\\\?", MARK), (r"\\\[", OPEN), (r"\\\\", SLASH)):
         p = F.regexp_replace(p, written, stand_in)

@@ -190,7 +190,9 @@ def intersections(files: DataFrame) -> DataFrame:
     gaps = F.collect_set(F.when(F.col("out_low").isNotNull(), F.struct("out_low", "out_high"))).alias("gaps")  # different exclusions of a package
     specs = F.array_sort(F.collect_set("spec")).alias("specs")
     found = rows.groupBy("repo", "ecosystem", "name", "marker").agg(low, high, gaps, specs, F.min(F.struct("path", "line")).alias("first"))
-    both = F.col("l").isNotNull() & F.col("h").isNotNull()
+    zero = F.struct(version_key(F.lit("0")).alias("low"), F.lit(False).alias("open"))  # no release is below it
+    found = found.withColumn("l", F.greatest(F.coalesce("l", zero), zero))
+    both = F.col("h").isNotNull()
     same = F.col("l.low") == F.col("h.high")
     left_out = F.exists("gaps", lambda g: (g["out_low"] <= F.col("l.low")) & (g["out_high"] >= F.col("h.high")))
     empty = both & ((F.col("l.low") > F.col("h.high")) | (same & (F.col("l.open") | ~F.col("h.closed"))) | left_out)

@@ -28,9 +28,18 @@ def build_session(app: str = "corpusward", cores: str | int = "*", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or else one in the warehouse, which is shared too."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Without that setting a local session uses a folder in its warehouse, as its only process is the driver. On a cluster
+    it is an error, as nothing says that the warehouse is shared.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_between"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

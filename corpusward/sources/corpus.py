@@ -99,6 +99,18 @@ def write_corpus(files: DataFrame, target: str, mode: str = "errorifexists") ->
     grouped.sortWithinPartitions("language_group", "path").write.mode(mode).partitionBy("language_group").parquet(target)
 
 
+def store_corpus(files: DataFrame, table: str, path: str | None = None, buckets: int = 256, mode: str = "errorifexists") -> None:
+    """Store files as a table partitioned by language group and bucketed by repository.
+
+    Scans read the groups they need, and aggregates and joins on the repository need no exchange. One
+    repository is one bucket in each group; a repository that outgrows a bucket file should be stored without buckets (``write_corpus``).
+    ``path`` places the table outside the warehouse.
+    """
+    grouped = files.withColumn("language_group", language_group(F.col("path"))).repartition(buckets, "repo")
+    writer = grouped.write.mode(mode).partitionBy("language_group").bucketBy(buckets, "repo").sortBy("repo", "path")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def of_groups(files: DataFrame, *groups: str) -> DataFrame:
     """Only these language groups, where the table knows them; otherwise all files.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusward.operators import history, reports, verdict
@@ -29,10 +30,13 @@ def session_with(**settings):
     return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings.get(name.replace(".", "_"), default)))
 
 
-def test_shared_folder_is_the_setting_or_in_the_warehouse(spark):
+def test_shared_folder_is_the_setting_or_local(spark):
     warehouse = {"spark_sql_warehouse_dir": "hdfs://x/warehouse/"}
-    assert shared_dir(session_with(spark_checkpoint_dir="hdfs://x/shared/", **warehouse)) == "hdfs://x/shared"
-    assert shared_dir(session_with(**warehouse)) == "hdfs://x/warehouse/_between"
+    assert shared_dir(session_with(spark_checkpoint_dir="hdfs://x/shared/", spark_master="yarn", **warehouse)) == "hdfs://x/shared"
+    assert shared_dir(session_with(spark_master="local[4]", **warehouse)) == "hdfs://x/warehouse/_between"
+    for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(session_with(spark_master=master, **warehouse))
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
