@@ -1,14 +1,14 @@
 """Exact top-k search by inner product, as a Voronoi join.
 
-Components become integers, floor(scale * x). Pivots, a bounded number of query vectors, divide
-the queries into cells; a query belongs to its nearest pivot. Each pivot has some seeds, the rows with
-the largest products with it; a query's k-th best product with its cell's seeds is a score that its k-th best
-cannot fall below. The summary of a cell is its pivot p, the largest distance r of its queries from p and
-the lowest such score t. As q.x <= p.x + r |x| for all queries q of the cell, a row x goes to the
-cell only if p.x + r |x| reaches t; all others cannot be among the k best of any of them.
-Queries of a cell are dealt over blocks and the rows that go to it over chunks, both of about
-a fixed size, so that a dense cell is no large task. Every block meets every chunk of its cell, and the
-best of all chunks remain.
+Components become integers, floor(scale * x). Pivots, about the square root of the number of queries and a bounded number of
+them, divide queries and data into groups by the nearest pivot. The summary of a data group is its pivot p and the largest
+distance r of its rows from p. Each pivot has some seeds, the rows with the largest products with it; the
+k-th best product of a query with the seeds of its group is a score t that its k-th best cannot fall below. As
+q.x <= q.p + r |q| for all rows x of a group, a query goes to the groups where that reaches t and to no others.
+
+Data rows are dealt once, over chunks of their group of about a fixed size; queries are copied to
+the chunks of the groups that they need. Where there are more queries than a block holds, they are dealt over
+blocks, and each chunk meets every block. The best of all chunks remain.
 
 Pivots, seeds and summaries are bounded by ``MOST_PIVOTS`` and travel with the tasks.
 
@@ -21,6 +21,7 @@ Empty tables, and queries without candidates, give no rows. Extra columns are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from corpusward.session import written
 
 SCALE = 256
 MOST_PIVOTS = 128
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 16_384
 CHUNK_ROWS = 16_384
 SEEDS = 32
 FOUND = "query_uid long, query_id long, vec_id long, score long"
@@ -84,14 +85,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = SCALE
     """query_id, rank, vec_id, score of the k best rows for each row of ``vectors`` (vec_id, embedding) with ``is_query``."""
     spark = vectors.sparkSession
     kept = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = written(kept.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    total, asking, width = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("embedding"))).first()
+    total, asking, width = kept.agg(F.count("*"), F.count_if("asks"), F.max(F.size("embedding"))).first()
     if not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = F.xxhash64(F.lit("pivot"), "uid")
-    chosen = rows.where("asks").orderBy(order, "uid").limit(min(MOST_PIVOTS, -(-asking // BLOCK_QUERIES))).select("embedding")
+    order = F.xxhash64(F.lit("pivot"), "vec_id", "embedding")
+    chosen = kept.where("asks").orderBy(order, "vec_id").limit(min(MOST_PIVOTS, math.isqrt(asking - 1) + 1)).select("embedding")
     pivots = matrix(pa.array([r[0] for r in chosen.collect()], pa.list_(pa.float64())), width, scale)
-    inner = str(rows.schema["embedding"].dataType.simpleString())
+    inner = str(kept.schema["embedding"].dataType.simpleString())
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = matrix(batch.column(1), width, scale)
+            apart = np.stack([((own - p) ** 2).sum(axis=1) for p in pivots], axis=1)
+            group = apart.argmin(axis=1)
+            distance = np.sqrt(apart[np.arange(len(group)), group]) if len(group) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group, pa.int32()), pa.array(distance)], names=["vec_id", "embedding", "asks", "cell", "apart"])
+
+    rows = kept.mapInArrow(nearest, f"vec_id long, embedding {inner}, asks boolean, cell int, apart double")
+    rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "vectors")
+    groups = [tuple(r) for r in rows.groupBy("cell").agg(F.count("*"), F.max("apart")).collect()]  # at most MOST_PIVOTS
+    radius = np.zeros(len(pivots))
+    chunks = {}
+    for group, n, far in groups:
+        radius[group], chunks[group] = far, -(-n // CHUNK_ROWS)
 
     def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,39 +125,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = SCALE
     seed_vectors = {c: matrix(pa.array([v for _, v in s], pa.list_(pa.float64())), width, scale) for c, s in seeds.items()}
     seed_ids = {c: np.array([np.iinfo(np.int64).min if i is None else i for i, _ in s]) for c, s in seeds.items()}
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = matrix(batch.column(2), width, scale)
-            apart = np.stack([((own - p) ** 2).sum(axis=1) for p in pivots], axis=1)
-            cells = apart.argmin(axis=1)
-            ids = batch.column(1).to_pylist()
-            lows = []
+            own, cells, ids = matrix(batch.column(2), width, scale), batch.column(3).to_numpy(), batch.column(1).to_pylist()
+            lows = np.full(len(own), -np.inf)
             for q, cell in enumerate(cells):
                 scores = products(own[q : q + 1], seed_vectors[cell])[0][seed_ids[cell] != ids[q]]
-                lows.append(float(np.sort(scores)[-k]) if len(scores) >= k else -np.inf)
-            distance = np.sqrt(apart[np.arange(len(cells)), cells]) if len(cells) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(distance), pa.array(lows, pa.float64())], names=["uid", "vec_id", "embedding", "cell", "apart", "low"])
-
-    queries = written(rows.where("asks").select("uid", "vec_id", "embedding").mapInArrow(bounds, f"uid long, vec_id long, embedding {inner}, cell int, apart double, low double"), "queries")
-    cells = queries.groupBy("cell").agg(F.count("*"), F.max("apart"), F.min("low")).collect()  # at most MOST_PIVOTS
-    blocks = {c: -(-n // BLOCK_QUERIES) for c, n, _, _ in cells}
-    chunks = -(-total // CHUNK_ROWS)
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = matrix(batch.column(2), width, scale)
+                if len(scores) >= k:
+                    lows[q] = np.sort(scores)[-k]
             length = np.sqrt((own**2).sum(axis=1))
-            for cell, _, radius, low in cells:
-                reach = own @ pivots[cell] + radius * length
-                near = pa.array(np.flatnonzero(reach >= low - 1e-9 * (abs(low) + np.abs(reach))))
-                part = [c.take(near) for c in batch.columns]
-                for block in range(blocks[cell]):
-                    yield pa.RecordBatch.from_arrays([*part, pa.array([cell] * len(near), pa.int32()), pa.array([block] * len(near), pa.int32())], names=["uid", "vec_id", "embedding", "cell", "block"])
-
-    dealt = rows.select("uid", "vec_id", "embedding").mapInArrow(needed, f"uid long, vec_id long, embedding {inner}, cell int, block int")
-    dealt = dealt.select("cell", "block", F.pmod(F.xxhash64(F.lit("chunk"), "uid"), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "embedding")
-    block_count = F.element_at(F.create_map(*[F.lit(x).cast("int") for pair in blocks.items() for x in pair]), F.col("cell"))
-    asked = queries.select("cell", F.pmod(F.xxhash64(F.lit("block"), "uid"), block_count).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "uid", "vec_id", "embedding")
+            for group in chunks:
+                reach = own @ pivots[group] + radius[group] * length
+                near = pa.array(np.flatnonzero(reach >= lows - 1e-9 * (np.abs(np.where(np.isinf(lows), 0, lows)) + np.abs(reach))))
+                yield pa.RecordBatch.from_arrays([*(c.take(near) for c in batch.columns[:3]), pa.array([group] * len(near), pa.int32())], names=["uid", "vec_id", "embedding", "cell"])
+
+    blocks = -(-asking // BLOCK_QUERIES)
+    chunk_count = F.element_at(F.create_map(*[F.lit(x).cast("int") for pair in chunks.items() for x in pair]), F.col("cell"))
+    asked = rows.where("asks").select("uid", "vec_id", "embedding", "cell").mapInArrow(needed, f"uid long, vec_id long, embedding {inner}, cell int")
+    block = F.pmod(F.xxhash64(F.lit("block"), "uid"), F.lit(blocks)).cast("int").alias("block")
+    asked = asked.select("cell", block, F.explode(F.sequence(F.lit(0), chunk_count - 1)).alias("chunk"), "uid", "vec_id", "embedding")
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "uid"), chunk_count).cast("int").alias("chunk")
+    dealt = rows.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), chunk, "vec_id", "embedding")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
