@@ -8,7 +8,9 @@ every fingerprint enters its own cell and, on the other side of the join, its ow
 those with one count higher by one. What meets is verified by the differing bits.
 
 Copies have one fingerprint and are one node of the graph, so a group of copies of any
-size costs one row. Only links between different fingerprints are made.
+size costs one row. Only links between different fingerprints are made, and as few as join each component (``links``).
+
+Texts are hashed in blocks of shingles, so a very long one costs memory in proportion to its words alone.
 
 Null, empty and blank texts have fingerprint zero. Rows without ``doc_id`` take part; the id
 of a component is the smallest ``doc_id`` in it, null if it has none. Repeated rows are returned
@@ -34,6 +36,7 @@ SEED = 42
 SHINGLE = 3
 DISTANCE = 3
 BLOCK = 1 << 16
+HEAD_ROUNDS = 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -77,15 +80,51 @@ def higher_cells(cell: Column) -> Column:
     return F.array_compact(F.array(cell, *steps))
 
 
+def near(a: Column, b: Column, distance: int) -> Column:
+    return (F.bit_count(a.bitwiseXOR(b)) <= distance) & (a != b)
+
+
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs a, b of distinct ``fingerprint`` values that differ in at most ``distance`` (up to 3) bits."""
+    """Pairs a, b of distinct ``fingerprint`` values within ``distance`` (up to 3) bits, whose components are those of all such pairs.
+
+    All that look into a cell are compared with its smallest member. Cells with more members are looked at again, but only for what is
+    not joined yet: for some rounds with one more member, then with all; of each cell, what is in the largest component
+    so far is compared with what is not. So a crowd of fingerprints within reach of one another gives links in proportion to its size.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("two halves find distances up to 3")
     cells = prints.select("fingerprint", F.explode(F.array(half_counts(F.col("fingerprint"), 0), half_counts(F.col("fingerprint"), 1))).alias("cell"))
     home = cells.select(F.col("fingerprint").alias("a"), "cell")
-    probe = cells.select(F.col("fingerprint").alias("b"), F.col("cell").alias("own"), F.explode(higher_cells(F.col("cell"))).alias("cell"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & ((F.col("own") != home["cell"]) | (F.col("a") < F.col("b")))
-    return home.join(probe, (home["cell"] == probe["cell"]) & near).select("a", "b")
+    looks = cells.select(F.col("fingerprint").alias("b"), F.explode(higher_cells(F.col("cell"))).alias("cell"))
+    heads = home.groupBy("cell").agg(F.min("a").alias("a"), F.count("*").alias("members"))
+    found = written(looks.join(heads, "cell").where(near(F.col("a"), F.col("b"), distance)).select("a", "b"), "links")
+    crowded = written(home.join(heads.where("members > 1").select("cell"), "cell"), "crowded")
+    if crowded.isEmpty():
+        return found
+    visits = written(looks.join(crowded.select("cell").distinct(), "cell", "left_semi"), "visits")
+    for left in range(HEAD_ROUNDS, -1, -1):
+        roots = components(found)
+        members, guests = rooted(crowded, "a", roots), rooted(visits, "b", roots).withColumnRenamed("root", "b_root")
+        counts = members.select("cell", "root").unionByName(guests.select("cell", F.col("b_root").alias("root"))).groupBy("cell", "root").agg(F.count("*").alias("rows"))
+        mains = written(counts.groupBy("cell").agg(F.max(F.struct("rows", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("cell", F.col("main.root").alias("main")), "mains")
+        if mains.isEmpty():
+            return found
+        members, guests = members.join(mains, "cell"), guests.join(mains.withColumnRenamed("main", "b_main"), "cell")
+        outside = members.where("root <> main")
+        if left:
+            outside = outside.groupBy("cell").agg(F.min(F.struct("a", "root")).alias("one")).select("cell", "one.*")
+            pairs = guests.join(outside, "cell")
+        else:
+            pairs = guests.join(outside.drop("main"), "cell").unionByName(guests.where("b_root <> b_main").join(members.where("root = main").drop("main"), "cell"))
+        more = pairs.where((F.col("root") != F.col("b_root")) & near(F.col("a"), F.col("b"), distance)).select("a", "b")
+        found = written(found.unionByName(more), "links")
+    return found
+
+
+def rooted(rows: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """Rows with the component of their ``node`` so far."""
+    known = roots.select(F.col("node").alias(node), "root")
+    return rows.join(known, node, "left").withColumn("root", F.coalesce("root", node))
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

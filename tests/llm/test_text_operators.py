@@ -175,7 +175,17 @@ def test_links_of_chosen_fingerprints(spark):
     signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
     want = {tuple(sorted((signed[a], signed[b]))) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= 3}
     got = simhash.links(spark.createDataFrame([(p,) for p in signed.values()], "fingerprint long")).collect()
-    assert {tuple(sorted((r.a, r.b))) for r in got} == want
+    made = {tuple(sorted((r.a, r.b))) for r in got}
+
+    def joined(pairs):
+        groups = {x: {x} for pair in pairs for x in pair}
+        for a, b in pairs:
+            if groups[a] is not groups[b]:
+                groups[a] |= groups[b]
+                groups.update(dict.fromkeys(groups[a], groups[a]))
+        return {frozenset(g) for g in groups.values()}
+
+    assert made <= want and joined(made) == joined(want)
 
 
 def test_one_document_of_each_group_stays(spark, docs, no_docs):
@@ -238,3 +248,39 @@ def test_one_document_is_followed_by_itself(spark):
 def test_imatch_uses_functions_only(docs):
     plan = imatch.edited(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_links_join_the_same_components_without_all_pairs(spark):
+    """Dense balls of fingerprints: components as of all pairs, links in proportion to the members."""
+    import random
+    from collections import defaultdict
+
+    from corpusward.llm.components import components
+
+    dice, seen = random.Random(4), []
+    for number in (100, 200, 400):
+        centres = [dice.getrandbits(64) for _ in range(3)]
+        prints = set(centres[:2])
+        while len(prints) < number:
+            flipped = dice.choice(centres)
+            for bit in dice.sample(range(64), dice.choice([1, 2, 3, 4])):
+                flipped ^= 1 << bit
+            prints.add(flipped)
+        signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+        made = simhash.links(spark.createDataFrame([(p,) for p in signed], "fingerprint long"))
+        near = defaultdict(list)
+        for a in signed:
+            near[a] = [b for b in signed if b != a and bin((a ^ b) & (2**64 - 1)).count("1") <= 3]
+        left, wanted = set(signed), {}
+        while left:
+            todo, group = [left.pop()], []
+            while todo:
+                x = todo.pop()
+                group.append(x)
+                todo += [y for y in near[x] if y in left]
+                left -= set(near[x])
+            wanted |= {x: min(group) for x in group if x != min(group)}
+        assert {r.node: r.root for r in components(made).collect()} == wanted
+        assert all(b in near[a] for a, b in map(tuple, made.collect()))
+        seen.append((made.distinct().count(), sum(map(len, near.values())) // 2))
+    assert seen[2][0] <= 8 * 400 and seen[2][0] < seen[2][1], seen
