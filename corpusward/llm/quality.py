@@ -8,10 +8,11 @@ epoch, on a bounded sample (about ``per_label`` whole documents of each label).
 dealt over shards, every shard is trained by one task, and their weights are averaged. The
 intercept is the ratio of labels among all documents that may be learnt from. A score is a sparse dot product.
 
-The model is at most ``2 ** BITS`` numbers, sent once to every executor. Null and empty texts,
+The model is at most ``2 ** BITS`` numbers, sent once to every executor. A very long text is read whole and costs memory in
+proportion to its words. An empty table gives no rows, and an empty table of labels a model without weights. Null and empty texts,
 and texts without a word, get the score of the intercept. If one label or both are
 missing the model is its intercept. Different labels of a document are several examples; an id
-that is repeated is one.
+that is repeated is one, with the first of its texts.
 Extra columns are ignored, or kept by ``good``; repeated rows are scored each.
 """
 
@@ -105,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, shards
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     ratio = {row["quality"]: row["count"] for row in known.groupBy("quality").count().collect()}
     chosen = sample(known, "quality", per_label, key="labelled")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text").dropDuplicates(["doc_id", "quality"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text of a repeated id, always the same
     shown = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("quality", pa.int32()), ("places", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

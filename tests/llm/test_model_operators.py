@@ -158,6 +158,55 @@ def test_score_is_the_dot_product_of_hashed_features(spark, docs):
     assert sorted((str(r.doc_id), r.held_out, round(r.score, 5), r.predicted) for r in got) == sorted((str(i), is_held_out(i), round(slow(t), 5), int(slow(t) >= 0.7)) for i, t, *_ in DOCS)
 
 
+def slow_values(text):
+    """Places and values of a text's features, one by one."""
+    hashed = [zlib.crc32(w.encode()) + 1 for w in quality.WORD.findall((text or "").lower())]
+    keys = hashed + [0 if a == b else (a * int(quality.PAIR) + b) % 2**64 for a, b in zip(hashed, hashed[1:])]
+    keys += [int(quality.BACK) for a, b in zip(hashed, hashed[2:]) if a == b]
+    counts = Counter(k * int(quality.PAIR) % 2**64 >> 64 - quality.BITS for k in keys)
+    length = math.sqrt(sum(n * n for n in counts.values()))
+    return {p: n / length for p, n in counts.items()}
+
+
+def slow_training(examples):
+    """Follow-the-regularised-leader, a coordinate at a time."""
+    z, n = Counter(), Counter()
+
+    def weight(p):
+        if abs(z[p]) <= quality.L1:
+            return 0.0
+        return -(z[p] - math.copysign(quality.L1, z[p])) / ((quality.BETA + math.sqrt(n[p])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            label, values = examples[k]
+            own = {p: weight(p) for p in values}
+            error = 1 / (1 + math.exp(-sum(own[p] * v for p, v in values.items()))) - label
+            for p, v in values.items():
+                slope = error * v
+                z[p] += slope - (math.sqrt(n[p] + slope * slope) - math.sqrt(n[p])) / quality.ALPHA * own[p]
+                n[p] += slope * slope
+    return {p: weight(p) for p in z}
+
+
+def test_training_equals_brute_force(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if r.quality in (0, 1) and not is_held_out(r.doc_id) and r.doc_id in rows)
+    shards = {}
+    for doc_id, label in known:
+        shards.setdefault(zlib.crc32(b"%d" % doc_id) // 4 % quality.SHARDS, []).append((label, slow_values(rows[doc_id])))
+    wanted = np.zeros(1 << quality.BITS)
+    for examples in shards.values():
+        for p, w in slow_training(examples).items():
+            wanted[p] += w * len(examples) / len(known)
+    repeated = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = quality.learn(repeated.unionByName(repeated).withColumn("quality", F.lit(3)), labels)
+    assert np.allclose(model.weights, wanted, atol=1e-9)
+    good = sum(label for _, label in known)
+    assert model.intercept == pytest.approx(math.log(good / (len(known) - good)))
+
+
 def test_training_separates_and_stops_at_the_prior(spark, docs, no_docs):
     rows = documents(spark, [(i, "good plain words here" if i % 3 else "### $$$ ###", "en", "a") for i in range(200)])
     labels = spark.createDataFrame([(i, int(i % 3 > 0), None, 1) for i in range(200)] + [(7, None, None, 1), (None, 1, None, 1)], "doc_id long, quality int, toxic int, score int")
