@@ -32,7 +32,7 @@ from corpusward.session import written
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 16_384
-LARGEST_MEMO = 250_000
+LARGEST_MEMO, LONGEST_MEMO = 400_000, 14  # words remembered, and from which length they are not
 PUNCTUATION = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -71,7 +71,7 @@ class TokenIds:
                 self.runs.clear()
             shown = run if run.isascii() else self.as_bytes.pre_tokenize_str(run)[0][0]
             known = self.packed([token.id for token in self.model.tokenize(shown)])
-            if len(run) < 40:
+            if len(run) < LONGEST_MEMO:
                 self.runs[run] = known
         return known
 
@@ -83,7 +83,7 @@ class TokenIds:
                 ids += self.run(word[len(core) :])
         else:
             ids = self.packed(self.whole.encode(word, add_special_tokens=False).ids)
-        if len(word) < 40:
+        if len(word) < LONGEST_MEMO:
             if len(self.words) > LARGEST_MEMO:
                 self.words.clear()
             self.words[word] = ids
