@@ -11,7 +11,8 @@ leaving out the others' weight leaves less than ``least``. So passages without s
 of them is split into terms. Directories are joined once each, not per file.
 
 Null repositories, paths and contents are empty strings. Rows equal in all three have the same
-answer. Extra columns are kept, whatever their names; contents are not returned. An empty table gives no rows.
+answer. Extra columns are kept, whatever their names; contents are not returned. An empty table gives no rows. A very long text is
+split into terms passage by passage, and only in passages that may be a notice; its terms are rows, not one list.
 """
 
 from __future__ import annotations
@@ -23,27 +24,13 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusward.llm.notices import TEMPLATES
 from corpusward.session import written
 
 LEAST = 0.7
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|unlicense)([._-].*)?$"
 NOT_A_TERM = r"[^\p{L}\p{N}]+"
 
-# Usual notices of public licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
-
 
 def template_terms(text: str) -> Counter:
     return Counter(re.findall(r"[^\W_]+", text.lower()))

@@ -1,5 +1,7 @@
 """The queries again, as DuckDB SQL over the same tables."""
 
+from corpusward.llm.notices import TEMPLATES
+
 OP5 = r"""
 WITH rows AS (
     SELECT doc_id, source, md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))) AS key,
@@ -109,18 +111,7 @@ WITH files AS (
            doc_id % 8 = 3 AS is_licence, lower(coalesce(text, '')) AS text
     FROM documents
 ), notices(n, licence, text) AS (
-    -- fixed values: usual notices of public licences
-    VALUES (0, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-           (1, 'Apache-2.0', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-           (2, 'BSD-3-Clause', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
-           (3, 'BSD-3-Clause', 'Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.'),
-           (4, 'CC-BY-4.0', 'Licensed under CC BY 4.0.'),
-           (5, 'CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
-           (6, 'GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-           (7, 'GPL-3.0', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
-           (8, 'MIT', 'Released under the MIT License.'),
-           (9, 'MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
-           (10, 'MPL-2.0', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.')
+    VALUES NOTICES
 ), template_counts AS (
     SELECT n, licence, term, count(*) AS c
     FROM (SELECT n, licence, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM notices) WHERE term <> '' GROUP BY ALL
@@ -129,7 +120,7 @@ WITH files AS (
     FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS term FROM files) GROUP BY term
 ), idf AS (
     SELECT t.term, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf
-    FROM (SELECT DISTINCT term FROM template_counts) t LEFT JOIN df USING (term)
+    FROM (SELECT term FROM template_counts UNION SELECT term FROM df) t LEFT JOIN df USING (term)
 ), templates AS (
     SELECT n, licence, term, c * idf / sqrt(sum(c * c * idf * idf) OVER (PARTITION BY n)) AS share FROM template_counts JOIN idf USING (term)
 ), passages AS (
@@ -140,7 +131,7 @@ WITH files AS (
     SELECT doc_id, passage, term, count(*) AS c
     FROM (SELECT doc_id, passage, unnest(regexp_split_to_array(passage, '[^\p{L}\p{N}]+')) AS term FROM passages) WHERE term <> '' GROUP BY ALL
 ), weighed AS (
-    SELECT c.*, c.c * coalesce(idf, ln(1 + (SELECT count(*) FROM files)) + 1) AS weight FROM counts c LEFT JOIN idf USING (term)
+    SELECT c.*, c.c * idf AS weight FROM counts c JOIN idf USING (term)
 ), lengths AS (
     SELECT doc_id, passage, sqrt(sum(weight * weight)) AS length FROM weighed GROUP BY ALL
 ), scored AS (
@@ -270,6 +261,8 @@ SELECT doc_id, size, {crc32("text")} AS text_crc32, 'bytes' AS law, CAST(shard A
 FROM rows JOIN placed USING (digest), crcs
 """
 
+OP9 = OP9.replace("NOTICES", ", ".join(f"({n}, '{name}', '{text}')" for n, (name, text) in enumerate((name, text.replace("'", "''")) for name, text in TEMPLATES)))
+
 ORACLES = {
     "op2_imatch_fingerprints": OP2,
     "op5_source_mixing": OP5,
