@@ -6,8 +6,8 @@ times their idf over all files. A file's own licence is that of the template wit
 equal cosines go to the first licence by name. A licence file gives its licence to its directory, the best
 of several does. A file without a licence of its own has that of the nearest directory above it which has one.
 
-The files that hold each term are counted for all terms and joined to the terms of passages. A passage whose cosine reaches ``least`` must share one of a template's weightiest terms:
-leaving out the others' weight leaves less than ``least``. So passages without such a term are dropped before any
+The files that hold each term are counted for all terms and joined to the terms of passages. A passage whose cosine reaches ``least`` must share one of a template's rarest terms,
+as many as leave less than ``least`` to the others. So passages without such a term are dropped before any
 of them is split into terms. Directories are joined once each, not per file.
 
 Null repositories, paths and contents are empty strings. Rows equal in all three have the same
@@ -59,7 +59,7 @@ def weights(found: DataFrame, total: int, templates: tuple[tuple[str, str], ...]
         length = math.sqrt(sum(w * w for w in raw.values()))
         vectors.append({term: w / length for term, w in raw.items()})
         rest = 1.0
-        for term in sorted(raw, key=lambda t: (-raw[t], t)):
+        for term in sorted(raw, key=lambda t: (df.get(t, 0), -raw[t], t)):  # the rarest terms, so that few passages hold one
             if rest < least * least * (1 - 1e-9):
                 break
             needed.add(term)
