@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 from conftest import SMALL
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from corpusward.operators.code_facts import code_facts
+from corpusward.operators.code_facts import FACTS, code_facts, fact_batches, file_facts
 from corpusward.operators.code_rules import scan_code
 
 
@@ -115,3 +119,27 @@ def test_scopes_and_unreadable_files(spark, make_files):
 def test_newlines_are_unified_before_parsing(make_files):
     got = rules_of(make_files, "x = 1\r\rprint(x)\r\n# TODO\r\n", rules=("python-print-call", "python-src-todo"))
     assert got == Counter([("python-print-call", 3, "calls print"), ("python-src-todo", 4, "# TODO")])
+
+
+def test_facts_leave_in_small_batches():
+    """What is held as Python objects does not grow with the files of a batch read, and the facts are those of each file."""
+    shape = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def batch(number):
+        rows = [{"repo": "r", "path": f"a{k}.py", "bad_bytes": k % 2 == 0, "source": f"def f{k}(a):\n    return a.b{k}\n# " + " ".join(f"w{k}x{n}" for n in range(200))} for k in range(number)]
+        return pa.RecordBatch.from_pylist(rows)
+
+    def peak(number):
+        rows = batch(number)
+        tracemalloc.start()
+        sizes = [out.num_rows for out in fact_batches(iter([rows]), shape)]
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) == number
+        return held
+
+    assert peak(1600) < 1.3 * peak(400)
+    rows = batch(300)
+    got = [row for out in fact_batches(iter([rows, batch(0), rows]), shape) for row in out.to_pylist()]
+    one_by_one = [pa.RecordBatch.from_pylist([{**file_facts(r["repo"], r["path"], r["source"]), "bad_bytes": r["bad_bytes"]}], schema=shape).to_pylist()[0] for r in rows.to_pylist()]
+    assert got == 2 * one_by_one
