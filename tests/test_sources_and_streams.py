@@ -63,6 +63,28 @@ def test_tree_source(spark, tmp_path):
     assert {r.path for r in only.collect()} == {"a.py", "bad.py"}
 
 
+def test_tree_is_written_and_listed_by_few_tasks(spark, tmp_path):
+    """A tree goes out and comes back byte by byte under a root with a scheme; its many folders are not a task each."""
+    root, wanted = f"file://{tmp_path}/tree", {("repo=a b", f"doc={n}/x%{n}.txt"): bytes([n % 256, 10]) for n in range(300)}
+    rows = spark.createDataFrame([(*k, v) for k, v in wanted.items()], "repo string, path string, content binary")
+    sources.write_tree(rows, root)
+    assert {(p.parent.parent.name, f"{p.parent.name}/{p.name}"): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()} == wanted
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, group = spark.conf.get(key), str(tmp_path)
+    spark.sparkContext.setJobGroup(group, "listing")
+    files = sources.read_tree(spark, root, repo_depth=1, glob="*.txt", size_limit=100)
+    spark.sparkContext.setJobGroup("", "")
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for job in told.getJobIdsForGroup(group) for s in told.getJobInfo(job).stageIds]
+    assert sum(s.numTasks for s in stages) <= 64 and spark.conf.get(key) == before
+    got = {(r.repo, r.path): (r.size, r.bad_bytes) for r in files.collect()}
+    assert got == {k: (len(v), not valid(v)) for k, v in wanted.items()}
+
+
+def valid(content: bytes) -> bool:
+    return content.decode("utf-8", "ignore").encode() == content
+
+
 def test_stored_corpus_prunes_partitions_and_changes_nothing(spark, tmp_path):
     files = sources.read_tree(spark, plant(tmp_path / "tree"), repo_depth=1)
     target = str(tmp_path / "table")
