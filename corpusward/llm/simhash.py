@@ -78,14 +78,18 @@ def higher_cells(cell: Column) -> Column:
 
 
 def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs a, b of distinct ``fingerprint`` values that differ in at most ``distance`` (up to 3) bits."""
+    """Pairs a, b of distinct ``fingerprint`` values that differ in at most ``distance`` (up to 3) bits.
+
+    Spark sizes a table after ``explode`` as if it had the rows before, so the sides, up to 17 cells a row,
+    would be broadcast when far too large; the join is asked to shuffle both.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("two halves find distances up to 3")
     cells = prints.select("fingerprint", F.explode(F.array(half_counts(F.col("fingerprint"), 0), half_counts(F.col("fingerprint"), 1))).alias("cell"))
     home = cells.select(F.col("fingerprint").alias("a"), "cell")
     probe = cells.select(F.col("fingerprint").alias("b"), F.col("cell").alias("own"), F.explode(higher_cells(F.col("cell"))).alias("cell"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance) & ((F.col("own") != home["cell"]) | (F.col("a") < F.col("b")))
-    return home.join(probe, (home["cell"] == probe["cell"]) & near).select("a", "b")
+    return home.hint("merge").join(probe, (home["cell"] == probe["cell"]) & near).select("a", "b")
 
 
 def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 import xxhash
 from llm_rows import DOCS, SMALL, docs, documents, no_docs  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from corpusward.llm import imatch, packing, simhash, tokens
@@ -178,6 +179,13 @@ def test_links_of_chosen_fingerprints(spark):
     assert {tuple(sorted((r.a, r.b))) for r in got} == want
 
 
+def test_exploded_cells_are_not_broadcast(spark):
+    """Spark takes the cells for as few as the fingerprints, here some kilobytes."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_document_of_each_group_stays(spark, docs, no_docs):
     kept = simhash.representatives(docs)
     assert kept.columns == docs.columns
