@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from types import SimpleNamespace
 
@@ -81,6 +82,26 @@ def test_tree_is_written_and_listed_by_few_tasks(spark, tmp_path):
     assert got == {k: (len(v), not valid(v)) for k, v in wanted.items()}
 
 
+def test_tasks_list_and_read_what_spark_would(spark, tmp_path, monkeypatch):
+    """Odd names, links, empty files and folders give the rows of Spark's reader, in batches of any size, and the driver has no list of the files."""
+    names = ["a.py", "r/one.txt", "r/.hid", "r/_x/y.txt", "r/_x=1/y.txt", "_metadata_x/z.txt", "_metadata", "r/empty.txt", "r/é ü%41.txt", "r/a=b/c/d/big.txt", ".git/c", "z._COPYING_", "r/new\nline.txt"]
+    for n in names:
+        target = tmp_path / "t x%20" / n
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"" if "empty" in n else b"x" * 500 if "big" in n else n.encode() + b"\xff")
+    root = str(tmp_path / "t x%20")
+    os.makedirs(f"{root}/void/none")
+    os.symlink(f"{root}/r/a=b", f"{root}/linked")
+    os.symlink(f"{root}/nowhere", f"{root}/dead.txt")
+    monkeypatch.setattr(sources, "ROWS", 3)
+    monkeypatch.setattr(sources, "BYTES", 12)
+    for glob, limit in ((None, None), ("{a,o,b,y}*.{py,txt}", 100), ("[a-n]*.t?t", 600), ("*.none", 1)):
+        want = sources.listed_by_spark(spark, root, root, glob, limit).select("inner", "size", sources.text.decode(sources.F.col("content")).alias("content"))
+        files = sources.read_tree(spark, root, glob=glob, size_limit=limit)
+        assert not any("/r/" in f for f in files.inputFiles())
+        assert sorted(files.select("path", "size", "content").collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def valid(content: bytes) -> bool:
     return content.decode("utf-8", "ignore").encode() == content
 
